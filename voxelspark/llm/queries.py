@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelspark.llm import bpe, decontaminate, quality, sharding, url_filter
+from voxelspark.llm import bpe, decontaminate, prefix_free, quality, rlz, sharding, url_filter
 from voxelspark.llm.common import read
 
 TOKENIZER = "word_bpe_49k.json"
@@ -43,6 +43,16 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(read(spark, sf_dir, "documents")).drop("clean_text")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = rlz.dedup(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
+
+
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = prefix_free.dedup(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(read(spark, sf_dir, "documents"))
 
@@ -52,9 +62,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, url_filter.labelled(pages, read(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_decontaminate, op5_quality, op8_sharding, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_decontaminate, op5_quality, op6_substring_dedup, op7_suffix_array_dedup, op8_sharding, op10_url_filter)}
 ORACLE_SQL = {
     "op2_decontaminate": decontaminate.SCAN_SQL,
     "op5_quality": quality.MEASURE_SQL,
+    "op6_substring_dedup": rlz.DEDUP_SQL,
     "op10_url_filter": url_filter.SQL.format(pages="pages", outcomes=f"({url_filter.OUTCOMES_SQL})"),
 }
