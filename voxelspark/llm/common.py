@@ -2,26 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxelspark.operators.components import checkpoint, shared_folder
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
+__all__ = ["checkpoint", "read", "shared_folder", "text_input"]
 
-def shared_folder(spark: SparkSession) -> None:
-    """Make sure that checkpoints have a folder: the cluster's, or in tests one of our own."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
 
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def text_input(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
