@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelspark.llm import bpe, decontaminate, near_duplicates, prefix_free, quality, rlz, sharding, url_filter
+from voxelspark.llm import bpe, decontaminate, near_duplicates, preference, prefix_free, quality, rlz, sharding, url_filter
 from voxelspark.llm.common import read
 
 TOKENIZER = "word_bpe_49k.json"
@@ -61,15 +61,22 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(read(spark, sf_dir, "documents"))
 
 
+def op9_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = preference.format_pairs(preference.pair_up(read(spark, sf_dir, "conversations")))
+    spans = lambda m: F.array_join(F.transform(m, lambda s: F.concat_ws("-", s["start"], s["end"])), ",").alias(m)
+    return out.select("pair_id", "n_prefix", "prompt", "chosen", spans("chosen_mask"), "rejected", spans("rejected_mask"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages")
     return url_filter.judge(pages, url_filter.labelled(pages, read(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_decontaminate, op4_ngram_jaccard, op5_quality, op6_substring_dedup, op7_suffix_array_dedup, op8_sharding, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_decontaminate, op4_ngram_jaccard, op5_quality, op6_substring_dedup, op7_suffix_array_dedup, op8_sharding, op9_preference, op10_url_filter)}
 ORACLE_SQL = {
     "op2_decontaminate": decontaminate.SCAN_SQL,
     "op5_quality": quality.MEASURE_SQL,
     "op6_substring_dedup": rlz.DEDUP_SQL,
+    "op9_preference": preference.PAIRS_SQL,
     "op10_url_filter": url_filter.SQL.format(pages="pages", outcomes=f"({url_filter.OUTCOMES_SQL})"),
 }
