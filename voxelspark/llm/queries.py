@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelspark.llm import bpe, decontaminate, near_duplicates, preference, prefix_free, quality, rlz, sharding, url_filter
+from voxelspark.llm import bpe, decontaminate, html_extract, near_duplicates, preference, prefix_free, quality, rlz, sharding, url_filter
 from voxelspark.llm.common import read
 
 TOKENIZER = "word_bpe_49k.json"
@@ -39,6 +39,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read(spark, sf_dir, "pages"))
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -72,7 +76,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, url_filter.labelled(pages, read(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_decontaminate, op4_ngram_jaccard, op5_quality, op6_substring_dedup, op7_suffix_array_dedup, op8_sharding, op9_preference, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_decontaminate, op3_html_extract, op4_ngram_jaccard, op5_quality, op6_substring_dedup, op7_suffix_array_dedup, op8_sharding, op9_preference, op10_url_filter)}
 ORACLE_SQL = {
     "op2_decontaminate": decontaminate.SCAN_SQL,
     "op5_quality": quality.MEASURE_SQL,
