@@ -1,4 +1,4 @@
-"""URL filters by empirical-Bayes host reputation, in SQL only.
+"""URL filters by empirical-Bayes host reputation, in DataFrame expressions only.
 
 Labelled page outcomes (bad or not) are counted by host.  Each host's rate is
 shrunk towards that of its registered domain, the domain's towards its
@@ -21,9 +21,11 @@ verdict of the prior of all.  Repeated rows stay.  With no labels the rate of al
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxelspark.llm.common import checkpoint
+
 #: (host, path) and verdict; fixed values.
 RULES = {("net", "/"): "block", ("example.net", "/en/"): "allow", ("example.com", "/de/"): "block", ("org", "/fr/"): "allow"}
 MAX_BAD, Z = 0.5, 1.645
@@ -56,7 +58,7 @@ def _level(name: str, key: str, above: str, above_key: str) -> str:
   FROM {name}_raw)"""
 
 
-#: Placeholders: pages (page_id, url) and outcomes (url, bad 0 or 1).
+#: DuckDB's SQL; placeholders: pages (page_id, url) and outcomes (url, bad 0 or 1).
 SQL = f"""
 WITH p AS (SELECT page_id, {HOST} AS host, {PATH} AS path FROM {{pages}}),
 q AS (SELECT page_id, host, path, {_rule("rule")} AS rule, {_rule("verdict")} AS listed FROM p),
@@ -82,12 +84,62 @@ NUMBER = f"try_cast(regexp_extract({PATH}, '^/[a-z]+/([0-9]{{1,18}})', 1) AS BIG
 OUTCOMES_SQL = f"SELECT url, CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END AS bad FROM (SELECT url, {NUMBER} AS doc FROM pages) x JOIN labels ON doc = doc_id"
 
 
+_DOMAIN, _SUFFIX = "([^.]+[.][^.]+)$", "([^.]+)$"
+
+
+def _last(host: Column, pattern: str) -> Column:
+    found = F.regexp_extract(host, pattern, 1)
+    return F.when(found == "", host).otherwise(found)
+
+
+def _fit(level: DataFrame) -> float:
+    """Strength of a level's prior, by the method of moments: one row of sums reaches the driver."""
+    n, bad, prior = F.col("n"), F.col("bad").cast("double"), F.col("prior")
+    x = level.agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum(n * n).alias("n2"), F.sum(n * prior).alias("mu"), F.sum(n * (bad / n - prior) * (bad / n - prior)).alias("ss")).first()
+    if not x["n"]:
+        return MAX_STRENGTH
+    total, mu = float(x["n"]), x["mu"] / x["n"]
+    room = total - float(x["n2"]) / total
+    spread = (x["ss"] - (x["k"] - 1) * mu * (1 - mu)) / room if room > 0 else 0.0
+    return min(max(mu * (1 - mu) / spread - 1, 1.0), MAX_STRENGTH) if spread > 0 and 0 < mu < 1 else MAX_STRENGTH
+
+
+def _posterior(level: DataFrame, key: str) -> DataFrame:
+    m = F.lit(_fit(level))
+    return level.select(key, ((F.col("bad") + m * F.col("prior")) / (F.col("n") + m)).alias(f"{key}_mean"), (F.col("n") + m).alias(f"{key}_weight"))
+
+
+def reputation(outcomes: DataFrame) -> tuple[dict[str, DataFrame], float, float]:
+    """Posterior mean and weight of each suffix, domain and host with labels, and those of all."""
+    counts = outcomes.filter("bad IS NOT NULL").groupBy(F.expr(HOST).alias("host")).agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
+    hosts = checkpoint(counts.select("host", "n", "bad", _last(F.col("host"), _DOMAIN).alias("domain"), _last(F.col("host"), _SUFFIX).alias("suffix")))
+    x = hosts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")).first()
+    weight = x["n"] + 2.0
+    mean = (x["bad"] + 1.0) / weight
+    sums = [F.sum("n").alias("n"), F.sum("bad").alias("bad")]
+    out = {"suffix": checkpoint(_posterior(hosts.groupBy("suffix").agg(*sums).withColumn("prior", F.lit(mean)), "suffix"))}
+    above = out["suffix"].select("suffix", F.col("suffix_mean").alias("prior"))
+    out["domain"] = checkpoint(_posterior(hosts.groupBy("domain", "suffix").agg(*sums).join(above, "suffix"), "domain"))
+    above = out["domain"].select("domain", F.col("domain_mean").alias("prior"))
+    out["host"] = _posterior(hosts.join(above, "domain"), "host")
+    return out, mean, weight
+
+
 def judge(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     """``page_id, host, path, rule, verdict, bad_rate`` for each row of ``pages``.
 
     ``outcomes``: ``url`` and ``bad`` (1: bad, 0: good, null: ignored).
     """
-    return pages.sparkSession.sql(SQL, pages=pages.select("page_id", F.col("url").cast("string")), outcomes=outcomes.select(F.col("url").cast("string"), F.col("bad").cast("long")))
+    levels, mean, weight = reputation(outcomes.select(F.col("url").cast("string"), F.col("bad").cast("long")))
+    p = pages.select("page_id", F.col("url").cast("string")).select("page_id", F.expr(HOST).alias("host"), F.expr(PATH).alias("path"))
+    p = p.withColumns({"domain": _last(F.col("host"), _DOMAIN), "suffix": _last(F.col("host"), _SUFFIX)})
+    for key in ("host", "domain", "suffix"):
+        p = p.join(levels[key], key, "left")
+    names = ("host", "domain", "suffix")
+    p = p.withColumns({"mean": F.coalesce(*[f"{k}_mean" for k in names], F.lit(mean)), "weight": F.coalesce(*[f"{k}_weight" for k in names], F.lit(weight))})
+    bound = F.col("mean") - F.lit(Z) * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("weight") + 1))
+    own = F.when(bound > MAX_BAD, "block").otherwise("allow")
+    return p.select("page_id", "host", "path", F.expr(_rule("rule")).alias("rule"), F.coalesce(F.expr(_rule("verdict")), own).alias("verdict"), F.round("mean", 6).alias("bad_rate"))
 
 
 def labelled(pages: DataFrame, labels: DataFrame) -> DataFrame:
