@@ -8,8 +8,9 @@ doc_id; only representatives are compared.
 2. Shuffle on band hashes.  In each bucket one member, different from bucket to bucket, leads; every other member makes
    a candidate pair with it, so a bucket of n gives n - 1 pairs.
 3. Pairs are verified on the full sets, and links make components.
-4. Buckets that still hold several components are verified in full, in blocks of ``BLOCK`` members: a task
-   holds two blocks, and only links that join components leave it.  So no link that banding offers is lost.
+4. In buckets that still hold several components, the members outside of the largest one are verified against all, in
+   blocks of ``BLOCK`` members: a task holds two blocks, and only links that join components leave it.  So no link
+   between components that banding offers is lost.
 5. Links are counted inside each component, again by pairs of blocks; what leaves a task is a count for each member.
 
 No pairs inside a group are emitted as rows, there is no cap on a bucket, and nothing but
@@ -34,7 +35,7 @@ from voxelspark.llm import kernels as K
 from voxelspark.llm.common import checkpoint, text_input
 from voxelspark.operators.components import components
 
-N, THRESHOLD, RECALL, MAX_HASHES, BLOCK = 5, 0.8, 0.99999, 128, 128
+N, THRESHOLD, RECALL, MAX_HASHES, BLOCK = 5, 0.8, 0.99999, 128, 256
 _SEED = 7
 
 
@@ -148,7 +149,7 @@ def _compare(threshold: float, count: bool):
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         linked = _linked([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("grams")], threshold)
         np.fill_diagonal(linked, False)
-        if i != j:
+        if not count or i != j:
             linked &= side[:, None] != side[None, :]
         if count:
             return pa.table({"id": ids, "links": pa.array(linked @ weight, pa.int64())})
@@ -181,6 +182,20 @@ def _blocks(members: DataFrame, sets: DataFrame) -> DataFrame:
     return dealt.join(sets, "id")
 
 
+def _against_rest(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several components: those outside of the bucket's largest one against all."""
+    sizes = members.groupBy("g", "label").agg(F.count("*").alias("c"))
+    heads = sizes.groupBy("g").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("all"), F.count("*").alias("labels")).filter("labels > 1")
+    number = lambda c: F.ceil(c / BLOCK).cast("int")
+    heads = heads.select("g", F.col("top.label").alias("main"), number(F.col("all")).alias("blocks"), number(F.col("all") - F.col("top.c")).alias("few"))
+    placed = checkpoint(members.join(heads, "g"))
+    own = lambda n: F.pmod(F.xxhash64("id", F.lit(1)), F.col(n)).cast("int")
+    rest = ["id", "label", "n"]
+    every = placed.select("g", own("blocks").alias("i"), F.explode(F.sequence(F.lit(0), F.col("few") - 1)).alias("j"), *rest, F.lit(1).alias("side"))
+    some = placed.filter("label <> main").select("g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), own("few").alias("j"), *rest, F.lit(0).alias("side"))
+    return every.unionByName(some).join(sets, "id")
+
+
 def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, links: bool = True, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, class_id`` (least doc_id of its group) and, with ``links``, ``n_links``: the documents that are linked to it."""
     rows = text_input(docs, key, text)
@@ -199,8 +214,7 @@ def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, r
     edges = checkpoint(pairs.join(left, "src").join(right, "dst").select("src", "dst", "left", "right").mapInArrow(_verify(threshold), f"src {kind}, dst {kind}"))
     found = components(edges).select(F.col("node").alias("id"), F.col("component").alias("label"))
     marked = held.join(found, "id", "left").select("g", "id", F.coalesce("label", "id").alias("label"), "n")
-    mixed = marked.groupBy("g").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("g")
-    groups = _blocks(checkpoint(marked.join(mixed, "g")), sets)
+    groups = _against_rest(marked, sets)
     more = groups.groupBy("g", "i", "j").applyInArrow(_compare(threshold, False), f"src {kind}, dst {kind}")
     found = components(edges.unionByName(more)).select(F.col("node").alias("id"), F.col("component").alias("label"))
     owner = classes.select("fp", "id", "n").join(found, "id", "left").select("fp", "id", "n", F.coalesce("label", "id").alias("class_id"))
