@@ -4,7 +4,7 @@ Each text is cut at ``\n``.  A line that has a word is judged by itself:
 
 * symbols: more than a tenth of its code points are ``# * $ % & | < >``;
 * navigation: three or more separators (``|``, ``»``, ``›``, ``•``), one for every three words at least;
-* shouting: five or more words, and over 60 in 100 of its letters, or of its words' ends, are capitals or ``!!``;
+* shouting: five or more words, and no two small letters side by side, or over 60 in 100 of its words end in ``!!``;
 * punctuation: fewer than four words and no closing punctuation at its end;
 * boilerplate: a licence, cookie, rights or sign-up phrase;
 * repetition: it equals an earlier line of the text.
@@ -22,6 +22,8 @@ judged alike.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +32,6 @@ from voxelspark.llm.common import text_input
 
 #: White space between words; symbols; closing punctuation; separators.
 SPACE = r"[\x20\x09-\x0D]+"
-SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 CLOSING = "[.!?…:;\"'”’»)\\]]$"
 SEPARATORS = "|»›•"
@@ -38,6 +39,7 @@ BOILERPLATE = (
     "licensed under|all rights reserved|copyright [(©]|©|terms of (use|service)|privacy policy|cookie policy|"
     "accept cookies|use of cookies|javascript|subscribe to|newsletter|click here|sign up|log in|read more"
 )
+FRAGMENTS = ("licensed", "rights res", "copyrigh", "©", "terms of", " policy", "cookies", "javascript", "subscrib", "newslet", "click he", "sign up", "log in", "read more")
 MIN_WORDS, MAX_REPEAT, MIN_LEFT = 50, 50, 50
 
 
@@ -51,42 +53,70 @@ def count_of(text: Column, characters: str) -> Column:
 
 
 def split_words(text: Column) -> Column:
-    return F.filter(F.split(text, SPACE), lambda w: w != "")
+    return F.array_remove(F.split(text, SPACE), "")
 
 
-def repeat_words(words: Column) -> Column:
-    """Words inside three-word windows whose words occur twice or more."""
+_PLACE = 12  # bits of a window's place beside 52 bits of its hash
+_SHORT = 1 << _PLACE
 
-    def pairs(items: Column, join: Callable[[Column, Column], Column]) -> Column:
-        return F.zip_with(F.slice(items, 1, F.size(items) - 1), F.slice(items, 2, F.size(items) - 1), join)
 
-    def covered(starts: Column) -> Column:
-        steps = pairs(starts, lambda a, b: F.least(b - a, F.lit(3)))
-        return F.when(F.size(starts) == 0, F.lit(0)).otherwise(F.aggregate(steps, F.lit(3), lambda total, x: total + x))
+def _window(w: Column, i: Column) -> Column:
+    return F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
 
-    def starts(windows: Column) -> Column:
-        same = pairs(windows, lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])).otherwise(F.array().cast("array<int>")))
-        return F.sort_array(F.array_distinct(F.flatten(same)))
 
-    def windows(w: Column) -> Column:
-        n = F.size(w) - 2
-        triples = F.arrays_zip(F.slice(w, 1, n).alias("a"), F.slice(w, 2, n).alias("b"), F.slice(w, 3, n).alias("c"))
-        return F.sort_array(F.transform(triples, lambda t, i: F.struct(F.xxhash64(t["a"], t["b"], t["c"]).alias("h"), i.alias("i"))))
+def _covered(starts: Column) -> Column:
+    """Words in the three-word windows at some places, which are sorted."""
+    steps = F.transform(starts, lambda p, i: F.least(F.coalesce(F.get(starts, i + 1) - p, F.lit(3)), F.lit(3)))
+    return F.aggregate(steps, F.lit(0), lambda total, x: total + x)
 
-    return F.when(F.size(words) < 4, F.lit(0)).otherwise(let(let(windows(words), starts), covered)).cast("long")
 
+def _short_repeats(w: Column) -> Column:
+    """Up to ``_SHORT`` windows: hash and place in one number each, sorted, so equal windows are neighbours."""
+    keys = F.transform(w, lambda _, i: F.shiftleft(_window(w, i), _PLACE).bitwiseOR(i.cast("long")))
+    keys = F.sort_array(F.slice(keys, 1, F.size(w) - 2))
 
-def line_fails(line: Column) -> Column:
-    n = F.size(split_words(line))
-    letters = F.char_length(F.regexp_replace(line, r"[^\p{L}]", ""))
-    capitals = F.char_length(F.regexp_replace(line, r"[^\p{Lu}]", ""))
-    return (
-        (10 * count_of(line, SYMBOLS) > F.char_length(line))
-        | ((count_of(line, SEPARATORS) >= 3) & (3 * count_of(line, SEPARATORS) >= n))
-        | ((n >= 5) & ((100 * capitals > 60 * letters) | (2 * 100 * F.size(F.split(line, "!!")) > 2 * 60 * n + 200)))
-        | ((n < 4) & ~F.rtrim(line).rlike(CLOSING))
-        | F.lower(line).rlike(BOILERPLATE)
-    )
+    def again(k: Column) -> Column:
+        same = lambda x, y: F.shiftright(x.bitwiseXOR(y), _PLACE) == 0
+        lower = F.filter(k, lambda x, i: same(x, F.get(k, i + 1)))
+        upper = F.filter(k, lambda x, i: same(x, F.get(k, i - 1)))
+        places = F.transform(F.concat(lower, upper), lambda x: x.bitwiseAND(_SHORT - 1).cast("int"))
+        return F.when(F.size(lower) == 0, F.lit(0)).otherwise(let(F.sort_array(F.array_distinct(places)), _covered))
+
+    return let(keys, again)
+
+
+def _long_repeats(w: Column) -> Column:
+    """Any number of windows: whole hashes beside places."""
+    windows = F.sort_array(F.transform(F.slice(w, 1, F.size(w) - 2), lambda _, i: F.struct(_window(w, i).alias("h"), i.alias("i"))))
+
+    def again(k: Column) -> Column:
+        found = F.filter(k, lambda x, i: (x["h"] == F.get(k, i + 1)["h"]) | (x["h"] == F.get(k, i - 1)["h"]))
+        return let(F.sort_array(F.transform(found, lambda x: x["i"])), _covered)
+
+    return let(windows, again)
+
+
+def repeat_words(w: Column) -> Column:
+    """Words inside three-word windows that occur twice or more in the text."""
+    return F.when(F.size(w) < 4, F.lit(0)).when(F.size(w) <= _SHORT, _short_repeats(w)).otherwise(_long_repeats(w)).cast("long")
+
+
+def count_words(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+"))
+
+
+def line_fails(line: Column, n: Column, marked: Column, boilerplate: Column) -> Column:
+    """n: words of the line; marked, boilerplate: whether the text has a symbol or separator, or a phrase, at all."""
+    separators = count_of(line, SEPARATORS)
+    noise = F.when(marked, (10 * count_of(line, SYMBOLS) > F.char_length(line)) | ((separators >= 3) & (3 * separators >= n))).otherwise(False)
+    marks = F.when(F.contains(line, F.lit("!!")), 200 * F.size(F.split(line, "!!")) > 120 * n + 200).otherwise(False)
+    shouting = (n >= 5) & (~line.rlike(r"\p{Ll}\p{Ll}") | marks)
+    return noise | shouting | ((n < 4) & ~F.rtrim(line).rlike(CLOSING)) | F.when(boilerplate, F.lower(line).rlike(BOILERPLATE)).otherwise(False)
+
+
+def has_boilerplate(text: Column) -> Column:
+    """Whether any phrase can be in a text, by fragments that each phrase has one of."""
+    return let(F.lower(text), lambda x: reduce(or_, [F.contains(x, F.lit(f)) for f in FRAGMENTS]))
 
 
 def measure(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -97,37 +127,41 @@ def measure(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     """
     rows = text_input(docs, key, text).withColumn("text", F.coalesce("text", F.lit("")))
     body = F.col("text")
-    lines = F.filter(F.split(body, "\n"), lambda x: F.char_length(F.translate(x, SPACES, "")) > 0)
+    lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
     def judged(found: Column) -> Column:
         def passed(distinct: Column) -> Column:
-            return let(
-                F.filter(distinct, lambda x: ~line_fails(x)),
-                lambda good: F.struct(F.aggregate(good, F.lit(0), lambda n, x: n + F.size(split_words(x))).alias("n_left"), F.array_join(good, "\n").alias("clean_text")),
-            )
+            counted = F.transform(distinct, lambda x: F.struct(x.alias("x"), count_words(x).alias("n")))
+
+            def left(good: Column) -> Column:
+                return F.struct(F.aggregate(good, F.lit(0), lambda n, x: n + x["n"]).alias("n_left"), F.array_join(good["x"], "\n").alias("clean_text"))
+
+            asked = F.struct(has_boilerplate(body).alias("phrase"), body.rlike(f"[{SYMBOLS}{SEPARATORS}]").alias("mark"))
+            return let(asked, lambda some: let(F.filter(counted, lambda x: ~line_fails(x["x"], x["n"], some["mark"], some["phrase"])), left))
 
         def with_distinct(distinct: Column) -> Column:
             return F.struct((F.size(found) - F.size(distinct)).cast("long").alias("n_dup_lines"), passed(distinct).alias("left"))
 
         return let(F.array_distinct(found), with_distinct)
 
-    measured = let(split_words(body), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeat_words(w).alias("n_repeat_words")))
-    out = rows.select(
+    # a column of its own: it is used several times
+    out = rows.withColumn("w", split_words(body)).select(
         "doc_id",
-        measured.alias("w"),
-        F.char_length(F.translate(body, SPACES, "")).cast("long").alias("word_chars"),
-        count_of(body, SYMBOLS).cast("long").alias("n_symbols"),
+        F.size("w").cast("long").alias("n_words"),
+        repeat_words(F.col("w")).alias("n_repeat_words"),
+        F.char_length(F.array_join("w", "")).cast("long").alias("word_chars"),
+        F.when(body.rlike("[#*$%&|<>]"), count_of(body, SYMBOLS)).otherwise(0).cast("long").alias("n_symbols"),
         let(lines, judged).alias("l"),
     )
-    n, left = F.col("w.n_words"), F.col("l.left.n_left").cast("long")
-    failed = (n < MIN_WORDS) | (100 * F.col("w.n_repeat_words") > MAX_REPEAT * n)
+    n, left = F.col("n_words"), F.col("l.left.n_left").cast("long")
+    failed = (n < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * n)
     return out.select(
         "doc_id",
-        n.alias("n_words"),
+        "n_words",
         "word_chars",
         "n_symbols",
         F.col("l.n_dup_lines").alias("n_dup_lines"),
-        F.col("w.n_repeat_words").alias("n_repeat_words"),
+        "n_repeat_words",
         left.alias("n_left"),
         failed.alias("base_failed"),
         (~failed & (100 * left >= MIN_LEFT * n)).alias("kept"),
@@ -152,8 +186,7 @@ _N = "len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+'))"
 _SEP = f"(length(x) - length(translate(x, '{SEPARATORS}', '')))"
 _LINE_FAILS = f"""(10 * (length(x) - length(translate(x, '{SYMBOLS}', ''))) > length(x)
   OR ({_SEP} >= 3 AND 3 * {_SEP} >= {_N})
-  OR ({_N} >= 5 AND (100 * length(regexp_replace(x, '[^\\p{{Lu}}]', '', 'g')) > 60 * length(regexp_replace(x, '[^\\p{{L}}]', '', 'g'))
-      OR 200 * len(string_split(x, '!!')) > 120 * {_N} + 200))
+  OR ({_N} >= 5 AND (NOT regexp_matches(x, '\\p{{Ll}}\\p{{Ll}}') OR 200 * len(string_split(x, '!!')) > 120 * {_N} + 200))
   OR ({_N} < 4 AND NOT regexp_matches(rtrim(x, ' '), '{CLOSING.replace("'", "''")}'))
   OR regexp_matches(lower(x), '{BOILERPLATE}'))"""
 MEASURE_SQL = f"""
