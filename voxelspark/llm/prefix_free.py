@@ -13,7 +13,7 @@ Every byte covered by a string of ``window`` bytes that also starts anywhere els
 copy too; overlaps count and matches never cross documents.
 
 Null and empty texts are empty.  Texts shorter than a window stay whole.  Rows that
-repeat a doc_id count as documents of their own when their texts are equal.  Rows without an id stay whole.
+repeat a doc_id count as documents of their own when their texts are equal.  So do rows without an id.
 """
 
 from __future__ import annotations
@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 
 from voxelspark.llm import kernels as K
 from voxelspark.llm.common import text_input
-from voxelspark.llm.repeats import Unit, find
+from voxelspark.llm.repeats import Unit, by_id, repeats
 
-UNIT = Unit("bytes", 200, 100)
+UNIT = Unit("bytes", 200, 40)
 
 
 def _keep(data: np.ndarray, pieces: list[dict], window: int) -> np.ndarray:
@@ -62,17 +62,14 @@ def _remove(unit: Unit):
 
 def repeated(rows: DataFrame, unit: Unit = UNIT) -> DataFrame:
     """``doc_id`` and ``pieces``: first and last starts (a, b) of windows that occur elsewhere too."""
-    found = find(rows, unit)
-    classes = found.ends.groupBy("w").agg(F.sum("n").alias("all")).filter("all >= 2").select("w")
-    ends = found.ends.filter("n = 1").join(classes, "w").select("doc_id", F.col("s").alias("a"), F.col("s").alias("b"))
-    return found.copies.select("doc_id", "a", "b").unionByName(ends).groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("pieces"))
+    return repeats(rows, unit, earlier=False).groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("pieces"))
 
 
 def dedup(docs: DataFrame, unit: Unit = UNIT, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_bytes, n_removed, spans`` (byte ranges) and ``kept`` (binary) for each row."""
     rows = text_input(docs, key, text)
     out = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, kept binary"
-    return rows.join(repeated(rows, unit), "doc_id", "left").mapInArrow(_remove(unit), out)
+    return by_id(rows, repeated(rows, unit), "left").mapInArrow(_remove(unit), out)
 
 
 def _cut(unit: Unit):
@@ -101,4 +98,4 @@ def _cut(unit: Unit):
 def remove_repeats(docs: DataFrame, unit: Unit = UNIT) -> DataFrame:
     """The documents with their columns, texts without repeated bytes; characters cut in part stay."""
     pieces = repeated(text_input(docs), unit)
-    return docs.join(pieces, "doc_id", "left").mapInArrow(_cut(unit), docs.schema)
+    return by_id(docs, pieces, "left").mapInArrow(_cut(unit), docs.schema)

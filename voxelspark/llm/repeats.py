@@ -12,10 +12,11 @@ equal windows have equal triggers, wherever they are.  Thus:
 * other phrases with a repeated trigger - the ends of repeats - are resolved by window, one copy of each
   distinct phrase for all of its copies.
 
-Rows shuffled are one a phrase (about ``(window - gram) / 2`` items), then one for each repeated phrase, then
-one for each window of the distinct phrases at ends of repeats.  All counts are aggregated
-before their shuffle; rows meet counts in joins, which Spark splits where a key is hot, and no key's rows
-are ever gathered into one task.
+Rows shuffled are one a phrase (about half of ``window - gram`` items), then one for each repeated phrase, and the items of
+the distinct phrases at ends of repeats.  These meet by trigger, which holds all places of a window together; a task
+streams over triggers and holds one at a time.  A trigger with more than ``HOT`` distinct phrases is not gathered: its
+windows become rows, counted before their shuffle.  So do all other counts; rows meet counts in joins,
+which Spark splits where a key is hot.
 
 Items are compared by 64-bit hashes.
 """
@@ -42,12 +43,16 @@ class Unit(NamedTuple):
     gram: int
 
 
-def symbols(s: K.Slice, unit: Unit) -> tuple[K.Prefix, np.ndarray]:
-    """Hashes of a slice's items, and the first item of each row (one more than rows)."""
+#: Distinct phrases that one trigger may have in one task.
+HOT = 4096
+
+
+def items(s: K.Slice, unit: Unit) -> tuple[np.ndarray, np.ndarray]:
+    """A slice's items, bytes or hashes of words, and the first one of each row (one more than rows)."""
     if unit.kind == "bytes":
-        return K.Prefix(s.data), s.offsets
+        return s.data, s.offsets
     w = K.words(s.data, s.offsets, K.NOT_SPACE)
-    return K.Prefix(K.Prefix(s.data).of(w.start, w.end)), w.first
+    return K.Prefix(s.data).of(w.start, w.end), w.first
 
 
 def _signed(h: np.ndarray) -> pa.Array:
@@ -61,7 +66,8 @@ def _phrases(unit: Unit):
         for batch in batches:
             ids = batch.column("doc_id")
             for s in K.slices(batch.column("text")):
-                prefix, first = symbols(s, unit)
+                values, first = items(s, unit)
+                prefix = K.Prefix(values)
                 grams = prefix.sliding(unit.gram)
                 low = K.sliding_min(grams, wide)
                 number = np.maximum(np.diff(first) - unit.window + 1, 0)  # windows of each row
@@ -93,53 +99,164 @@ def phrases(rows: DataFrame, unit: Unit) -> DataFrame:
     return rows.mapInArrow(_phrases(unit), f"h long, phrase long, doc_id {kind}, a int, b int, times int")
 
 
-def _windows(unit: Unit):
+def _contents(unit: Unit):
+    """The items of the phrases asked for: bytes, or hashes of words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, asked = batch.column("doc_id"), batch.column("asked")
             bounds = asked.offsets.to_numpy()
             fields = asked.values
-            a, b, n = (fields.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            h, a, b, n, hot = (fields.field(i) for i in range(5))
+            first_of, last_of = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in (a, b))
             for s in K.slices(batch.column("text")):
-                prefix, first = symbols(s, unit)
+                values, first = items(s, unit)
                 low, high = bounds[s.first], bounds[s.first + s.rows]
                 row = np.repeat(np.arange(s.rows), np.diff(bounds[s.first : s.first + s.rows + 1]))
-                last = np.minimum(b[low:high], np.diff(first)[row] - unit.window)  # rows that repeat an id may be shorter
-                size = np.maximum(last - a[low:high] + 1, 0)
-                start = K.ranges(first[row] + a[low:high], size)
-                if not len(start):
+                start, stop = first_of[low:high], last_of[low:high] + unit.window
+                fits = stop <= np.diff(first)[row]  # rows that repeat an id may be shorter
+                at = np.flatnonzero(fits)
+                if not len(at):
                     continue
-                row, times = np.repeat(row, size), np.repeat(n[low:high], size)
-                for i in range(0, len(start), 1 << 17):
-                    part = slice(i, i + (1 << 17))
-                    at = start[part]
-                    yield pa.RecordBatch.from_arrays(
-                        [_signed(prefix.of(at, at + unit.window)), ids.take(pa.array(s.first + row[part])), pa.array((at - first[row[part]]).astype(np.int32)), pa.array(times[part].astype(np.int64))],
-                        ["w", "doc_id", "s", "n"],
-                    )
+                row, start, stop = row[at], start[at], stop[at]
+                size = stop - start
+                data = values[K.ranges(first[row] + start, size)]
+                offsets = np.concatenate(([0], np.cumsum(size * data.itemsize))).astype(np.int32)
+                content = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+                pick = pa.array(low + at)
+                yield pa.RecordBatch.from_arrays([h.take(pick), ids.take(pa.array(s.first + row)), a.take(pick), b.take(pick), n.take(pick), hot.take(pick), content], ["h", "doc_id", "a", "b", "n", "hot", "content"])
 
     return run
 
 
-def windows(rows: DataFrame, asked: DataFrame, unit: Unit) -> DataFrame:
-    """The windows of some phrases: ``w`` (hash), ``doc_id``, start ``s``, and the phrase's ``n``."""
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    lists = asked.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b", "n")).alias("asked"))
-    return rows.join(lists, "doc_id").mapInArrow(_windows(unit), f"w long, doc_id {kind}, s int, n long")
+class Spread(NamedTuple):
+    """All windows of some phrases."""
+
+    w: np.ndarray
+    row: np.ndarray
+    s: np.ndarray
+
 
+def _spread(table: pa.RecordBatch, unit: Unit) -> Spread:
+    content = table.column("content")
+    _, offsets, data = content.buffers()
+    width = 1 if unit.kind == "bytes" else 8
+    offsets = np.frombuffer(offsets, np.int32)[content.offset : content.offset + len(content) + 1].astype(np.int64) // width
+    values = np.frombuffer(data, np.uint8 if width == 1 else np.uint64)[offsets[0] : offsets[-1]]
+    first = offsets[:-1] - offsets[0]
+    number = np.diff(offsets) - unit.window + 1
+    start = K.ranges(first, number)
+    row = np.repeat(np.arange(len(content)), number)
+    a = table.column("a").to_numpy().astype(np.int64)
+    return Spread(K.Prefix(values).of(start, start + unit.window), row, start - first[row] + a[row])
 
-class Found(NamedTuple):
-    copies: DataFrame  # doc_id, a, b and the first of the phrase's rows: first_doc, first_a
-    ends: DataFrame  # windows w, doc_id, s, n of one copy of each distinct phrase at an end
+
+def _pieces(table: pa.RecordBatch, unit: Unit, earlier: bool, kind: pa.DataType) -> pa.RecordBatch:
+    """Windows that occur elsewhere (of phrases with one copy), or that have an earlier place, as stretches."""
+    x = _spread(table, unit)
+    ids = table.column("doc_id")
+    _, rank = np.unique(ids.to_numpy(zero_copy_only=False), return_inverse=True)
+    place = rank[x.row]
+    order = np.lexsort((x.s, place, x.w))
+    opens = np.ones(len(order), bool)
+    opens[1:] = x.w[order[1:]] != x.w[order[:-1]]
+    group = np.cumsum(opens) - 1
+    if earlier:
+        best = order[opens][group]
+        source, source_s = np.empty_like(x.row), np.empty_like(x.s)
+        source[order], source_s[order] = x.row[best], x.s[best]
+        hit = (place > rank[source]) | ((place == rank[source]) & (x.s > source_s))
+    else:
+        n = table.column("n").to_numpy()[x.row]
+        total = np.bincount(group, n[order])
+        hit = np.zeros(len(order), bool)
+        hit[order] = total[group] >= 2
+        hit &= n == 1
+        source, source_s = x.row, x.s
+    at = np.flatnonzero(hit)
+    row, s, source, source_s = x.row[at], x.s[at], source[at], source_s[at]
+    new = np.ones(len(at), bool)
+    new[1:] = (row[1:] != row[:-1]) | (s[1:] != s[:-1] + 1) | (source[1:] != source[:-1]) | (source_s[1:] != source_s[:-1] + 1)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(at))[: len(first)] - 1
+    return pa.RecordBatch.from_arrays(
+        [ids.take(pa.array(row[first])), pa.array(s[first].astype(np.int32)), pa.array(s[last].astype(np.int32)), ids.take(pa.array(source[first])), pa.array(source_s[first].astype(np.int32))],
+        ["doc_id", "a", "b", "source", "source_a"],
+    )
+
+
+def _resolve(unit: Unit, earlier: bool):
+    """Over rows sorted by trigger: each trigger's phrases together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            h = batch.column("h").to_numpy()
+            cut = int(np.searchsorted(h, h[-1]))  # the last trigger may go on
+            if cut or (held and held[-1].column("h")[-1].as_py() != h[0]):
+                held.append(batch.slice(0, cut))
+                yield _pieces(_joined(held), unit, earlier, batch.column("doc_id").type)
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield _pieces(_joined(held), unit, earlier, held[0].column("doc_id").type)
+
+    return run
 
 
-def find(rows: DataFrame, unit: Unit) -> Found:
-    parse = phrases(rows, unit)
+def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
+
+def _windows(unit: Unit):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1024):
+                part = batch.slice(i, 1024)
+                x = _spread(part, unit)
+                row = pa.array(x.row)
+                yield pa.RecordBatch.from_arrays([_signed(x.w), part.column("doc_id").take(row), pa.array(x.s.astype(np.int32)), part.column("n").take(row)], ["w", "doc_id", "s", "n"])
+
+    return run
+
+
+def by_id(rows: DataFrame, more: DataFrame, how: str) -> DataFrame:
+    """Join on doc_id, null ids too.  All such joins shuffle the texts alike, so within a query Spark does it once."""
+    other = more.withColumnRenamed("doc_id", "_id")
+    return rows.join(other, F.col("doc_id").eqNullSafe(F.col("_id")), how).drop("_id")
+
+
+def _hot_pieces(windows: DataFrame, earlier: bool) -> DataFrame:
+    """The same for windows as rows."""
+    here = [F.col("s").alias("a"), F.col("s").alias("b")]
+    if earlier:
+        index = windows.groupBy("w").agg(F.min(F.struct("doc_id", "s")).alias("first"), F.count("*").alias("places")).filter("places >= 2")
+        later = windows.join(index, "w").filter("struct(doc_id, s) > first")
+        return later.select("doc_id", *here, F.col("first.doc_id").alias("source"), F.col("first.s").alias("source_a"))
+    classes = windows.groupBy("w").agg(F.sum("n").alias("all")).filter("all >= 2").select("w")
+    return windows.filter("n = 1").join(classes, "w").select("doc_id", *here, F.col("doc_id").alias("source"), F.col("s").alias("source_a"))
+
+
+def repeats(rows: DataFrame, unit: Unit, earlier: bool) -> DataFrame:
+    """Windows that occur elsewhere too or, with ``earlier``, at an earlier place (doc_id, start).
+
+    Stretches of them: ``doc_id``, first and last window ``a`` and ``b``, and where the first one's content is from, ``source`` and ``source_a``.
+    """
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    parse = phrases(rows.filter("doc_id IS NOT NULL"), unit)
     repeated = parse.groupBy("h").agg(F.sum("times").alias("all")).filter("all >= 2").select("h")
     held = checkpoint(parse.join(repeated, "h"))
     place = F.struct("doc_id", "a", "b").alias("place")
     dictionary = held.groupBy("h", "phrase").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.max("times").alias("times"))
-    copies = held.join(dictionary.filter("n >= 2").select("h", "phrase", "first"), ["h", "phrase"]).select("doc_id", "a", "b", F.col("first.doc_id").alias("first_doc"), F.col("first.a").alias("first_a"))
-    several = dictionary.groupBy("h").agg(F.count("*").alias("different"), F.max("times").alias("times")).filter("different >= 2 OR times >= 2").select("h")
-    asked = dictionary.join(several, "h").select(F.col("first.doc_id").alias("doc_id"), F.col("first.a").alias("a"), F.col("first.b").alias("b"), "n")
-    return Found(copies, checkpoint(windows(rows, asked, unit)))
+    copies = held.join(dictionary.filter("n >= 2").select("h", "phrase", "first"), ["h", "phrase"])
+    copies = copies.filter("struct(doc_id, a) > struct(first.doc_id, first.a)") if earlier else copies
+    copies = copies.select("doc_id", "a", "b", F.col("first.doc_id").alias("source"), F.col("first.a").alias("source_a"))
+    several = dictionary.groupBy("h").agg(F.count("*").alias("different"), F.max("times").alias("times")).filter("different >= 2 OR times >= 2").select("h", (F.col("different") > HOT).alias("hot"))
+    asked = dictionary.join(several, "h").select("h", F.col("first.doc_id").alias("doc_id"), F.col("first.a").alias("a"), F.col("first.b").alias("b"), "n", "hot")
+    lists = asked.groupBy("doc_id").agg(F.collect_list(F.struct("h", "a", "b", "n", "hot")).alias("asked"))
+    ends = by_id(rows, lists, "inner").mapInArrow(_contents(unit), f"h long, doc_id {kind}, a int, b int, n long, hot boolean, content binary")
+    few = ends.filter("NOT hot").repartition("h").sortWithinPartitions("h").mapInArrow(_resolve(unit, earlier), f"doc_id {kind}, a int, b int, source {kind}, source_a int")
+    many = ends.filter("hot").mapInArrow(_windows(unit), f"w long, doc_id {kind}, s int, n long")
+    return copies.unionByName(few).unionByName(_hot_pieces(many, earlier))

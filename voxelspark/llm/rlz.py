@@ -9,7 +9,7 @@ the same source.  Factors that overlap or touch are checked at their boundaries,
 count where they have an earlier place of their own.  Words covered by factors are duplicates and go.
 
 Null and empty texts have no words.  Rows that repeat a doc_id are one document: a window is
-not earlier than itself.  Rows without an id stay whole.  Texts of under 20 words stay whole.
+not earlier than itself.  Rows without an id lose nothing.  Texts of under 20 words stay whole.
 """
 
 from __future__ import annotations
@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 
 from voxelspark.llm import kernels as K
 from voxelspark.llm.common import text_input
-from voxelspark.llm.repeats import Unit, find
+from voxelspark.llm.repeats import Unit, by_id, repeats
 
-UNIT = Unit("words", 20, 10)
+UNIT = Unit("words", 20, 5)
 
 
 def _parse(unit: Unit, kind: pa.DataType):
@@ -67,15 +67,10 @@ def dedup(docs: DataFrame, unit: Unit = UNIT, key: str = "doc_id", text: str = "
     """``doc_id, n_words, n_removed, kept_text`` and ``factors`` (start, length, source, source_start) for each row."""
     rows = text_input(docs, key, text)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    found = find(rows, unit)
-    copies = found.copies.filter("struct(doc_id, a) > struct(first_doc, first_a)").select("doc_id", "a", "b", F.col("first_doc").alias("source"), F.col("first_a").alias("source_a"))
-    index = found.ends.groupBy("w").agg(F.min(F.struct("doc_id", "s")).alias("first"), F.count("*").alias("places")).filter("places >= 2")
-    later = found.ends.join(index, "w").filter("struct(doc_id, s) > first")
-    ends = later.select("doc_id", F.col("s").alias("a"), F.col("s").alias("b"), F.col("first.doc_id").alias("source"), F.col("first.s").alias("source_a"))
-    pieces = copies.unionByName(ends).groupBy("doc_id").agg(F.collect_list(F.struct("a", "b", "source", "source_a")).alias("pieces"))
+    pieces = repeats(rows, unit, earlier=True).groupBy("doc_id").agg(F.collect_list(F.struct("a", "b", "source", "source_a")).alias("pieces"))
     arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
     out = f"doc_id {kind}, n_words long, n_removed long, kept_text string, factors array<struct<start:int,length:int,source:{kind},source_start:int>>"
-    return rows.join(pieces, "doc_id", "left").mapInArrow(_parse(unit, arrow), out)
+    return by_id(rows, pieces, "left").mapInArrow(_parse(unit, arrow), out)
 
 
 DEDUP_SQL = """
