@@ -1,6 +1,596 @@
-"""All queries over the reference's operators, and DuckDB's SQL for them."""
+"""Queries over the operators, each on views of the given tables, and DuckDB's SQL for them."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from voxelspark.functions import scalar as S
+from voxelspark.operators import accumulate as A
+from voxelspark.operators import mesh as M
+from voxelspark.operators import morphology as V
+from voxelspark.operators import neighbours as J
+from voxelspark.operators import skeleton as C
+from voxelspark.operators import state as T
+from voxelspark.operators import visibility as R
+from voxelspark.sources import poses as P
+from voxelspark.sources.fixtures import view, with_views
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+XYZ, CELL = S.XYZ, S.CELL
+
+
+def query(name: str, *views: str, sql: str | None = None):
+    """Register a function of the named views as a query, with its SQL if there is any."""
+
+    def register(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(*[view(spark, sf_dir, v) for v in views])
+
+        QUERIES[name] = run
+        if sql is not None:
+            ORACLE_SQL[name] = with_views(sql)
+        return f
+
+    return register
+
+
+def numbered(points: DataFrame) -> DataFrame:
+    """Distinct voxels as points at their centres, with the packed key as id."""
+    return points.select("scene_id", S.pack_voxel().alias("point_id"), *S.voxel_center(1.0))
+
+
+def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({n: F.round(n, digits) + 0.0 for n in names})
+
+
+#: Pieces of SQL.
+KEY = "((CAST(ix AS BIGINT) + 1048576) & 2097151) * 4398046511104 + ((CAST(iy AS BIGINT) + 1048576) & 2097151) * 2097152 + ((CAST(iz AS BIGINT) + 1048576) & 2097151)"
+PTS = f"pts AS (SELECT scene_id, {KEY} AS point_id, ix + 0.5e0 AS x, iy + 0.5e0 AS y, iz + 0.5e0 AS z, ix, iy, iz FROM vox)"
+
+
+def box(name: str, source: str, r: int, erode: bool) -> str:
+    """Dilation or erosion by a box of half-width r."""
+    span = f"range({-r}, {r + 1})"
+    moved = f"SELECT scene_id, ix + a AS ix, iy + b AS iy, iz + c AS iz FROM {source}, (SELECT unnest({span}) AS a) q1, (SELECT unnest({span}) AS b) q2, (SELECT unnest({span}) AS c) q3"
+    tail = f"GROUP BY ALL HAVING count(*) = {(2 * r + 1) ** 3}" if erode else "GROUP BY ALL"
+    return f"{name} AS (SELECT scene_id, CAST(ix AS INT) AS ix, CAST(iy AS INT) AS iy, CAST(iz AS INT) AS iz FROM ({moved}) m {tail})"
+
+
+def faces(name: str, source: str) -> str:
+    """Empty cells with two faces at least on the source, and the source."""
+    offsets = ", ".join(str(o) for o in V.FACES)
+    return f"""{name}_n AS (SELECT scene_id, ix + a AS ix, iy + b AS iy, iz + c AS iz FROM {source}, (VALUES {offsets}) o(a, b, c)),
+{name} AS (SELECT scene_id, ix, iy, iz FROM {source} UNION SELECT scene_id, ix, iy, iz FROM {name}_n GROUP BY ALL HAVING count(*) >= 2)"""
+
+
+CLOSE = f"{box('d2', 'vox', 2, False)}, {box('e2', 'd2', 2, True)}, added AS (SELECT * FROM e2 ANTI JOIN vox USING (scene_id, ix, iy, iz))"
+ACC = """acc AS (SELECT *, row_number() OVER (PARTITION BY scene_id, floor(x), floor(y), floor(z) ORDER BY frame_id, block_pos DESC, center_pos DESC, x DESC, y DESC, z DESC) AS k FROM scan_points)"""
+
+
+# sources
+@query("io1_explode_frames", "scan_points", sql="""SELECT scene_id, frame_id, CAST(dense_rank() OVER (PARTITION BY scene_id, frame_id ORDER BY block_pos) - 1 AS INT) AS block_pos,
+  CAST(row_number() OVER (PARTITION BY scene_id, frame_id, block_pos ORDER BY center_pos, x, y, z) - 1 AS INT) AS center_pos, x, y, z FROM scan_points""")
+def _(points):
+    return A.explode_frames(A.nest_frames(points))
+
+
+POSE_FILE = "concat_ws(',', CAST(event_id AS STRING), '1', '2.5', CAST(user_id AS STRING), '0', '0', '0', '1', 'x')"
+
+
+def _pose_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log file a user, as text; every seventh line is short."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    line = F.when(F.col("event_id") % 7 == 0, F.lit("short,line")).otherwise(F.expr(POSE_FILE))
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("event_id", line.alias("l")))), lambda x: x["l"]), "\n")
+    return events.groupBy(F.col("user_id").cast("string").alias("path")).agg(F.concat(F.lit("time,x,y,z,qx,qy,qz,qw\n"), body).alias("value"))
+
+
+QUERIES["io2_read_poses_csv"] = lambda spark, sf_dir: P.parse_poses(_pose_files(spark, sf_dir), 3).select("path", "line", "time", "z", "qw")
+ORACLE_SQL["io2_read_poses_csv"] = """SELECT CAST(user_id AS VARCHAR) AS path, CAST(line AS INT) AS line, CAST(event_id AS DOUBLE) AS time, CAST(user_id AS DOUBLE) AS z, 1e0 AS qw
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS line FROM events) x WHERE line % 3 = 0 AND event_id % 7 <> 0"""
+
+
+@query("io3_explode_path", "poses", sql="SELECT scene_id, seq, round(time + seq * 1e-9, 6) AS time, x, y, z, qx, qy, qz, qw FROM poses")
+def _(poses):
+    stamp = F.struct(F.col("seq").alias("k"), F.col("time").cast("int").alias("sec"), F.col("seq").cast("int").alias("nanosec"), *[F.col(n) for n in (*XYZ, "qx", "qy", "qz", "qw")])
+    return rounded(P.explode_path(poses.groupBy("scene_id").agg(F.sort_array(F.collect_list(stamp)).alias("poses"))), "time")
+
+
+@query("io4_write_cloud", "scan_points", sql="SELECT scene_id, x, y, z FROM scan_points WHERE label >= 0")
+def _(points):
+    return S.drop_nan_points(points.withColumn("z", F.when(F.col("label") < 0, F.lit(float("nan"))).otherwise(F.col("z")))).select("scene_id", *XYZ)
+
+
+QUERIES["io7_shell_output_name"] = lambda spark, sf_dir: M.shell_names(spark.read.parquet(f"{sf_dir}/part.parquet").select(F.concat(F.lit("meshes/m"), F.col("p_partkey").cast("string"), F.lit(".stl")).alias("path")), 0.25)
+ORACLE_SQL["io7_shell_output_name"] = "SELECT 'meshes/m' || p_partkey || '.stl' AS path, 'm' || p_partkey || '_outer_shell_voxels_0.3.pcd' AS name FROM part"
+
+
+# columns
+@query("p1_quantize", "scan_points", sql="SELECT scene_id, frame_id, CAST(floor((x - 20) / 0.5e0) AS INT) AS ix, CAST(floor((y - 20) / 0.5e0) AS INT) AS iy, CAST(floor((z - 20) / 0.5e0) AS INT) AS iz FROM scan_points")
+def _(points):
+    return points.select("scene_id", "frame_id", *[(F.col(n) - 20).alias(n) for n in XYZ]).select("scene_id", "frame_id", *S.quantize(0.5))
+
+
+@query("p2_quantize_from", "scan_points", sql="""SELECT p.scene_id, CAST(floor((x - mx) / 0.5e0) AS INT) AS ix, CAST(floor((y - my) / 0.5e0) AS INT) AS iy, CAST(floor((z - mz) / 0.5e0) AS INT) AS iz
+FROM scan_points p JOIN (SELECT scene_id, min(x) AS mx, min(y) AS my, min(z) AS mz FROM scan_points GROUP BY scene_id) m ON p.scene_id = m.scene_id""")
+def _(points):
+    return points.join(F.broadcast(V.bounds(points)), "scene_id").select("scene_id", *S.quantize(0.5, origin=[F.col(f"min_{n}") for n in XYZ]))
+
+
+@query("p3_voxel_center", "vox", sql="SELECT scene_id, (ix + 0.5e0) * 2 + 1 AS x, (iy + 0.5e0) * 2 + 1 AS y, (iz + 0.5e0) * 2 + 1 AS z FROM vox")
+def _(vox):
+    return vox.select("scene_id", *S.voxel_center(2.0, (1.0, 1.0, 1.0)))
+
+
+@query("p4_pack_voxel", "vox", sql=f"SELECT scene_id, {KEY} AS vkey, ix, iy, iz FROM vox")
+def _(vox):
+    packed = vox.select("scene_id", S.pack_voxel().alias("vkey"))
+    return packed.select("scene_id", "vkey", *S.unpack_voxel())
+
+
+@query("p5_drop_nan_points", "scan_points", sql="SELECT scene_id, x, y, z FROM scan_points WHERE block_pos <> 3")
+def _(points):
+    return S.drop_nan_points(points.withColumn("x", F.when(F.col("block_pos") == 3, F.lit(float("nan"))).otherwise(F.col("x")))).select("scene_id", *XYZ)
+
+
+@query("p6_yaw_from_quaternion", "poses", sql="SELECT scene_id, seq, round(atan2(2 * (qw * qz + qx * qy), 1 - 2 * (qy * qy + qz * qz)), 6) + 0e0 AS yaw FROM poses")
+def _(poses):
+    return rounded(poses.select("scene_id", "seq", S.yaw_from_quaternion().alias("yaw")), "yaw")
+
+
+@query("p7_quaternion_from_yaw", "poses", sql="SELECT scene_id, seq, 0e0 AS qx, 0e0 AS qy, round(sin(atan2(5 - y, 25 - x) / 2), 6) + 0e0 AS qz, round(cos(atan2(5 - y, 25 - x) / 2), 6) + 0e0 AS qw FROM poses")
+def _(poses):
+    return rounded(poses.select("scene_id", "seq", *S.quaternion_from_yaw(S.yaw_toward(25.0, 5.0))), "qz", "qw")
+
+
+@query("p8_stamp_to_seconds", "poses", sql="SELECT scene_id, seq, round(CAST(time AS INT) + CAST(seq * 1000 AS INT) * 1e-9, 6) AS t FROM poses")
+def _(poses):
+    return rounded(poses.select("scene_id", "seq", S.stamp_to_seconds(F.col("time").cast("int"), (F.col("seq") * 1000).cast("int")).alias("t")), "t")
+
+
+@query("p9_in_range", "scan_points", sql="SELECT scene_id, x, y, z FROM scan_points WHERE (x - 10) * (x - 10) + (y - 5) * (y - 5) + (z - 20) * (z - 20) <= 225")
+def _(points):
+    return points.filter(S.in_range(F.col("x") - 10, F.col("y") - 5, F.col("z") - 20, 15.0)).select("scene_id", *XYZ)
+
+
+@query("p10_in_frustum", "scan_points", sql="""SELECT scene_id, x, y, z FROM (SELECT *, cos(-0.5e0) * (x - 1.3e0) - sin(-0.5e0) * (y - 2.1e0) AS ahead, sin(-0.5e0) * (x - 1.3e0) + cos(-0.5e0) * (y - 2.1e0) AS side FROM scan_points) s
+WHERE ahead BETWEEN 0 AND 20 AND abs(side) <= 10 * (ahead / 20) AND abs(z - 20.3e0) <= 7.5e0 * (ahead / 20)""")
+def _(points):
+    return points.filter(S.in_frustum(F.col("x") - 1.3, F.col("y") - 2.1, F.col("z") - 20.3, F.lit(0.5), 20.0, 20.0, 15.0)).select("scene_id", *XYZ)
+
+
+_CORNERS = "(0, 0, 0e0, 0e0, 0e0), (0, 1, 20, 10, 7.5e0), (1, 0, 0, 0, 0), (1, 1, 20, -10, 7.5e0), (2, 0, 0, 0, 0), (2, 1, 20, -10, -7.5e0), (3, 0, 0, 0, 0), (3, 1, 20, 10, -7.5e0), (4, 0, 20, 10, 7.5e0), (4, 1, 20, -10, 7.5e0), (5, 0, 20, -10, 7.5e0), (5, 1, 20, -10, -7.5e0), (6, 0, 20, -10, -7.5e0), (6, 1, 20, 10, -7.5e0), (7, 0, 20, 10, -7.5e0), (7, 1, 20, 10, 7.5e0)"
+
+
+@query("p11_frustum_edges", "poses", sql=f"""SELECT scene_id, seq, edge, tip, round(x + (1 - 2 * (qy * qy + qz * qz)) * px + 2 * (qx * qy - qw * qz) * py + 2 * (qx * qz + qw * qy) * pz, 4) + 0e0 AS x,
+  round(y + 2 * (qx * qy + qw * qz) * px + (1 - 2 * (qx * qx + qz * qz)) * py + 2 * (qy * qz - qw * qx) * pz, 4) + 0e0 AS y,
+  round(z + 2 * (qx * qz - qw * qy) * px + 2 * (qy * qz + qw * qx) * py + (1 - 2 * (qx * qx + qy * qy)) * pz, 4) + 0e0 AS z
+FROM poses, (VALUES {_CORNERS}) c(edge, tip, px, py, pz)""")
+def _(poses):
+    return rounded(S.frustum_edges(poses, 20.0, 20.0, 15.0), *XYZ, digits=4)
+
+
+@query("p12_observation_flag", "scan_points", sql=f"WITH {CLOSE} SELECT scene_id, TRUE AS observed, count(*) AS n FROM scan_points GROUP BY scene_id UNION ALL SELECT scene_id, FALSE, count(*) FROM added GROUP BY scene_id")
+def _(points):
+    return V.fill_cavities(points, 2).groupBy("scene_id", "observed").agg(F.count("*").alias("n"))
+
+
+@query("p13_pack_rgb", "scan_points", sql="SELECT scene_id, frame_id, CAST((block_pos * 30) * 65536 + (center_pos % 256) * 256 + frame_id % 256 AS INT) AS rgb FROM scan_points WHERE frame_id >= 0")
+def _(points):
+    points = points.filter("frame_id >= 0")
+    return points.select("scene_id", "frame_id", S.pack_rgb(F.col("block_pos") * 30, F.col("center_pos") % 256, F.col("frame_id") % 256).alias("rgb"))
+
+
+@query("p14_stable_color", "triangles", sql="""WITH h AS (SELECT face_id AS id, (face_id * 0.61803398875e0) % 1 AS h, 0.98e0 - 0.08e0 * (((face_id * 97) % 5) / 4e0) AS v FROM triangles),
+s AS (SELECT *, CAST(floor(h * 6) AS INT) AS k, h * 6 - floor(h * 6) AS f FROM h), c AS (SELECT id, k, v, v * (1 - 0.92e0) AS p, v * (1 - 0.92e0 * f) AS q, v * (1 - 0.92e0 * (1 - f)) AS t FROM s)
+SELECT id, CAST(floor([v, q, p, p, t, v][k + 1] * 255) AS INT) AS r, CAST(floor([t, v, v, q, p, p][k + 1] * 255) AS INT) AS g, CAST(floor([p, p, t, v, v, q][k + 1] * 255) AS INT) AS b FROM c""")
+def _(triangles):
+    return triangles.select(F.col("face_id").alias("id"), *S.stable_color(F.col("face_id")))
+
+
+AREA = """0.5e0 * sqrt(pow((y1 - y0) * (z2 - z0) - (z1 - z0) * (y2 - y0), 2) + pow((z1 - z0) * (x2 - x0) - (x1 - x0) * (z2 - z0), 2) + pow((x1 - x0) * (y2 - y0) - (y1 - y0) * (x2 - x0), 2))"""
+
+
+@query("p15_triangle_area", "triangles", sql=f"SELECT mesh_id, face_id, round({AREA}, 6) AS area FROM triangles")
+def _(triangles):
+    return triangles.select("mesh_id", "face_id", F.round(S.triangle_area(), 6).alias("area"))
+
+
+@query("p16_crop_points", "scan_points", sql="SELECT scene_id, x, y, z FROM scan_points WHERE z BETWEEN 5 AND 40 AND x * x + y * y + z * z BETWEEN 100 AND 1600")
+def _(points):
+    return S.crop_points(points, 5.0, 40.0, 10.0, 40.0).select("scene_id", *XYZ)
+
+
+# morphology
+@query("v1_voxelize", "scan_points", sql="SELECT DISTINCT scene_id, CAST(floor(x / 0.5e0) AS INT) AS ix, CAST(floor(y / 0.5e0) AS INT) AS iy, CAST(floor(z / 0.5e0) AS INT) AS iz FROM scan_points")
+def _(points):
+    return V.voxelize(points, 0.5)
+
+
+@query("v2_dilate", "vox", sql=f"WITH {box('d', 'vox', 2, False)} SELECT * FROM d")
+def _(vox):
+    return V.dilate(vox, 2)
+
+
+@query("v3_erode", "vox", sql=f"WITH {box('d', 'vox', 2, False)}, {box('e', 'd', 1, True)} SELECT * FROM e")
+def _(vox):
+    return V.erode(V.dilate(vox, 2), 1)
+
+
+@query("v4_close", "vox", sql=f"WITH {CLOSE} SELECT * FROM added")
+def _(vox):
+    return V.close(vox, V.closing_radius(5.0, 1.0))
+
+
+@query("v5_fill_cavities", "scan_points", sql=f"WITH {CLOSE} SELECT scene_id, x, y, z, TRUE AS observed FROM scan_points UNION ALL SELECT scene_id, ix + 0.5e0, iy + 0.5e0, iz + 0.5e0, FALSE FROM added")
+def _(points):
+    return V.fill_cavities(points, 2)
+
+
+_UP = "up AS (SELECT scene_id, CAST(2 * ix + a AS INT) AS ix, CAST(2 * iy + b AS INT) AS iy, CAST(2 * iz + c AS INT) AS iz FROM {0}, (SELECT unnest([0, 1]) AS a) q1, (SELECT unnest([0, 1]) AS b) q2, (SELECT unnest([0, 1]) AS c) q3)"
+
+
+@query("v6_upsample2", "vox", sql=f"WITH {_UP.format('vox')} SELECT * FROM up")
+def _(vox):
+    return V.upsample2(vox)
+
+
+@query("v7_erode_26", "vox", sql=f"""WITH n AS (SELECT scene_id, ix + a AS ix, iy + b AS iy, iz + c AS iz FROM vox, (VALUES {", ".join(str(o) for o in V.AROUND)}) o(a, b, c)),
+g AS (SELECT * FROM n GROUP BY ALL HAVING count(*) >= 12) SELECT vox.* FROM vox SEMI JOIN g USING (scene_id, ix, iy, iz)""")
+def _(vox):
+    return V.erode_26(vox, 12)
+
+
+@query("v8_dilate_6_selective", "vox", sql=f"WITH {faces('s', 'vox')} SELECT * FROM s")
+def _(vox):
+    return V.dilate_6_selective(vox)
+
+
+@query("v9_shell_26", "vox", sql=f"WITH {box('d', 'vox', 1, False)}, {box('e', 'd', 1, True)} SELECT * FROM d ANTI JOIN e USING (scene_id, ix, iy, iz)")
+def _(vox):
+    return V.shell_26(V.dilate(vox, 1))
+
+
+@query("v10_refine_shell", "scan_points", sql=f"""WITH {_UP.format('vox')}, {faces('s1', 'up')}, {box('e1', 's1', 1, True)}, {faces('s2', 'e1')}, {box('e3', 's2', 1, True)}
+SELECT scene_id, (ix + 0.5e0) * 0.5e0 AS x, (iy + 0.5e0) * 0.5e0 AS y, (iz + 0.5e0) * 0.5e0 AS z FROM s2 ANTI JOIN e3 USING (scene_id, ix, iy, iz)""")
+def _(points):
+    return V.refine_shell(points, 1.0, 1)
+
+
+@query("v11_dilate_points", "vox", sql=f"WITH {box('d', 'vox', 1, False)} SELECT scene_id, ix + 0.5e0 AS x, iy + 0.5e0 AS y, iz + 0.5e0 AS z FROM d")
+def _(vox):
+    return V.dilate_points(vox.select("scene_id", *S.voxel_center(1.0)), 1)
+
+
+_AIR = """WITH RECURSIVE b AS (SELECT scene_id, min(ix) - 1 AS x0, max(ix) + 1 AS x1, min(iy) - 1 AS y0, max(iy) + 1 AS y1, min(iz) - 1 AS z0, max(iz) + 1 AS z1 FROM vox GROUP BY scene_id),
+free AS MATERIALIZED (SELECT scene_id, CAST(ix AS INT) AS ix, CAST(iy AS INT) AS iy, CAST(iz AS INT) AS iz FROM (SELECT scene_id, ix, iy, unnest(range(z0, z1 + 1)) AS iz FROM (SELECT *, unnest(range(y0, y1 + 1)) AS iy FROM (SELECT *, unnest(range(x0, x1 + 1)) AS ix FROM b)))
+  ANTI JOIN vox USING (scene_id, ix, iy, iz)),
+air AS (SELECT scene_id, CAST(x0 AS INT) AS ix, CAST(y0 AS INT) AS iy, CAST(z0 AS INT) AS iz FROM b UNION
+  SELECT f.scene_id, f.ix, f.iy, f.iz FROM (SELECT scene_id, ix + a AS ix, iy + b AS iy, iz + c AS iz FROM air, (VALUES (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)) o(a, b, c)) n JOIN free f USING (scene_id, ix, iy, iz))"""
+
+
+@query("v12_exterior_air", "vox", sql=f"{_AIR} SELECT * FROM air")
+def _(vox):
+    return V.exterior_air(vox)
+
+
+@query("v13_outer_shell", "vox", sql=f"{_AIR} SELECT DISTINCT vox.* FROM vox, (VALUES (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)) o(a, b, c) WHERE (scene_id, ix + a, iy + b, iz + c) IN (SELECT (scene_id, ix, iy, iz) FROM air)")
+def _(vox):
+    return V.outer_shell(vox)
+
+
+@query("v14_layer_histogram", "vox", sql="SELECT scene_id, iz, count(*) AS n FROM vox GROUP BY scene_id, iz")
+def _(vox):
+    return V.layer_histogram(vox)
+
+
+# meshes
+@query("m1_allocate_samples", "triangles", sql=f"""SELECT mesh_id, face_id, CAST(round(10000 * area / total) AS BIGINT) AS n FROM (SELECT mesh_id, face_id, {AREA} AS area, sum({AREA}) OVER (PARTITION BY mesh_id) AS total FROM triangles) t
+WHERE round(10000 * area / total) > 0""")
+def _(triangles):
+    return M.allocate_samples(triangles, 10_000).select("mesh_id", "face_id", "n")
+
+
+@query("m2_sample_triangles", "triangles")
+def _(triangles):
+    return M.sample_triangles(M.allocate_samples(triangles, 10_000))
+
+
+@query("m3_voxelize_triangles", "triangles")
+def _(triangles):
+    return M.voxelize_triangles(triangles, 1.0)
+
+
+@query("m4_mesh_to_outer_shell", "triangles")
+def _(triangles):
+    return M.mesh_to_outer_shell(triangles, 20_000, 1.0)
+
+
+# neighbours and joins
+_CAND = f"""{PTS}, q AS (SELECT *, atan2(2 * (qw * qz + qx * qy), 1 - 2 * (qy * qy + qz * qz)) AS yaw FROM poses WHERE seq < 60),
+d AS (SELECT q.scene_id, seq, point_id, p.x - q.x AS dx, p.y - q.y AS dy, p.z - q.z AS dz, yaw FROM q JOIN pts p ON q.scene_id = p.scene_id),
+f AS (SELECT *, cos(-yaw) * dx - sin(-yaw) * dy AS ahead, sin(-yaw) * dx + cos(-yaw) * dy AS side FROM d WHERE dx * dx + dy * dy + dz * dz <= 625),
+cand AS (SELECT scene_id, seq, point_id FROM f WHERE ahead BETWEEN 0 AND 20 AND abs(side) <= 10 * (ahead / 20) AND abs(dz) <= 7.5e0 * (ahead / 20))"""
+
+
+def _first_poses(poses: DataFrame) -> DataFrame:
+    return poses.filter("seq < 60")
+
+
+@query("j1_visible_candidates", "poses", "vox", sql=f"WITH {_CAND} SELECT * FROM cand")
+def _(poses, vox):
+    return J.visible_candidates(_first_poses(poses), numbered(vox))
+
+
+@query("j2_ray_voxels", "poses", "vox")
+def _(poses, vox):
+    poses, points = _first_poses(poses), numbered(vox)
+    return R.ray_voxels(R.with_places(J.visible_candidates(poses, points), poses, points))
+
+
+@query("j3_unoccluded", "poses", "vox")
+def _(poses, vox):
+    poses, points = _first_poses(poses), numbered(vox)
+    return R.unoccluded(J.visible_candidates(poses, points), poses, points, vox)
+
+
+@query("j4_radius_neighbors", "vox", sql=f"WITH {PTS} SELECT a.scene_id, a.point_id AS src, b.point_id AS dst, round(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)), 6) AS w FROM pts a, pts b, (VALUES {', '.join(str((x, y, z)) for x in range(-1, 2) for y in range(-1, 2) for z in range(-1, 2) if 0 < x * x + y * y + z * z <= 2)}) o(i, j, k) WHERE a.scene_id = b.scene_id AND b.ix = a.ix + i AND b.iy = a.iy + j AND b.iz = a.iz + k")
+def _(vox):
+    return rounded(J.radius_neighbors(numbered(vox), 1.5), "w")
+
+
+@query("j5_nearest_point", "centroids", "vox", sql=f"""WITH {PTS}, n AS (SELECT c.scene_id, c.frame_id * 10 + c.label AS query_id, p.point_id, round(pow(c.x - p.x, 2) + pow(c.y - p.y, 2) + pow(c.z - p.z, 2), 9) AS d2 FROM centroids c JOIN pts p ON c.scene_id = p.scene_id)
+SELECT scene_id, query_id, round(sqrt(min(d2)), 5) AS d FROM n GROUP BY scene_id, query_id HAVING min(d2) <= 16""")
+def _(centroids, vox):
+    found = J.nearest_point(centroids.withColumn("query_id", F.col("frame_id") * 10 + F.col("label")), numbered(vox), 4.0)
+    return rounded(found.select("scene_id", "query_id", "d"), "d", digits=5)
+
+
+_IDS = "ids AS (SELECT DISTINCT scene_id, frame_id, label, label * 100 + frame_id AS track_id FROM scan_points WHERE label >= 0)"
+
+
+@query("j7_labels_to_ids", "scan_points", sql=f"WITH {_IDS} SELECT p.scene_id, p.frame_id, p.label, x, y, z, track_id FROM scan_points p JOIN ids USING (scene_id, frame_id, label)")
+def _(points):
+    ids = points.filter("label >= 0").select("scene_id", "frame_id", "label", (F.col("label") * 100 + F.col("frame_id")).alias("track_id")).distinct()
+    return J.labels_to_ids(points.select("scene_id", "frame_id", "label", *XYZ), ids)
+
+
+@query("j8_clusters_of_point", "vox", sql=f"WITH {PTS} SELECT scene_id, point_id, x, y, z, CAST(unnest([ix % 3, 5]) AS INT) AS label FROM pts")
+def _(vox):
+    return J.clusters_of_point(numbered(vox).withColumn("clusters", F.array((F.floor("x") % 3).cast("int"), F.lit(5))))
+
+
+_ASOF = "t AS (SELECT DISTINCT scene_id, ts + INTERVAL 1 MINUTE AS ts FROM odometry), o AS (SELECT scene_id, ts, max(x) AS x FROM odometry GROUP BY scene_id, ts)"
+
+
+@query("j9_latest_at_tick", "odometry", sql=f"WITH {_ASOF} SELECT t.scene_id, t.ts, o.x FROM t ASOF JOIN o ON t.scene_id = o.scene_id AND t.ts >= o.ts")
+def _(odometry):
+    return J.latest_at_tick(odometry.select("scene_id", (F.col("ts") + F.expr("INTERVAL 1 MINUTE")).alias("ts")).distinct(), odometry, ("x",))
+
+
+# aggregations
+@query("a1_bounds", "scan_points", sql="SELECT scene_id, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, min(z) AS min_z, max(z) AS max_z FROM scan_points GROUP BY scene_id")
+def _(points):
+    return V.bounds(points)
+
+
+@query("a2_frame_dedup", "scan_points", sql="""SELECT scene_id, frame_id, CAST(floor(x) AS INT) AS ix, CAST(floor(y) AS INT) AS iy, CAST(floor(z) AS INT) AS iz, x, y, z FROM (SELECT *, row_number() OVER (
+PARTITION BY scene_id, frame_id, floor(x), floor(y), floor(z) ORDER BY block_pos DESC, center_pos DESC, x DESC, y DESC, z DESC) AS k FROM scan_points) s WHERE k = 1""")
+def _(points):
+    return A.frame_dedup(points)
+
+
+@query("a3_accumulate_static", "scan_points", sql=f"WITH {ACC} SELECT scene_id, CAST(floor(x) AS INT) AS ix, CAST(floor(y) AS INT) AS iy, CAST(floor(z) AS INT) AS iz, frame_id, x, y, z FROM acc WHERE k = 1")
+def _(points):
+    return A.accumulate(points)
+
+
+@query("a4_count_observed", "scan_points", sql=f"WITH {CLOSE} SELECT s.scene_id, s.n AS observed, coalesce(a.n, 0) AS filled FROM (SELECT scene_id, count(*) AS n FROM vox GROUP BY scene_id) s LEFT JOIN (SELECT scene_id, count(*) AS n FROM added GROUP BY scene_id) a USING (scene_id)")
+def _(points):
+    return A.count_observed(A.static_map(points))
+
+
+QUERIES["wa_static_map"] = QUERIES["a4_count_observed"]
+ORACLE_SQL["wa_static_map"] = ORACLE_SQL["a4_count_observed"]
+
+
+@query("a5_has_points", "scan_points", sql="SELECT DISTINCT scene_id, frame_id, TRUE AS has_points FROM scan_points")
+def _(points):
+    return A.has_points(A.nest_frames(points))
+
+
+@query("a6_supervoxel_centroid", "scan_points", sql="""SELECT scene_id, label, round(avg(x), 6) AS x, round(avg(y), 6) AS y, round(avg(z), 6) AS z FROM (
+SELECT scene_id, label, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM scan_points GROUP BY scene_id, label, floor(x / 4), floor(y / 4), floor(z / 4)) s GROUP BY scene_id, label""")
+def _(points):
+    return rounded(J.supervoxel_centroid(points), *XYZ)
+
+
+@query("a7_cluster_sizes", "scan_points", sql="SELECT scene_id, label, count(*) AS n FROM scan_points GROUP BY scene_id, label HAVING count(*) >= 50")
+def _(points):
+    return J.cluster_sizes(points)
+
+
+@query("a8_group_mean_and_cluster_union", "scan_points", sql="""SELECT scene_id, frame_id AS component, round(avg(x), 6) AS x, round(avg(y), 6) AS y, round(avg(z), 6) AS z,
+  string_agg(DISTINCT CAST(label AS VARCHAR), ',' ORDER BY CAST(label AS VARCHAR)) AS clusters FROM scan_points GROUP BY scene_id, frame_id""")
+def _(points):
+    merged = J.merge_groups(points.select("scene_id", F.col("frame_id").alias("component"), *XYZ, F.array("label").alias("clusters")))
+    return rounded(merged.withColumn("clusters", F.array_join(F.array_sort(F.col("clusters").cast("array<string>")), ",")), *XYZ)
+
+
+@query("a9_first_seen", "poses", "vox", sql=f"WITH {_CAND} SELECT scene_id, point_id, min(seq) AS first_seq FROM cand GROUP BY scene_id, point_id")
+def _(poses, vox):
+    return R.first_seen(J.visible_candidates(_first_poses(poses), numbered(vox)))
+
+
+@query("a10_coverage", "poses", "vox", sql=f"WITH {_CAND}, s AS (SELECT DISTINCT scene_id, point_id FROM cand) SELECT p.scene_id, count(s.point_id) AS seen, count(*) AS total, round(1e2 * count(s.point_id) / count(*), 6) AS percent FROM pts p LEFT JOIN s ON p.scene_id = s.scene_id AND p.point_id = s.point_id GROUP BY p.scene_id")
+def _(poses, vox):
+    points = numbered(vox)
+    return R.coverage(points, R.first_seen(J.visible_candidates(_first_poses(poses), points)))
+
+
+@query("a12_occupied_count", "vox", sql="SELECT scene_id, count(*) AS n FROM vox GROUP BY scene_id")
+def _(vox):
+    return V.occupied_count(vox)
+
+
+@query("p17_recolor_seen", "poses", "vox", sql=f"WITH {_CAND}, s AS (SELECT DISTINCT scene_id, point_id FROM cand) SELECT p.scene_id, p.point_id, CASE WHEN s.point_id IS NULL THEN 16711680 ELSE 65280 END AS rgb FROM pts p LEFT JOIN s ON p.scene_id = s.scene_id AND p.point_id = s.point_id")
+def _(poses, vox):
+    points = numbered(vox)
+    seen = R.first_seen(J.visible_candidates(_first_poses(poses), points))
+    return points.join(seen, ["scene_id", "point_id"], "left").select("scene_id", "point_id", S.recolor_seen(F.col("first_seq")).alias("rgb"))
+
+
+# windows
+@query("w1_stride_sample", "poses", sql="SELECT scene_id, seq, time FROM poses WHERE seq % 3 = 0")
+def _(poses):
+    return T.stride_sample(poses, 3).select("scene_id", "seq", "time")
+
+
+@query("w2_coverage_timeline", "poses", "vox", sql=f"""WITH {_CAND}, s AS (SELECT scene_id, point_id, min(seq) AS seq FROM cand GROUP BY scene_id, point_id), n AS (SELECT scene_id, seq, count(*) AS c FROM s GROUP BY scene_id, seq), t AS (SELECT scene_id, count(*) AS total FROM pts GROUP BY scene_id),
+r AS (SELECT q.scene_id, q.seq, coalesce(c, 0) AS new, CAST(sum(coalesce(c, 0)) OVER (PARTITION BY q.scene_id ORDER BY q.seq) AS BIGINT) AS seen FROM q LEFT JOIN n ON q.scene_id = n.scene_id AND q.seq = n.seq)
+SELECT r.scene_id, seq, new, seen, round(1e2 * seen / total, 6) AS percent FROM r JOIN t ON r.scene_id = t.scene_id""")
+def _(poses, vox):
+    poses, points = _first_poses(poses), numbered(vox)
+    return R.coverage_timeline(poses, R.first_seen(J.visible_candidates(poses, points)), points)
+
+
+@query("w3_path_so_far", "poses", sql="SELECT scene_id, seq, seq + 1 AS n_poses FROM poses")
+def _(poses):
+    return T.path_so_far(poses)
+
+
+@query("w4_elapsed", "poses", sql="SELECT scene_id, seq, round((time - first(time) OVER (PARTITION BY scene_id ORDER BY seq)) / 10, 6) + 0e0 AS elapsed FROM poses")
+def _(poses):
+    return rounded(T.elapsed(poses, 10.0).select("scene_id", "seq", "elapsed"), "elapsed")
+
+
+@query("w5_bic_elbow", "bics", sql="""WITH s AS (SELECT *, lag(bic) OVER (PARTITION BY scene_id ORDER BY k) AS last FROM bics)
+SELECT scene_id, coalesce(min(CASE WHEN (last - bic) / abs(last) < 0.01e0 THEN k - 1 END), first(k ORDER BY bic, k)) AS k FROM s GROUP BY scene_id""")
+def _(bics):
+    return T.bic_elbow(bics)
+
+
+_LAST = "c AS (SELECT scene_id, frame_id, count(*) AS n FROM scan_points GROUP BY scene_id, frame_id)"
+
+
+@query("w7_changed_frames", "scan_points", sql=f"WITH {_LAST} SELECT scene_id, frame_id, n, coalesce(n > max(n) OVER (PARTITION BY scene_id ORDER BY frame_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), TRUE) AS changed FROM c")
+def _(points):
+    return A.changed_frames(points, "grows")
+
+
+@query("w8_edge_points", "scan_points")
+def _(points):
+    labelled = J.clusters_of_point(_labelled(points))
+    return C.edge_points(labelled, J.supervoxel_centroid(labelled))
+
+
+@query("w10_ring_waypoints", "poses", sql="""WITH s AS (SELECT scene_id, round(avg(x), 3) AS cx, round(avg(y), 3) AS cy FROM poses GROUP BY scene_id), r AS (SELECT scene_id, i, cx + 30 * cos(2 * pi() * i / 12) AS x, cy + 30 * sin(2 * pi() * i / 12) AS y FROM s, (SELECT unnest(range(0, 12)) AS i) k),
+f AS (SELECT *, first(i) OVER (PARTITION BY scene_id ORDER BY round(x * x + y * y + 3600, 6), i) AS f FROM r) SELECT scene_id, CAST((i - f + 12) % 12 AS BIGINT) AS ord, round(x, 5) + 0e0 AS x, round(y, 5) + 0e0 AS y, 4e1 AS z FROM f""")
+def _(poses):
+    return rounded(T.ring_waypoints(_structures(poses)), *XYZ, digits=5)
+
+
+@query("w11_next_waypoints", "poses", sql="""WITH s AS (SELECT scene_id, round(avg(x), 3) AS cx, round(avg(y), 3) AS cy FROM poses GROUP BY scene_id), r AS (SELECT scene_id, i, cx + 30 * cos(2 * pi() * i / 12) AS x, cy + 30 * sin(2 * pi() * i / 12) AS y FROM s, (SELECT unnest(range(0, 12)) AS i) k),
+f AS (SELECT *, first(i) OVER (PARTITION BY scene_id ORDER BY round(x * x + y * y + 3600, 6), i) AS f FROM r), g AS (SELECT scene_id, (i - f + 12) % 12 AS ord, x, y FROM f)
+SELECT scene_id, CAST(t AS BIGINT) AS step, CAST(ord AS BIGINT) AS ord, round(x, 5) + 0e0 AS x, round(y, 5) + 0e0 AS y, 4e1 AS z, round(atan2(-y, -x), 5) + 0e0 AS yaw FROM g JOIN (SELECT unnest(range(0, 6)) AS t) k ON ord = (t + 9) % 12""")
+def _(poses):
+    return rounded(T.next_waypoints(T.ring_waypoints(_structures(poses)), 9), *XYZ, "yaw", digits=5)
+
+
+def _structures(poses: DataFrame) -> DataFrame:
+    return poses.groupBy("scene_id").agg(F.round(F.avg("x"), 3).alias("cx"), F.round(F.avg("y"), 3).alias("cy")).withColumns({"radius": F.lit(30.0), "height": F.lit(40.0)})
+
+
+# sets
+@query("s1_union", "scan_points", sql=f"WITH {ACC} SELECT scene_id, x, y, z, 0 AS class FROM acc WHERE k = 1 UNION ALL SELECT scene_id, x, y, z, 1 FROM scan_points WHERE label = 1")
+def _(points):
+    ours = A.accumulate(points).select("scene_id", *XYZ, F.lit(0).alias("class"))
+    return ours.unionByName(points.filter("label = 1").select("scene_id", *XYZ, F.lit(1).alias("class")))
+
+
+@query("s2_distinct", "scan_points", sql="SELECT DISTINCT scene_id, x, y, z FROM scan_points")
+def _(points):
+    return points.select("scene_id", *XYZ).distinct()
+
+
+@query("s3_difference", "vox", sql=f"WITH {box('d', 'vox', 1, False)} SELECT * FROM d ANTI JOIN vox USING (scene_id, ix, iy, iz)")
+def _(vox):
+    return V.dilate(vox, 1).join(vox, list(V.KEY), "left_anti")
+
+
+# clusters and skeletons
+def _labelled(points: DataFrame) -> DataFrame:
+    """Distinct voxels of the labelled points, at their centres."""
+    cells = points.filter("label >= 0").select("scene_id", "label", *S.quantize(1.0)).distinct()
+    return cells.select("scene_id", F.array("label").alias("clusters"), S.pack_voxel().alias("point_id"), *S.voxel_center(1.0))
+
+
+_NEAR = ", ".join(str((x, y, z)) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1) if 0 < x * x + y * y + z * z <= 2)
+_LINKS = f"""WITH RECURSIVE {PTS}, e AS MATERIALIZED (SELECT a.point_id AS a, a.scene_id, b.point_id AS b FROM pts a, pts b, (VALUES {_NEAR}) o(i, j, k) WHERE a.scene_id = b.scene_id AND b.ix = a.ix + i AND b.iy = a.iy + j AND b.iz = a.iz + k)"""
+
+
+@query("c1_radius_components", "vox")
+def _(vox):
+    return J.radius_components(numbered(vox), 1.5).select("scene_id", "point_id", "component")
+
+
+@query("c2_filter_lonely_points", "vox")
+def _(vox):
+    return J.filter_lonely_points(numbered(vox)).select("scene_id", "point_id", *XYZ)
+
+
+@query("c4_split_clusters", "scan_points")
+def _(points):
+    labelled = J.clusters_of_point(_labelled(points))
+    return J.split_clusters(labelled, 3.0).select("scene_id", "label", "component", "n", "new_label")
+
+
+QUERIES["w6_relabel_components"] = QUERIES["c4_split_clusters"]
+
+
+@query("c6_merge_edge_points_within_cluster", "scan_points")
+def _(points):
+    labelled = J.clusters_of_point(_labelled(points))
+    ends = C.edge_points(labelled, J.supervoxel_centroid(labelled))
+    return rounded(C.merge_within_clusters(ends, labelled), *XYZ)
+
+
+@query("c9_densify", "scan_points")
+def _(points):
+    labelled = J.clusters_of_point(_labelled(points))
+    return C.densify(labelled, C.edge_points(labelled, J.supervoxel_centroid(labelled)))
+
+
+@query("c12_skeletonize", "scan_points")
+def _(points):
+    labelled = J.clusters_of_point(_labelled(points))
+    ends = C.merge_within_clusters(C.edge_points(labelled, J.supervoxel_centroid(labelled)), labelled)
+    joined = C.merge_across_clusters(C.densify(labelled, ends), ends)
+    more = C.extend_endpoints(joined).select("scene_id", "label", *XYZ, F.lit(False).alias("is_edge"))
+    return rounded(joined.select("scene_id", "label", *XYZ, "is_edge").unionByName(more), *XYZ)
+
+
+# state
+@query("t2_stable_k", "detections")
+def _(detections):
+    return T.stable_k(detections)
+
+
+@query("t3_track_ids", "centroids")
+def _(centroids):
+    return T.track_ids(centroids)
+
+
+@query("t4_repeat_last_output", "scan_points", sql=f"""WITH {_LAST}, m AS (SELECT *, coalesce(n <> lag(n) OVER (PARTITION BY scene_id ORDER BY frame_id), TRUE) AS changed FROM c)
+SELECT scene_id, frame_id, n, changed, max(CASE WHEN changed THEN frame_id END) OVER (PARTITION BY scene_id ORDER BY frame_id) AS result_frame FROM m""")
+def _(points):
+    return A.repeat_last_output(A.changed_frames(points))
+
+
+@query("t6_waypoint_arrival", "odometry")
+def _(odometry):
+    return T.waypoint_arrival(odometry, (25.0, 5.0, 0.0))
