@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelspark.functions.scalar import CELL, XYZ, quantize, triangle_area
@@ -37,23 +40,27 @@ def voxelize_triangles(triangles: DataFrame, res: float = 1.0) -> DataFrame:
     for c, a, b in zip(("ix", "iy", "iz"), low, high):
         t = t.withColumn(c, F.explode(F.sequence(F.floor(a / res).cast("int"), F.floor(b / res).cast("int"))))
     half = res / 2
-    v = [[F.col(f"{n}{i}") - (F.col(c) + 0.5) * res for n, c in zip(XYZ, ("ix", "iy", "iz"))] for i in range(3)]
-    edges = [[v[(i + 1) % 3][k] - v[i][k] for k in range(3)] for i in range(3)]
-
-    def apart(axis):
-        p = [sum((axis[k] * v[i][k] for k in range(3)), F.lit(0.0)) for i in range(3)]
-        r = sum((F.abs(axis[k]) * half for k in range(3)), F.lit(0.0))
-        return (F.least(*p) > r) | (F.greatest(*p) < -r)
-
-    zero = F.lit(0.0)
-    axes = []
-    for e in edges:
-        axes += [[zero, -e[2], e[1]], [e[2], zero, -e[0]], [-e[1], e[0], zero]]
-    (ax, ay, az), (bx, by, bz) = edges[0], edges[1]
-    axes.append([ay * bz - az * by, az * bx - ax * bz, ax * by - ay * bx])
-    for axis in axes:
-        t = t.filter(~apart(axis))
-    return t.select(F.col("mesh_id").alias("scene_id"), "ix", "iy", "iz").distinct()
+    corners = F.struct(*[(F.col(f"{n}{i}") - (F.col(c) + 0.5) * res).alias(f"{n}{i}") for i in range(3) for n, c in zip(XYZ, ("ix", "iy", "iz"))])
+
+    def meets(p: Column) -> Column:
+        """Whether no separating axis parts the corners, relative to the cell's centre, from the cell."""
+        v = [[p[f"{n}{i}"] for n in XYZ] for i in range(3)]
+        edges = [[v[(i + 1) % 3][k] - v[i][k] for k in range(3)] for i in range(3)]
+        zero = F.lit(0.0)
+        (ax, ay, az), (bx, by, bz) = edges[0], edges[1]
+        axes = [a for e in edges for a in ([zero, -e[2], e[1]], [e[2], zero, -e[0]], [-e[1], e[0], zero])]
+        axes.append([ay * bz - az * by, az * bx - ax * bz, ax * by - ay * bx])
+
+        def touches(axis: list[Column]) -> Column:
+            spots = [sum((axis[k] * v[i][k] for k in range(3)), zero) for i in range(3)]
+            reach = sum((F.abs(axis[k]) * half for k in range(3)), zero)
+            return (F.least(*spots) <= reach) & (F.greatest(*spots) >= -reach)
+
+        return reduce(and_, [touches(a) for a in axes])
+
+    # the corners are bound to a name once, or each axis would compute them anew
+    hit = F.exists(F.array(corners), meets)
+    return t.filter(hit).select(F.col("mesh_id").alias("scene_id"), "ix", "iy", "iz").distinct()
 
 
 def mesh_to_outer_shell(triangles: DataFrame, total: int, res: float) -> DataFrame:
