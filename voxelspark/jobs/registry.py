@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +16,10 @@ from voxelspark.operators import neighbours as J
 from voxelspark.operators import skeleton as C
 from voxelspark.operators import state as T
 from voxelspark.operators import visibility as R
+from voxelspark.operators.components import shared_folder
 from voxelspark.sources import poses as P
-from voxelspark.sources.fixtures import view, with_views
+from voxelspark.sources.fixtures import VIEWS, view, with_views
+from voxelspark.streaming.maps import current_map, stream_accumulate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -575,7 +578,12 @@ def _(points):
 
 
 # state
-@query("t2_stable_k", "detections")
+@query("t2_stable_k", "detections", sql="""WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY frame_id) AS i FROM detections),
+r AS (SELECT scene_id, frame_id, detected_k, i, detected_k AS k, detected_k AS seen, 1 AS epochs, 0 AS cnt FROM o WHERE i = 1 UNION ALL
+  SELECT scene_id, frame_id, d, i, CASE WHEN k = d OR c < need THEN k ELSE d END, d, CASE WHEN k = d THEN epochs + 1 WHEN c >= need THEN 1 ELSE epochs END, CASE WHEN k = d OR c >= need THEN 0 ELSE c END
+  FROM (SELECT o.scene_id, o.frame_id, o.detected_k AS d, o.i, r.k, r.epochs, CASE WHEN r.seen = o.detected_k THEN r.cnt + 1 ELSE 1 END AS c,
+    least(5, greatest(2, floor((CASE WHEN o.detected_k > r.k THEN 0.1e0 ELSE 0.5e0 END) * r.epochs))) AS need FROM o JOIN r ON o.scene_id = r.scene_id AND o.i = r.i + 1) x)
+SELECT scene_id, frame_id, detected_k, k AS stable_k, k <> detected_k AS skipped FROM r""")
 def _(detections):
     return T.stable_k(detections)
 
@@ -591,6 +599,50 @@ def _(points):
     return A.repeat_last_output(A.changed_frames(points))
 
 
-@query("t6_waypoint_arrival", "odometry")
+@query("t6_waypoint_arrival", "odometry", sql="""WITH RECURSIVE o AS (SELECT scene_id, sqrt((x - 25) * (x - 25) + (y - 5) * (y - 5)) AS d, row_number() OVER (PARTITION BY scene_id ORDER BY ts, sqrt((x - 25) * (x - 25) + (y - 5) * (y - 5))) AS i FROM odometry),
+r AS (SELECT scene_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS n, CAST('infinity' AS DOUBLE) AS last FROM o WHERE i = 1 UNION ALL
+  SELECT o.scene_id, o.i, r.n + CASE WHEN d > last THEN 1 ELSE 0 END, CASE WHEN d > last THEN CAST('infinity' AS DOUBLE) WHEN d < 2 THEN d ELSE last END FROM o JOIN r ON o.scene_id = r.scene_id AND o.i = r.i + 1)
+SELECT scene_id, max(n) AS arrivals FROM r GROUP BY scene_id""")
 def _(odometry):
     return T.waypoint_arrival(odometry, (25.0, 5.0, 0.0))
+
+
+# operators that need tables of their own, derived from the clouds
+_EDGE = "e AS (SELECT DISTINCT scene_id, label, floor(x) AS x, floor(y) AS y, floor(z) AS z FROM scan_points WHERE label >= 0 AND z > 40)"
+
+
+@query("j6_flag_edge_points", "scan_points", sql=f"""WITH {_EDGE}, s AS (SELECT DISTINCT scene_id, label, floor(x) AS x, floor(y) AS y, floor(z) AS z FROM scan_points WHERE label >= 0)
+SELECT s.scene_id, s.label, s.x + 0.5e0 AS x, s.y + 0.5e0 AS y, s.z + 0.5e0 AS z, e.x IS NOT NULL AS is_edge FROM s LEFT JOIN e ON s.scene_id = e.scene_id AND s.label = e.label AND s.x = e.x AND s.y = e.y AND s.z = e.z""")
+def _(points):
+    skeleton_points = J.clusters_of_point(_labelled(points)).withColumnRenamed("point_id", "ord")
+    ends = J.clusters_of_point(_labelled(points.filter("z > 40"))).select("scene_id", "label", *[(F.col(n) + 0.0005).alias(n) for n in XYZ])
+    return C.flag_edge_points(skeleton_points, ends).select("scene_id", "label", *XYZ, "is_edge")
+
+
+@query("c11_extend_endpoints", "scan_points")
+def _(points):
+    cells = J.clusters_of_point(_labelled(points)).select("scene_id", "label", *XYZ)
+    tips = cells.groupBy("scene_id", "label").agg(F.max(F.struct("z", "x", "y")).alias("t"))
+    marked = cells.join(tips, ["scene_id", "label"]).withColumn("is_edge", F.struct("z", "x", "y") == F.col("t"))
+    return rounded(C.extend_endpoints(marked.select("scene_id", "label", *XYZ, "is_edge", F.array("label").alias("clusters"))), *XYZ)
+
+
+@query("c3_fit_mixtures", "scan_points")
+def _(points):
+    fitted, _ = C.fit_mixture(J.clusters_of_point(_labelled(points)), 2)
+    return fitted.groupBy("scene_id", "mixture").agg(F.count("*").alias("n"))
+
+
+def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The running map of all frames, read as a stream, in the shared folder."""
+    source = f"{sf_dir}/lineitem.parquet"
+    lines = spark.readStream.schema(spark.read.parquet(source).schema).parquet(f"{sf_dir}/lineitem.parque*")
+    shared_folder(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    points = spark.sql(VIEWS["scan_points"].replace("FROM lineitem", "FROM {lineitem}"), lineitem=lines)
+    stream_accumulate(points, f"{folder}/map", f"{folder}/progress").awaitTermination()
+    return current_map(spark, f"{folder}/map")
+
+
+QUERIES["t1_stream_accumulate"] = _streamed
+ORACLE_SQL["t1_stream_accumulate"] = ORACLE_SQL["a3_accumulate_static"]
