@@ -47,7 +47,7 @@ MEMO_CHARS, MEMO_SIZE = 48, 300_000
 _BITS = 20
 _MASK, _NONE = (1 << _BITS) - 1, 1 << 62
 #: Characters of the Unicode property White_Space.
-WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _SPLIT = regex.compile(f"[{WHITE_SPACE}]+")
 _ODD = regex.compile("[\x1c-\x1f]")
 

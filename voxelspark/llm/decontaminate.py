@@ -10,7 +10,8 @@ is cut by item into blocks of about that size, each is held against all document
 document are then put together by its key, so memory stays bounded for any benchmark.
 
 Null and empty texts have no words and no hits; empty items have no window.  Items with equal texts are
-all reported.  Item ids are reported as strings, once each.  Documents keep their rows when ids repeat.
+all reported.  Item ids are reported as strings, once each.  Rows that repeat a doc_id each keep their own
+row with one block; with several blocks they become one row with the hits of all.
 """
 
 from __future__ import annotations
@@ -70,7 +71,7 @@ class Windows:
 _ROW = "n_words long, item_ids array<string>, spans array<struct<first:int,last:int,start:int,end:int>>"
 
 
-def _scan(windows, kind: pa.DataType):
+def _scan(windows):
     """Hits of each row: words [first, last) and bytes [start, end) of each maximal run of hit words."""
     spans_type = pa.list_(pa.struct([(n, pa.int32()) for n in ("first", "last", "start", "end")]))
 
@@ -122,7 +123,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = N, block_bytes: int = B
     context = docs.sparkSession.sparkContext
     parts = []
     for windows in _blocks(benchmark, n, block_bytes):
-        parts.append(rows.mapInArrow(_scan(context.broadcast(windows), None), schema))
+        parts.append(rows.mapInArrow(_scan(context.broadcast(windows)), schema))
     if len(parts) == 1:
         return parts[0]
     # several blocks: the same rows in each part, so each document's parts meet by its key
@@ -140,7 +141,7 @@ def n_hit(spans: str = "spans"):
 
 def _cut(windows):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scan_batch = _scan(windows, None)
+        scan_batch = _scan(windows)
         for batch in batches:
             texts = batch.column("text")
             view = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), texts], ["doc_id", "text"])
