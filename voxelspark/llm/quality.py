@@ -176,8 +176,10 @@ def clean(docs: DataFrame) -> DataFrame:
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     held = docs.select(row.alias("row"), F.col("text").alias("body"))
-    kept = measure(held, "row", "body").filter("kept")
-    fresh = {"text": F.col("clean_text"), "n_chars": F.char_length("clean_text").cast("long")}
+    # explode, not filter: a filter would be pushed below the verdict's columns and compute them again
+    passed = F.filter(F.array(F.struct("kept", "clean_text")), lambda r: r["kept"])
+    kept = measure(held, "row", "body").select("doc_id", F.explode(passed).alias("r"))
+    fresh = {"text": F.col("r.clean_text"), "n_chars": F.char_length("r.clean_text").cast("long")}
     return kept.select(*[fresh.get(c, F.col("doc_id").getField(c)).alias(c) for c in docs.columns])
 
 
