@@ -24,7 +24,7 @@ def parse_poses(files: DataFrame, stride: int = 1) -> DataFrame:
 
 def read_poses_csv(spark: SparkSession, path: str, stride: int = 1) -> DataFrame:
     """One row a file first: only a whole file has an order of lines."""
-    return parse_poses(spark.read.option("wholetext", True).text(path).withColumn("path", F.input_file_name()), stride)
+    return parse_poses(spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name()), stride)
 
 
 def explode_path(messages: DataFrame) -> DataFrame:
