@@ -43,7 +43,7 @@ from voxelspark.llm.common import text_input
 from voxelspark.llm.kernels import ranges
 
 #: Pieces of up to so many characters are memoised, at most so many of them.
-MEMO_CHARS, MEMO_SIZE = 48, 300_000
+MEMO_CHARS, MEMO_SIZE = 48, 120_000
 _BITS = 20
 _MASK, _NONE = (1 << _BITS) - 1, 1 << 62
 #: Characters of the Unicode property White_Space.
@@ -210,6 +210,9 @@ class Encoder:
             out += ids
         return out
 
+    def forget(self) -> None:
+        self._words.clear()
+
     def piece(self, text: str) -> list[int]:
         """Ids of a text without white space, or of any text."""
         if not self._special or not self._special.search(text):
@@ -232,9 +235,8 @@ def encoder(path: str, lookahead: int | None = None) -> Encoder:
     return Encoder(path, lookahead)
 
 
-def token_bytes(path: str) -> list[bytes]:
+def token_bytes(found: Encoder) -> list[bytes]:
     """What each id adds to a decoded text: with no decoder in the file, tokens are joined by spaces."""
-    found = encoder(path)
     table = {**{i: t for t, i in found.vocab.items()}, **{i: t for t, i in found.special.items()}}
     return [table.get(i, "").encode("utf-8") + b" " for i in range(max(table) + 1)]
 
@@ -308,8 +310,9 @@ class _Memo:
 
 def _transduce(path: str, lookahead: int, chunk: int = 1 << 16):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _Memo(encoder(path, lookahead))
-        table = token_bytes(path)
+        found = encoder(path, lookahead)  # with the lookahead given, no worker computes it again
+        memo = _Memo(found)
+        table = token_bytes(found)
         length = np.array([len(t) for t in table], np.int64)
         first = np.cumsum(length) - length
         flat = np.frombuffer(b"".join(table), np.uint8)
@@ -336,6 +339,7 @@ def _transduce(path: str, lookahead: int, chunk: int = 1 << 16):
                     ["doc_id", "ids", "decoded"],
                 )
                 at = stop
+        found.forget()  # an idle worker holds no words
 
     return run
 
