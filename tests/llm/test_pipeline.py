@@ -58,3 +58,18 @@ def test_stages(spark, sf_dir):
     lib = Tokenizer.from_file(tokenizer_path())
     assert all(r.ids == lib.encode(clean[i].text, add_special_tokens=False).ids and r.n_tokens == len(r.ids) for i, r in tokens.items())
     assert {r.doc_id for r in corpus_pipeline.run(spark, folder).collect()} == set(tokens)
+
+
+def test_repeated_rows_leave_one_whole_text(spark):
+    rng = random.Random(9)
+    a, b, c, d, shared = (sentence(rng, 90) for _ in range(5))
+    rows = [(1, a), (1, a), (1, a), (2, b), (2, a), (3, b), (4, c + shared), (4, d), (5, shared + b[:150]), (None, c), (None, c), (6, None), (6, None)]
+    docs = spark.createDataFrame([(i, t, "en", "src", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    near = corpus_pipeline.ngram_jaccard_join(spark, docs, "")
+    order = lambda rows: sorted(((r.doc_id or 0, r.text or "") for r in rows))
+    assert near.columns == docs.columns
+    assert order(near.collect()) == sorted([(1, a), (2, b), (4, c + shared), (4, d), (5, shared + b[:150]), (0, c), (6, ""), (6, "")])
+    out = corpus_pipeline.suffix_array_dedup(spark, near, "").collect()
+    texts = [r.text or "" for r in out]
+    assert a in texts and b in texts and d in texts and len(out) == 8
+    assert not any(shared in t for t in texts)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelspark.operators.components import checkpoint, shared_folder
 
-__all__ = ["checkpoint", "read", "shared_folder", "text_input"]
+__all__ = ["checkpoint", "read", "release", "shared_folder", "text_input"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,3 +19,9 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def text_input(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Only the two columns that an operator reads; others may have any names."""
     return docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+
+
+def release(df: DataFrame) -> None:
+    """Shuffle files behind a checkpoint go once the driver collects what used them; let it do so now, before more are written."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()

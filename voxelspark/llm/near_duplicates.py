@@ -1,8 +1,8 @@
 """N-gram Jaccard join by MinHash banding.
 
 Words are those of the decontamination (lower-cased ASCII letters and digits, all beyond ASCII); a text's set holds
-its five-word shingles, or the whole of a shorter text.  Texts with the same words are one *class*, represented by its least
-doc_id; only representatives are compared.
+its five-word shingles, or the whole of a shorter text.  Texts with the same words are one *class*, known by the
+fingerprint of its words and not by a doc_id, which other texts may share; one row of each class is compared.
 
 1. MinHash signatures in bands; the number of bands and rows is chosen for ``RECALL`` at the threshold (:func:`bands_for`).
 2. Shuffle on band hashes.  In each bucket one member, different from bucket to bucket, leads; every other member makes
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelspark.llm import kernels as K
-from voxelspark.llm.common import checkpoint, text_input
+from voxelspark.llm.common import checkpoint, release, text_input
 from voxelspark.operators.components import components
 
 N, THRESHOLD, RECALL, MAX_HASHES, BLOCK = 5, 0.8, 0.99999, 128, 256
@@ -63,6 +63,25 @@ def _shingles(s: K.Slice, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return prefix.of(start, start + width), number, prefix.of(w.first[:-1], w.first[1:]), count
 
 
+def _fingerprints(whole: np.ndarray, count: np.ndarray) -> pa.Array:
+    """A number for the words of each text, null where there are none."""
+    with np.errstate(over="ignore"):
+        return pa.array(K.mix(whole + count.astype(np.uint64)).view(np.int64), mask=count == 0)
+
+
+def _fingerprinted(n: int):
+    """Rows as they are, with the fingerprint of their text's words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in K.slices(batch.column("text")):
+                _, _, whole, count = _shingles(s, n)
+                part = batch.slice(s.first, s.rows)
+                yield pa.RecordBatch.from_arrays([*part.columns, _fingerprints(whole, count)], [*part.schema.names, "_fp"])
+
+    return run
+
+
 def _signatures(n: int, bands: int, rows: int):
     rng = np.random.default_rng(_SEED)
     factor = rng.integers(0, 2**63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -83,10 +102,8 @@ def _signatures(n: int, bands: int, rows: int):
                                 key = K.mix(key ^ np.minimum.reduceat(grams * factor[k] + shift[k], first))
                             keys[:, band] = key
                 offsets = np.concatenate(([0], np.cumsum(np.where(number > 0, bands, 0)))).astype(np.int32)
-                with np.errstate(over="ignore"):
-                    fp = K.mix(whole + count.astype(np.uint64))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(s.first, s.rows), pa.array(fp.view(np.int64), mask=count == 0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel().view(np.int64)))],
+                    [batch.column("doc_id").slice(s.first, s.rows), _fingerprints(whole, count), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel().view(np.int64)))],
                     ["doc_id", "fp", "bands"],
                 )
 
@@ -94,13 +111,18 @@ def _signatures(n: int, bands: int, rows: int):
 
 
 def _sets(n: int):
+    """The sets of the classes that a row is asked for; a row may share its doc_id with other texts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            asked = batch.column("asked").to_pylist()
             for s in K.slices(batch.column("text")):
-                grams, number, _, _ = _shingles(s, n)
+                grams, number, whole, count = _shingles(s, n)
                 ends = np.cumsum(number)
-                sets = [np.unique(grams[a:b]).tobytes() for a, b in zip(ends - number, ends)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(s.first, s.rows), pa.array(sets, pa.binary())], ["id", "grams"])
+                ids = _fingerprints(whole, count).to_pylist()
+                at = [i for i, x in enumerate(ids) if x in asked[s.first + i]]
+                sets = [np.unique(grams[ends[i] - number[i] : ends[i]]).tobytes() for i in at]
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in at], pa.int64()), pa.array(sets, pa.binary())], ["id", "grams"])
 
     return run
 
@@ -196,39 +218,71 @@ def _against_rest(members: DataFrame, sets: DataFrame) -> DataFrame:
     return every.unionByName(some).join(sets, "id")
 
 
-def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, links: bool = True, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, class_id`` (least doc_id of its group) and, with ``links``, ``n_links``: the documents that are linked to it."""
-    rows = text_input(docs, key, text)
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    bands, per_band = bands_for(threshold, recall)
-    signed = checkpoint(rows.mapInArrow(_signatures(n, bands, per_band), f"doc_id {kind}, fp long, bands array<long>"))
-    classes = signed.filter("fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"), F.first("bands").alias("bands"))
+def _classes(signed: DataFrame, rows: DataFrame, n: int, threshold: float, links: bool) -> DataFrame:
+    """``fp, first, class_fp, class_id`` for each class: its least doc_id, and the group's least one with its fingerprint; ``n_links``."""
+    least = lambda at, fp: F.min(F.struct(F.col(at).isNull().alias("none"), F.col(at).alias("doc_id"), F.col(fp).alias("fp")))
+    classes = signed.filter("fp IS NOT NULL").groupBy(F.col("fp").alias("id")).agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.first("bands").alias("bands"))
     classes = checkpoint(classes)
     buckets = classes.select("id", "n", F.explode("bands").alias("g"))
     leaders = buckets.groupBy("g").agg(F.min(F.struct(F.xxhash64("g", "id").alias("h"), "id"))["id"].alias("leader"), F.count("*").alias("members")).filter("members >= 2")
     held = checkpoint(buckets.join(leaders.drop("members"), "g"))
-    wanted = held.select(F.col("id").alias("doc_id")).distinct()
-    sets = checkpoint(rows.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(n), f"id {kind}, grams binary"))
+    wanted = classes.join(held.select("id").distinct(), "id", "left_semi").groupBy(F.xxhash64("first").alias("at")).agg(F.collect_list("id").alias("asked"))
+    texts = rows.select(F.xxhash64("doc_id").alias("at"), "text").join(wanted, "at").select("text", "asked")
+    sets = checkpoint(texts.mapInArrow(_sets(n), "id long, grams binary").dropDuplicates(["id"]))
+    release(rows)
     pairs = held.filter("id <> leader").select(F.least("id", "leader").alias("src"), F.greatest("id", "leader").alias("dst")).distinct()
     left, right = sets.select(F.col("id").alias("src"), F.col("grams").alias("left")), sets.select(F.col("id").alias("dst"), F.col("grams").alias("right"))
-    edges = checkpoint(pairs.join(left, "src").join(right, "dst").select("src", "dst", "left", "right").mapInArrow(_verify(threshold), f"src {kind}, dst {kind}"))
+    edges = checkpoint(pairs.join(left, "src").join(right, "dst").select("src", "dst", "left", "right").mapInArrow(_verify(threshold), "src long, dst long"))
+    release(rows)
     found = components(edges).select(F.col("node").alias("id"), F.col("component").alias("label"))
     marked = held.join(found, "id", "left").select("g", "id", F.coalesce("label", "id").alias("label"), "n")
     groups = _against_rest(marked, sets)
-    more = groups.groupBy("g", "i", "j").applyInArrow(_compare(threshold, False), f"src {kind}, dst {kind}")
+    more = groups.groupBy("g", "i", "j").applyInArrow(_compare(threshold, False), "src long, dst long")
     found = components(edges.unionByName(more)).select(F.col("node").alias("id"), F.col("component").alias("label"))
-    owner = classes.select("fp", "id", "n").join(found, "id", "left").select("fp", "id", "n", F.coalesce("label", "id").alias("class_id"))
+    heads = classes.join(found, "id").groupBy("label").agg(least("first", "id").alias("head"))
+    owner = classes.select("id", "first", "n").join(found.join(heads, "label"), "id", "left")
+    owner = owner.select("id", "first", "n", F.coalesce("head.fp", "id").alias("class_fp"), F.when(F.col("head").isNull(), F.col("first")).otherwise(F.col("head.doc_id")).alias("class_id"))
     if links:
         inside = classes.select("id", "n").join(found, "id").select(F.col("label").alias("g"), "id", "label", "n")
-        counts = _blocks(inside, sets).groupBy("g", "i", "j").applyInArrow(_compare(threshold, True), f"id {kind}, links long")
+        counts = _blocks(inside, sets).groupBy("g", "i", "j").applyInArrow(_compare(threshold, True), "id long, links long")
         counts = counts.groupBy("id").agg(F.sum("links").alias("links"))
         owner = owner.join(counts, "id", "left").withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("n") - 1)
+    return owner.select(F.col("id").alias("fp"), "first", "class_fp", "class_id", *(["n_links"] if links else []))
+
+
+def _signed(rows: DataFrame, n: int, threshold: float, recall: float) -> DataFrame:
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return checkpoint(rows.mapInArrow(_signatures(n, *bands_for(threshold, recall)), f"doc_id {kind}, fp long, bands array<long>"))
+
+
+def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, links: bool = True, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, class_id`` (least doc_id of its group) and, with ``links``, ``n_links``: the documents that are linked to it."""
+    rows = text_input(docs, key, text)
+    signed = _signed(rows, n, threshold, recall)
+    owner = _classes(signed, rows, n, threshold, links)
     extra = ["n_links"] if links else []
     out = signed.select("doc_id", "fp").join(owner.select("fp", "class_id", *extra), "fp", "left")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in extra])
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents with their columns, one of each group: that of the least doc_id."""
-    gone = near_duplicates(docs, links=False).filter("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """The documents with their columns, one row of each group: that of the least doc_id, and of its copies any one.
+
+    A row is known by its doc_id and its words' fingerprint.  Where such a key is a group's first and several rows have it, one stays.
+    Rows without words are no copies of each other and all stay.
+    """
+    rows = text_input(docs)
+    signed = _signed(rows, N, THRESHOLD, RECALL)
+    keys = signed.filter("fp IS NOT NULL").groupBy("doc_id", "fp").agg(F.count("*").alias("copies"))
+    owner = _classes(signed, rows, N, THRESHOLD, False).select("fp", "class_fp", "class_id")
+    stays = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("fp") == F.col("class_fp"))
+    verdicts = keys.join(owner, "fp").select(F.col("doc_id").alias("_id"), F.col("fp").alias("_of"), stays.alias("_stays"), "copies")
+    verdicts = checkpoint(verdicts.filter("NOT _stays OR copies > 1"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    marked = docs.mapInArrow(_fingerprinted(N), f"{fields}, _fp long")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_fp") == F.col("_of"))
+    alone = marked.join(verdicts, same, "left_anti")
+    repeated = verdicts.filter("_stays")
+    if repeated.isEmpty():
+        return alone.select(docs.columns)
+    return alone.unionByName(marked.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "_fp"])).select(docs.columns)

@@ -96,6 +96,11 @@ def _cut(unit: Unit):
 
 
 def remove_repeats(docs: DataFrame, unit: Unit = UNIT) -> DataFrame:
-    """The documents with their columns, texts without repeated bytes; characters cut in part stay."""
-    pieces = repeated(text_input(docs), unit)
-    return by_id(docs, pieces, "left").mapInArrow(_cut(unit), docs.schema)
+    """The documents with their columns, texts without repeated bytes; characters cut in part stay.
+
+    Rows meet their repeats by a hash of doc_id and text, as one id may have several texts.
+    """
+    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    pieces = repeated(text_input(keyed, "_row"), unit).withColumnRenamed("doc_id", "_of")
+    joined = keyed.join(pieces, F.col("_row") == F.col("_of"), "left").select(*docs.columns, "pieces")
+    return joined.mapInArrow(_cut(unit), docs.schema)
