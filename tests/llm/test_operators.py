@@ -75,6 +75,18 @@ def test_decontamination(spark, docs, none):
     assert decontaminate.scan(none, bench).count() == 0
 
 
+def test_decontamination_is_the_same_for_any_number_of_blocks(spark):
+    w = words(60, 9).split()
+    items = [(i, " ".join(w[a:b])) for i, (a, b) in enumerate([(5, 20), (15, 30), (30, 40), (44, 45)])]
+    items.append((9, " ".join(w[0:5] + w[40:45])))  # only there where words on both sides of a cut meet
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(1, " ".join(w)), (1, " ".join(w[:12]) + "."), (None, " ".join(w[10:35])), (None, "other words"), (1, " ".join(w)), (2, None)]
+    docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in rows], "doc_id long, text string, n_chars long").repartition(3)
+    order = lambda df: sorted(map(str, df.collect()))
+    one, many = ([order(f(docs, bench, block_bytes=size)) for f in (decontaminate.scan, decontaminate.remove_spans)] for size in (1 << 20, 50))
+    assert one == many and len(many[0]) == len(many[1]) == len(rows)
+
+
 def test_html(spark):
     frame = "<body><header>Top</header><nav><ul><li>A<li>B</ul></nav><p>Same on all</p><div class='ad x'>Buy</div><div id=c><p>{}<b>bold<p>Two {} &amp; 2&nbsp;x<br>y</div><form>f</form><div class=comments><article class=comment>me</article></div><footer>F"
     pages = [(i, f"http://h/{i}", frame.format(f"Text {i} ", i)) for i in range(6)]

@@ -7,11 +7,12 @@ are looked up in it, and each hit is verified on its words.
 
 The set is broadcast only up to ``block_bytes`` of benchmark text.  Beyond that the benchmark
 is cut by item into blocks of about that size, each is held against all documents, and the hits of a
-document are then put together by its key, so memory stays bounded for any benchmark.
+row are then put together by a number of its own and joined to maximal runs, so memory stays bounded for any benchmark
+and results are those of one block.
 
 Null and empty texts have no words and no hits; empty items have no window.  Items with equal texts are
-all reported.  Item ids are reported as strings, once each.  Rows that repeat a doc_id each keep their own
-row with one block; with several blocks they become one row with the hits of all.
+all reported.  Item ids are reported as strings, once each.  Rows that repeat a doc_id, or have none, each keep their own
+row and hits.
 """
 
 from __future__ import annotations
@@ -21,11 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelspark.llm import kernels as K
-from voxelspark.llm.common import text_input
+from voxelspark.llm.common import checkpoint, text_input
 
 N, BLOCK_BYTES = 10, 32 << 20
 _BITS = 20
@@ -107,30 +109,64 @@ def _scan(windows):
     return run
 
 
-def _blocks(benchmark: DataFrame, n: int, block_bytes: int) -> Iterator[Windows]:
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter("item IS NOT NULL")
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("string").alias("item"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter("item IS NOT NULL")
+
+
+def _number(items: DataFrame, block_bytes: int) -> int:
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = -(-size // block_bytes) or 1
+    return -(-size // block_bytes) or 1
+
+
+def _blocks(benchmark: DataFrame, n: int, block_bytes: int) -> Iterator[Windows]:
+    items = _items(benchmark)
+    blocks = _number(items, block_bytes)
     for i in range(blocks):
         rows = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == i)
         yield Windows([(r["item"], r["text"]) for r in rows.collect()], n)
 
 
+def _broadcasts(benchmark: DataFrame, n: int, block_bytes: int) -> Iterator[Broadcast]:
+    return map(benchmark.sparkSession.sparkContext.broadcast, _blocks(benchmark, n, block_bytes))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Rows with a number of their own, ``_row``; stored, as it would not be the same when computed again."""
+    return checkpoint(rows.withColumn("_row", F.monotonically_increasing_id()))
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Item ids once each, and spans of several blocks that overlap or touch as one."""
+    for batch in batches:
+        items = [sorted(set(x)) for x in batch.column("item_ids").to_pylist()]
+        spans = []
+        for found in batch.column("spans").to_pylist():
+            runs: list[dict] = []
+            for s in sorted(found, key=lambda s: s["first"]):
+                if runs and s["first"] <= runs[-1]["last"]:
+                    runs[-1] |= {k: max(runs[-1][k], s[k]) for k in ("last", "end")}
+                else:
+                    runs.append(s)
+            spans.append(runs)
+        columns = [batch.column("doc_id"), batch.column("n_words"), pa.array(items, batch.column("item_ids").type), pa.array(spans, batch.column("spans").type)]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "item_ids", "spans"])
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, n: int = N, block_bytes: int = BLOCK_BYTES, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_words, item_ids`` (sorted strings) and ``spans`` (maximal runs of hit words) for each row."""
-    rows = text_input(docs, key, text)
+    rows, windows = text_input(docs, key, text), list(_broadcasts(benchmark, n, block_bytes))
+    if len(windows) > 1:
+        rows = _numbered(rows).select(F.struct("_row", "doc_id").alias("doc_id"), "text")
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {_ROW}"
-    context = docs.sparkSession.sparkContext
-    parts = []
-    for windows in _blocks(benchmark, n, block_bytes):
-        parts.append(rows.mapInArrow(_scan(context.broadcast(windows)), schema))
+    parts = [rows.mapInArrow(_scan(w), schema) for w in windows]
     if len(parts) == 1:
         return parts[0]
-    # several blocks: the same rows in each part, so each document's parts meet by its key
     both = parts[0]
     for part in parts[1:]:
-        both = both.unionByName(part)
-    return both.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.flatten(F.collect_list("spans")).alias("spans"))
+        both = both.unionByName(part.filter(F.size("spans") > 0))
+    items, spans = (F.flatten(F.collect_list(c)).alias(c) for c in ("item_ids", "spans"))
+    met = both.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), items, spans)
+    return met.mapInArrow(_joined, schema).select("doc_id.doc_id", "n_words", "item_ids", "spans")
 
 
 def n_hit(spans: str = "spans"):
@@ -139,37 +175,50 @@ def n_hit(spans: str = "spans"):
     return F.size(words).cast("long")
 
 
+def _without(batch: pa.RecordBatch, found: list) -> pa.RecordBatch:
+    out = []
+    for t, spans in zip(batch.column("text").to_pylist(), found):
+        if spans:
+            raw, at, kept = t.encode("utf-8"), 0, []
+            for s in spans:
+                kept.append(raw[at : s["start"]])
+                at = s["end"]
+            t = b"".join([*kept, raw[at:]]).decode("utf-8")
+        out.append(t)
+    columns = {n: batch.column(n) for n in batch.schema.names}
+    columns["text"] = pa.array(out, columns["text"].type)
+    if "n_chars" in columns:
+        columns["n_chars"] = pa.array([len(t or "") for t in out], columns["n_chars"].type)
+    return pa.RecordBatch.from_arrays([*columns.values()], [*columns])
+
+
 def _cut(windows):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan_batch = _scan(windows)
         for batch in batches:
             texts = batch.column("text")
             view = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), texts], ["doc_id", "text"])
-            out = []
-            for hits in scan_batch([view]):
-                for t, spans in zip(texts.to_pylist(), hits.column("spans").to_pylist()):
-                    if spans:
-                        raw, at, kept = t.encode("utf-8"), 0, []
-                        for s in spans:
-                            kept.append(raw[at : s["start"]])
-                            at = s["end"]
-                        t = b"".join([*kept, raw[at:]]).decode("utf-8")
-                    out.append(t)
-            columns = {n: batch.column(n) for n in batch.schema.names}
-            columns["text"] = pa.array(out, texts.type)
-            if "n_chars" in columns:
-                columns["n_chars"] = pa.array([len(t or "") for t in out], columns["n_chars"].type)
-            yield pa.RecordBatch.from_arrays([*columns.values()], [*columns])
+            yield _without(batch, [x for hits in scan_batch([view]) for x in hits.column("spans").to_pylist()])
 
     return run
 
 
+def _cut_found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield _without(batch.drop_columns(["_spans"]), batch.column("_spans").to_pylist())
+
+
 def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = N, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The documents with their columns, without the hit spans; ``n_chars`` follows the text."""
-    context = docs.sparkSession.sparkContext
-    for windows in _blocks(benchmark, n, block_bytes):
-        docs = docs.mapInArrow(_cut(context.broadcast(windows)), docs.schema)
-    return docs
+    """The documents with their columns, without the hit spans; ``n_chars`` follows the text.
+
+    Spans of all blocks are found on the text as it came and cut at once.
+    """
+    if _number(_items(benchmark), block_bytes) == 1:
+        return docs.mapInArrow(_cut(next(_broadcasts(benchmark, n, block_bytes))), docs.schema)
+    rows = _numbered(docs)
+    spans = scan(rows, benchmark, n, block_bytes, "_row").filter(F.size("spans") > 0).select(F.col("doc_id").alias("_of"), F.col("spans").alias("_spans"))
+    joined = rows.join(spans, F.col("_row") == F.col("_of"), "left").select(*docs.columns, "_spans")
+    return joined.mapInArrow(_cut_found, docs.schema)
 
 
 #: DuckDB's SQL for the query's columns.
