@@ -117,6 +117,14 @@ def test_quality(docs, none):
     assert kept.columns == SCHEMA.replace(" long", "").replace(" string", "").replace(" int", "").split(", ") and {0, 1, 3} <= {r.doc_id for r in kept.collect()}
 
 
+def test_scripts_without_case_do_not_shout(spark):
+    rng = random.Random(6)
+    script = lambda letters, other="": "\n".join(" ".join(["".join(rng.choice(letters) for _ in range(5)) for _ in range(12)] + [other]) for _ in range(6))
+    texts = [script("אבגדהוזחט"), script("ابتثجحخدذ", "BBC"), script("कखगघचछजझ"), script("가나다라마바"), script("ABCDEFGHI"), script("ABCDEFGHI", "가")]
+    rows = quality.measure(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.kept for r in rows} == {0: True, 1: True, 2: True, 3: True, 4: False, 5: False}
+
+
 def brute_repeats(texts, split, size, earlier):
     """Covered items by (doc_id, start): windows that start elsewhere too, or earlier."""
     places = collections.defaultdict(list)

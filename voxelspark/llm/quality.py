@@ -4,7 +4,8 @@ Each text is cut at ``\n``.  A line that has a word is judged by itself:
 
 * symbols: more than a tenth of its code points are ``# * $ % & | < >``;
 * navigation: three or more separators (``|``, ``»``, ``›``, ``•``), one for every three words at least;
-* shouting: five or more words, and no two small letters side by side, or over 60 in 100 of its words end in ``!!``;
+* shouting: five or more words, and no two small letters side by side but capitals, more than letters of scripts without
+  case, or over 60 in 100 of its words end in ``!!``;
 * punctuation: fewer than four words and no closing punctuation at its end;
 * boilerplate: a licence, cookie, rights or sign-up phrase;
 * repetition: it equals an earlier line of the text.
@@ -110,7 +111,8 @@ def line_fails(line: Column, n: Column, marked: Column, boilerplate: Column) ->
     separators = count_of(line, SEPARATORS)
     noise = F.when(marked, (10 * count_of(line, SYMBOLS) > F.char_length(line)) | ((separators >= 3) & (3 * separators >= n))).otherwise(False)
     marks = F.when(F.contains(line, F.lit("!!")), 200 * F.size(F.split(line, "!!")) > 120 * n + 200).otherwise(False)
-    shouting = (n >= 5) & (~line.rlike(r"\p{Ll}\p{Ll}") | marks)
+    capitals = F.regexp_count(line, F.lit(r"\p{Lu}")) > F.regexp_count(line, F.lit(r"\p{Lo}"))
+    shouting = (n >= 5) & ((~line.rlike(r"\p{Ll}\p{Ll}") & capitals) | marks)
     return noise | shouting | ((n < 4) & ~F.rtrim(line).rlike(CLOSING)) | F.when(boilerplate, F.lower(line).rlike(BOILERPLATE)).otherwise(False)
 
 
