@@ -36,11 +36,26 @@ SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 CLOSING = "[.!?…:;\"'”’»)\\]]$"
 SEPARATORS = "|»›•"
-BOILERPLATE = (
-    "licensed under|all rights reserved|copyright [(©]|©|terms of (use|service)|privacy policy|cookie policy|"
-    "accept cookies|use of cookies|javascript|subscribe to|newsletter|click here|sign up|log in|read more"
-)
-FRAGMENTS = ("licensed", "rights res", "copyrigh", "©", "terms of", " policy", "cookies", "javascript", "subscrib", "newslet", "click he", "sign up", "log in", "read more")
+#: Phrases of boilerplate, each with a fragment that any text with the phrase holds.
+PHRASES = {
+    "licensed under": "licensed",
+    "all rights reserved": "rights res",
+    "copyright [(©]": "copyrigh",
+    "©": "©",
+    "terms of (use|service)": "terms of",
+    "privacy policy": " policy",
+    "cookie policy": " policy",
+    "accept cookies": "cookies",
+    "use of cookies": "cookies",
+    "javascript": "javascript",
+    "subscribe to": "subscrib",
+    "newsletter": "newslet",
+    "click here": "click he",
+    "sign up": "sign up",
+    "log in": "log in",
+    "read more": "read more",
+}
+BOILERPLATE, FRAGMENTS = "|".join(PHRASES), tuple(dict.fromkeys(PHRASES.values()))
 MIN_WORDS, MAX_REPEAT, MIN_LEFT = 50, 50, 50
 
 
@@ -57,10 +72,6 @@ def split_words(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE), "")
 
 
-_PLACE = 12  # bits of a window's place beside 52 bits of its hash
-_SHORT = 1 << _PLACE
-
-
 def _window(w: Column, i: Column) -> Column:
     return F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
 
@@ -71,35 +82,26 @@ def _covered(starts: Column) -> Column:
     return F.aggregate(steps, F.lit(0), lambda total, x: total + x)
 
 
-def _short_repeats(w: Column) -> Column:
-    """Up to ``_SHORT`` windows: hash and place in one number each, sorted, so equal windows are neighbours."""
-    keys = F.transform(w, lambda _, i: F.shiftleft(_window(w, i), _PLACE).bitwiseOR(i.cast("long")))
-    keys = F.sort_array(F.slice(keys, 1, F.size(w) - 2))
-
-    def again(k: Column) -> Column:
-        same = lambda x, y: F.shiftright(x.bitwiseXOR(y), _PLACE) == 0
-        lower = F.filter(k, lambda x, i: same(x, F.get(k, i + 1)))
-        upper = F.filter(k, lambda x, i: same(x, F.get(k, i - 1)))
-        places = F.transform(F.concat(lower, upper), lambda x: x.bitwiseAND(_SHORT - 1).cast("int"))
-        return F.when(F.size(lower) == 0, F.lit(0)).otherwise(let(F.sort_array(F.array_distinct(places)), _covered))
-
-    return let(keys, again)
-
-
-def _long_repeats(w: Column) -> Column:
-    """Any number of windows: whole hashes beside places."""
-    windows = F.sort_array(F.transform(F.slice(w, 1, F.size(w) - 2), lambda _, i: F.struct(_window(w, i).alias("h"), i.alias("i"))))
+def _places(hashes: Column) -> Column:
+    """Places of the hashes that occur twice or more, sorted: equal ones are neighbours once sorted."""
+    sorted_ = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
     def again(k: Column) -> Column:
         found = F.filter(k, lambda x, i: (x["h"] == F.get(k, i + 1)["h"]) | (x["h"] == F.get(k, i - 1)["h"]))
-        return let(F.sort_array(F.transform(found, lambda x: x["i"])), _covered)
+        return F.sort_array(F.transform(found, lambda x: x["i"]))
 
-    return let(windows, again)
+    return let(sorted_, again)
 
 
 def repeat_words(w: Column) -> Column:
-    """Words inside three-word windows that occur twice or more in the text."""
-    return F.when(F.size(w) < 4, F.lit(0)).when(F.size(w) <= _SHORT, _short_repeats(w)).otherwise(_long_repeats(w)).cast("long")
+    """Words inside three-word windows that occur twice or more in the text.
+
+    Windows are compared by 64-bit hashes inside one text, of any length.  Most texts repeat none, which a set of the
+    hashes shows without a sort.
+    """
+    hashes = F.transform(F.slice(w, 1, F.size(w) - 2), lambda _, i: _window(w, i))
+    counted = let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(let(_places(h), _covered)))
+    return F.when(F.size(w) < 4, F.lit(0)).otherwise(counted).cast("long")
 
 
 def count_words(text: Column) -> Column:
