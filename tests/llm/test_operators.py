@@ -200,3 +200,9 @@ def test_url_filter(spark):
     assert {r.verdict for r in url_filter.judge(pages, nothing).filter("rule IS NULL").collect()} == {"allow"}
 
 
+def test_phrases_have_their_fragments_and_groups_may_stay_whole(spark):
+    assert all(fragment in phrase for phrase, fragment in quality.PHRASES.items())
+    rows = [(i, "same text " * 50) for i in range(40)] + [(100 + i, words(90, i)) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = sharding.assign(df, 4, heavy=None).filter("doc_id < 100").select("shard").distinct().count()
+    assert whole == 1 < sharding.assign(df, 4).filter("doc_id < 100").select("shard").distinct().count()

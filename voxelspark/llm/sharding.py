@@ -8,9 +8,10 @@ room.  Large arcs are placed first, small ones fill up what is left, so
 sizes are near equal, and adding rows moves only arcs at full shards.
 
 Law: ``bytes``.  What reaches the driver is one row an arc, ``SLICES`` at most, plus the rows of
-heavy texts, of which there are at most ``HEAVY`` times as many as shards.  A text whose
-copies weigh over a ``HEAVY``-th part of a shard cannot stay whole in a balanced ring: its rows get places of
-their own by doc_id as well.  All other groups of equal texts stay in one shard.
+heavy texts, of which there are at most ``heavy`` times as many as shards.  A text whose
+copies weigh over a ``heavy``-th part of a shard cannot stay whole in a balanced ring: its rows get places of
+their own by doc_id as well.  All other groups of equal texts stay in one shard.  With ``heavy=None`` all groups
+stay whole, and shards are as equal as that allows.
 
 Slots are gapless in each shard: ranks inside an arc plus the rows of the arcs
 before it, so no task sees a whole shard.  Arcs with many rows are ranked in parts.
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from voxelspark.llm.common import text_input
+from voxelspark.llm.common import checkpoint, text_input
 
 SLICES, VIRTUAL_NODES, SLACK, HEAVY = 1 << 16, 128, 0.001, 4
 #: An arc with over a PART-th of all rows is ranked in PARTS parts.
@@ -69,19 +70,19 @@ def _arc(*of: Column) -> Column:
     return F.pmod(F.xxhash64(*of), F.lit(SLICES)).cast("int")
 
 
-def assign(docs: DataFrame, shards: int = 24, key: str = "doc_id", text: str = "text") -> DataFrame:
+def assign(docs: DataFrame, shards: int = 24, key: str = "doc_id", text: str = "text", heavy: float | None = HEAVY) -> DataFrame:
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` for each row."""
     spark = docs.sparkSession
     body = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     rows = text_input(docs, key, text).select("doc_id", (F.octet_length(body) + 8).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), F.xxhash64(body).alias("h"))
-    rows = rows.withColumn("arc", _arc("h"))
+    rows = checkpoint(rows.withColumn("arc", _arc("h")))  # a few numbers a row, so texts are read once
     sizes = {r["arc"]: r["size"] for r in rows.groupBy("arc").agg(F.sum("size").alias("size")).collect()}
-    limit = sum(sizes.values()) / (shards * HEAVY)
-    heavy_arcs = [arc for arc, size in sizes.items() if size > limit]  # fewer than shards * HEAVY
+    limit = sum(sizes.values()) / (shards * heavy) if heavy else float("inf")
+    heavy_arcs = [arc for arc, size in sizes.items() if size > limit]  # fewer than shards * heavy
     if heavy_arcs:
         texts = rows.filter(F.col("arc").isin(heavy_arcs)).groupBy("h").agg(F.sum("size").alias("size")).filter(F.col("size") > limit)
-        heavy = [r["h"] for r in texts.select("h").collect()]
-        rows = rows.withColumn("arc", F.when(F.col("h").isin(heavy), _arc("h", "doc_id")).otherwise(F.col("arc"))) if heavy else rows
+        spread = [r["h"] for r in texts.select("h").collect()]
+        rows = rows.withColumn("arc", F.when(F.col("h").isin(spread), _arc("h", "doc_id")).otherwise(F.col("arc"))) if spread else rows
     counted = rows.groupBy("arc").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
     total = sum(r["n"] for r in counted)
     wide = [r["arc"] for r in counted if r["n"] * PART > total]  # fewer than PART
