@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelspark.llm import kernels as K
-from voxelspark.llm.common import checkpoint, text_input
+from voxelspark.llm.common import checkpoint, frugal, text_input
 
 N, BLOCK_BYTES = 10, 32 << 20
 _BITS = 20
@@ -158,7 +158,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = N, block_bytes: int = B
     if len(windows) > 1:
         rows = _numbered(rows).select(F.struct("_row", "doc_id").alias("doc_id"), "text")
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {_ROW}"
-    parts = [rows.mapInArrow(_scan(w), schema) for w in windows]
+    parts = [rows.mapInArrow(frugal(_scan(w)), schema) for w in windows]
     if len(parts) == 1:
         return parts[0]
     both = parts[0]
@@ -166,7 +166,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = N, block_bytes: int = B
         both = both.unionByName(part.filter(F.size("spans") > 0))
     items, spans = (F.flatten(F.collect_list(c)).alias(c) for c in ("item_ids", "spans"))
     met = both.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), items, spans)
-    return met.mapInArrow(_joined, schema).select("doc_id.doc_id", "n_words", "item_ids", "spans")
+    return met.mapInArrow(frugal(_joined), schema).select("doc_id.doc_id", "n_words", "item_ids", "spans")
 
 
 def n_hit(spans: str = "spans"):
@@ -214,11 +214,11 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = N, block_bytes:
     Spans of all blocks are found on the text as it came and cut at once.
     """
     if _number(_items(benchmark), block_bytes) == 1:
-        return docs.mapInArrow(_cut(next(_broadcasts(benchmark, n, block_bytes))), docs.schema)
+        return docs.mapInArrow(frugal(_cut(next(_broadcasts(benchmark, n, block_bytes)))), docs.schema)
     rows = _numbered(docs)
     spans = scan(rows, benchmark, n, block_bytes, "_row").filter(F.size("spans") > 0).select(F.col("doc_id").alias("_of"), F.col("spans").alias("_spans"))
     joined = rows.join(spans, F.col("_row") == F.col("_of"), "left").select(*docs.columns, "_spans")
-    return joined.mapInArrow(_cut_found, docs.schema)
+    return joined.mapInArrow(frugal(_cut_found), docs.schema)
 
 
 #: DuckDB's SQL for the query's columns.

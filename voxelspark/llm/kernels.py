@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 U64 = np.uint64
 _BYTE_VALUES = np.random.default_rng(20240501).integers(1, 2**63, 256, dtype=U64) * U64(2) + U64(1)
@@ -26,21 +26,25 @@ _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 class _Powers:
-    """Powers of the base and of its inverse, grown when a longer text comes."""
+    """Powers of the base and of its inverse, kept up to ``KEPT`` and computed anew for what is longer."""
+
+    KEPT = 1 << 20
 
     def __init__(self) -> None:
-        self.up = np.ones(1, U64)
-        self.down = np.ones(1, U64)
+        self._held = np.ones(1, U64), np.ones(1, U64)
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) <= n:
-            size = max(n + 1, 1 << 16)
-            with np.errstate(over="ignore"):
-                for name, base in (("up", _BASE), ("down", _BASE_INVERSE)):
-                    values = np.full(size, base, U64)
-                    values[0] = 1
-                    setattr(self, name, np.multiply.accumulate(values))
-        return self.up, self.down
+        if len(self._held[0]) > n:
+            return self._held
+        made = []
+        with np.errstate(over="ignore"):
+            for base in (_BASE, _BASE_INVERSE):
+                values = np.full(max(n + 1, 1 << 16), base, U64)
+                values[0] = 1
+                made.append(np.multiply.accumulate(values))
+        if n < self.KEPT:
+            self._held = made[0], made[1]
+        return made[0], made[1]
 
 
 _POWERS = _Powers()

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelspark.llm import kernels as K
-from voxelspark.llm.common import checkpoint, release, text_input
+from voxelspark.llm.common import checkpoint, frugal, release, text_input
 from voxelspark.operators.components import components
 
 N, THRESHOLD, RECALL, MAX_HASHES, BLOCK = 5, 0.8, 0.99999, 128, 256
@@ -228,11 +228,11 @@ def _classes(signed: DataFrame, rows: DataFrame, n: int, threshold: float, links
     held = checkpoint(buckets.join(leaders.drop("members"), "g"))
     wanted = classes.join(held.select("id").distinct(), "id", "left_semi").groupBy(F.xxhash64("first").alias("at")).agg(F.collect_list("id").alias("asked"))
     texts = rows.select(F.xxhash64("doc_id").alias("at"), "text").join(wanted, "at").select("text", "asked")
-    sets = checkpoint(texts.mapInArrow(_sets(n), "id long, grams binary").dropDuplicates(["id"]))
+    sets = checkpoint(texts.mapInArrow(frugal(_sets(n)), "id long, grams binary").dropDuplicates(["id"]))
     release(rows)
     pairs = held.filter("id <> leader").select(F.least("id", "leader").alias("src"), F.greatest("id", "leader").alias("dst")).distinct()
     left, right = sets.select(F.col("id").alias("src"), F.col("grams").alias("left")), sets.select(F.col("id").alias("dst"), F.col("grams").alias("right"))
-    edges = checkpoint(pairs.join(left, "src").join(right, "dst").select("src", "dst", "left", "right").mapInArrow(_verify(threshold), "src long, dst long"))
+    edges = checkpoint(pairs.join(left, "src").join(right, "dst").select("src", "dst", "left", "right").mapInArrow(frugal(_verify(threshold)), "src long, dst long"))
     release(rows)
     found = components(edges).select(F.col("node").alias("id"), F.col("component").alias("label"))
     marked = held.join(found, "id", "left").select("g", "id", F.coalesce("label", "id").alias("label"), "n")
@@ -252,7 +252,7 @@ def _classes(signed: DataFrame, rows: DataFrame, n: int, threshold: float, links
 
 def _signed(rows: DataFrame, n: int, threshold: float, recall: float) -> DataFrame:
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return checkpoint(rows.mapInArrow(_signatures(n, *bands_for(threshold, recall)), f"doc_id {kind}, fp long, bands array<long>"))
+    return checkpoint(rows.mapInArrow(frugal(_signatures(n, *bands_for(threshold, recall))), f"doc_id {kind}, fp long, bands array<long>"))
 
 
 def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, links: bool = True, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -279,7 +279,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     verdicts = keys.join(owner, "fp").select(F.col("doc_id").alias("_id"), F.col("fp").alias("_of"), stays.alias("_stays"), "copies")
     verdicts = checkpoint(verdicts.filter("NOT _stays OR copies > 1"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    marked = docs.mapInArrow(_fingerprinted(N), f"{fields}, _fp long")
+    marked = docs.mapInArrow(frugal(_fingerprinted(N)), f"{fields}, _fp long")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_fp") == F.col("_of"))
     alone = marked.join(verdicts, same, "left_anti")
     repeated = verdicts.filter("_stays")

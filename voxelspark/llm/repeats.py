@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelspark.llm import kernels as K
-from voxelspark.llm.common import checkpoint
+from voxelspark.llm.common import checkpoint, frugal
 
 
 class Unit(NamedTuple):
@@ -96,7 +96,7 @@ def _phrases(unit: Unit):
 def phrases(rows: DataFrame, unit: Unit) -> DataFrame:
     """The parse: ``h`` (trigger), ``phrase``, ``doc_id``, first and last window ``a`` and ``b``, ``times`` the trigger is in it."""
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_phrases(unit), f"h long, phrase long, doc_id {kind}, a int, b int, times int")
+    return rows.mapInArrow(frugal(_phrases(unit)), f"h long, phrase long, doc_id {kind}, a int, b int, times int")
 
 
 def _contents(unit: Unit):
@@ -256,7 +256,7 @@ def repeats(rows: DataFrame, unit: Unit, earlier: bool) -> DataFrame:
     several = dictionary.groupBy("h").agg(F.count("*").alias("different"), F.max("times").alias("times")).filter("different >= 2 OR times >= 2").select("h", (F.col("different") > HOT).alias("hot"))
     asked = dictionary.join(several, "h").select("h", F.col("first.doc_id").alias("doc_id"), F.col("first.a").alias("a"), F.col("first.b").alias("b"), "n", "hot")
     lists = asked.groupBy("doc_id").agg(F.collect_list(F.struct("h", "a", "b", "n", "hot")).alias("asked"))
-    ends = by_id(rows, lists, "inner").mapInArrow(_contents(unit), f"h long, doc_id {kind}, a int, b int, n long, hot boolean, content binary")
-    few = ends.filter("NOT hot").repartition("h").sortWithinPartitions("h").mapInArrow(_resolve(unit, earlier), f"doc_id {kind}, a int, b int, source {kind}, source_a int")
-    many = ends.filter("hot").mapInArrow(_windows(unit), f"w long, doc_id {kind}, s int, n long")
+    ends = by_id(rows, lists, "inner").mapInArrow(frugal(_contents(unit)), f"h long, doc_id {kind}, a int, b int, n long, hot boolean, content binary")
+    few = ends.filter("NOT hot").repartition("h").sortWithinPartitions("h").mapInArrow(frugal(_resolve(unit, earlier)), f"doc_id {kind}, a int, b int, source {kind}, source_a int")
+    many = ends.filter("hot").mapInArrow(frugal(_windows(unit)), f"w long, doc_id {kind}, s int, n long")
     return copies.unionByName(few).unionByName(_hot_pieces(many, earlier))
