@@ -87,17 +87,65 @@ def test_decontamination_is_the_same_for_any_number_of_blocks(spark):
     assert one == many and len(many[0]) == len(many[1]) == len(rows)
 
 
-def test_html(spark):
-    frame = "<body><header>Top</header><nav><ul><li>A<li>B</ul></nav><p>Same on all</p><div class='ad x'>Buy</div><div id=c><p>{}<b>bold<p>Two {} &amp; 2&nbsp;x<br>y</div><form>f</form><div class=comments><article class=comment>me</article></div><footer>F"
-    pages = [(i, f"http://h/{i}", frame.format(f"Text {i} ", i)) for i in range(6)]
-    pages += [(10, None, None), (11, "http://z/", "<article><h1>T</h1>x<script>if(a<b)</script>y<!-- no"), (11, "http://z/", ""), (12, "u", "plain < text")]
-    rows = html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+PAGE = "page_id long, url string, html string"
+
+
+def texts_of(rows):
     out = collections.defaultdict(list)
     for r in rows:
         out[r.page_id].append(r.text)
         assert r.n_chars == len(r.text)
+    return out
+
+
+def test_html(spark):
+    frame = "<body><header>Top</header><nav><ul><li>A<li>B</ul></nav><p>Same on all</p><div class='ad x'>Buy</div><div id=c><p>{}<b>bold<p>Two {} &amp; 2&nbsp;x<br>y</div><form>f</form><div class=comments><article class=comment>me</article></div><footer>F"
+    pages = [(i, f"http://h/{i}", frame.format(f"Text {i} ", i)) for i in range(6)]
+    pages += [(10, None, None), (11, "http://z/", "<article><h1>T</h1>x<script>if(a<b)</script>y<!-- no"), (11, "http://z/", ""), (12, "u", "plain < text")]
+    df = spark.createDataFrame([(*p, "x", 1) for p in pages], PAGE + ", host string, template int")
+    out = texts_of(html_extract.extract(df).collect())
     assert out[3] == ["Text 3 bold\nTwo 3 & 2 x y"] and out[10] == [""] and sorted(out[11]) == ["", "T\nxy"] and out[12] == ["plain < text"]
-    assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    assert html_extract.extract(spark.createDataFrame([], PAGE)).count() == 0
+
+
+def test_html_main_slot_comes_from_the_template(spark):
+    """No element is called article and no class says what it is: only the pages together tell."""
+    frame = "<body><div class=a1><p>Hot today</p><p>{}</p></div><div class=b1><p>Read this {}</p><p>{}</p></div><div class=c1><p>Odd pages say this</p></div>"
+    story = lambda i: words(60, i)
+    pages = [(i, f"http://h/{i}", frame.format(i, i, story(i)) + ("<p>tail" if i % 2 else "")) for i in range(8)]
+    out = texts_of(html_extract.extract(spark.createDataFrame(pages + pages, PAGE)).collect())  # repeated rows are pages too
+    assert all(out[i] == [f"Read this {i}\n{story(i)}"] * 2 for i in range(8))
+    alone = texts_of(html_extract.extract(spark.createDataFrame(pages[:1], PAGE)).collect())
+    assert alone[0] == [f"Hot today\n0\nRead this 0\n{story(0)}\nOdd pages say this"]  # one page has no template
+
+
+def test_html_classes_against_brute_force(spark):
+    rng = random.Random(2)
+    parts = ["<p class=x>one</p>", "<p class=y>two</p>", "<section><i>s</i></section>", "<div class=z><em>e</em></div>", "<ul><li>a<li>b</ul>"]
+    pages = [(i, f"http://h{i % 2}/{i}", "<body>" + "".join(p for k, p in enumerate(parts) if k == 0 or rng.random() < 0.6)) for i in range(20)]
+    df = spark.createDataFrame(pages, PAGE)
+    rows = df.selectExpr("page_id AS row", "regexp_extract(url, '://([^/]*)', 1) AS host", "html")
+    vectors = collections.defaultdict(lambda: collections.defaultdict(dict))
+    parent = {}
+    for i, url, source in pages:
+        page = html_extract.Page(source)
+        tokens = dict(page.tags)
+        parent |= page.parents
+        for run in page.runs:
+            t = html_extract._hash(run.path, "text", run.text)
+            tokens[t] = tokens.get(t, 0) + 1
+            parent[t] = run.path
+        for t, n in tokens.items():
+            vectors[url[7:9]][t][i] = n
+    for host, by in vectors.items():
+        classes = collections.Counter(tuple(sorted(v.items())) for v in by.values())
+        good = {t for t, v in by.items() if classes[tuple(sorted(v.items()))] >= 2 and len(v) >= 5}
+        parts_of = rows.filter(f"host = '{host}'").mapInArrow(html_extract._vectors, html_extract._SCHEMA).groupBy("host", "token")
+        from pyspark.sql import functions as F
+
+        folded = parts_of.agg(F.first("parent").alias("parent"), F.first("is_text").alias("is_text"), F.max("article").alias("article"), F.sum("pages").alias("pages"), F.bit_xor("vector").alias("vector"), F.sum("chars").alias("chars"))
+        found = {r.token for r in html_extract.valid(folded).collect()} - {0}
+        assert found == good and good
 
 
 def test_near_duplicates(docs, none):

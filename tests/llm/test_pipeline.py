@@ -51,7 +51,7 @@ def test_stages(spark, sf_dir):
     for i, t in held.items():
         for s in range(len(t) - 199):
             starts.setdefault(t[s : s + 200], []).append((i, s))
-    gone = {(i, k) for spots in starts.values() if len(spots) > 1 for i, s in spots for k in range(s, s + 200)}
+    gone = {(i, k) for spots in starts.values() for i, s in sorted(spots)[1:] for k in range(s, s + 200)}  # the first place stays
     assert gone and all(r.text.encode() == bytes(b for k, b in enumerate(held[i]) if (i, k) not in gone) for i, r in repeats.items())
     assert leak in repeats[5].text.replace("\n", " ") and leak not in clean[5].text.replace("\n", " ")
     assert all(clean[i].text == repeats[i].text and clean[i].n_chars == len(clean[i].text) for i in clean if i != 5)
@@ -72,4 +72,4 @@ def test_repeated_rows_leave_one_whole_text(spark):
     out = corpus_pipeline.suffix_array_dedup(spark, near, "").collect()
     texts = [r.text or "" for r in out]
     assert a in texts and b in texts and d in texts and len(out) == 8
-    assert not any(shared in t for t in texts)
+    assert sum(shared in t for t in texts) == 1  # of a repeat the first place stays

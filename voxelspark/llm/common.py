@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from voxelspark.operators.components import checkpoint, shared_folder
 
-__all__ = ["checkpoint", "frugal", "read", "release", "shared_folder", "text_input"]
+__all__ = ["checkpoint", "frugal", "read", "release", "shared_folder", "spare", "text_input"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -25,6 +25,14 @@ def text_input(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
 
 
+def spare(name: str, docs: DataFrame) -> str:
+    """A column name that the table does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def release(df: DataFrame) -> None:
     """Shuffle files behind a checkpoint go once the driver collects what used them; let it do so now, before more are written."""
     gc.collect()
