@@ -11,15 +11,18 @@ from pyspark.sql import functions as F
 from voxelspark.functions import scalar as S
 from voxelspark.operators import accumulate as A
 from voxelspark.operators import mesh as M
+from voxelspark.operators import mixtures as G
 from voxelspark.operators import morphology as V
 from voxelspark.operators import neighbours as J
 from voxelspark.operators import skeleton as C
 from voxelspark.operators import state as T
 from voxelspark.operators import visibility as R
-from voxelspark.operators.components import shared_folder
+from voxelspark.operators.components import checkpoint, shared_folder
+from voxelspark.operators.skeletonize import skeletonize
+from voxelspark.sources import clouds as IO
 from voxelspark.sources import poses as P
 from voxelspark.sources.fixtures import VIEWS, view, with_views
-from voxelspark.streaming.maps import current_map, stream_accumulate
+from voxelspark.streaming.maps import current_closing, current_first_seen, current_map, stream_accumulate, stream_coverage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -56,11 +59,15 @@ PTS = f"pts AS (SELECT scene_id, {KEY} AS point_id, ix + 0.5e0 AS x, iy + 0.5e0
 
 
 def box(name: str, source: str, r: int, erode: bool) -> str:
-    """Dilation or erosion by a box of half-width r."""
-    span = f"range({-r}, {r + 1})"
-    moved = f"SELECT scene_id, ix + a AS ix, iy + b AS iy, iz + c AS iz FROM {source}, (SELECT unnest({span}) AS a) q1, (SELECT unnest({span}) AS b) q2, (SELECT unnest({span}) AS c) q3"
-    tail = f"GROUP BY ALL HAVING count(*) = {(2 * r + 1) ** 3}" if erode else "GROUP BY ALL"
-    return f"{name} AS (SELECT scene_id, CAST(ix AS INT) AS ix, CAST(iy AS INT) AS iy, CAST(iz AS INT) AS iz FROM ({moved}) m {tail})"
+    """Dilation or erosion by a box of half-width r, an axis at a time."""
+    steps = []
+    for k, axis in enumerate(CELL):
+        to = name if k == 2 else f"{name}_{axis}"
+        moved = ", ".join(f"CAST({c} + a AS INT) AS {c}" if c == axis else c for c in CELL)
+        tail = f" GROUP BY ALL HAVING count(*) = {2 * r + 1}" if erode else " GROUP BY ALL"
+        steps.append(f"{to} AS (SELECT * FROM (SELECT scene_id, {moved} FROM {source}, (SELECT unnest(range({-r}, {r + 1})) AS a) q) m{tail})")
+        source = to
+    return ", ".join(steps)
 
 
 def faces(name: str, source: str) -> str:
@@ -75,15 +82,24 @@ ACC = """acc AS (SELECT *, row_number() OVER (PARTITION BY scene_id, floor(x), f
 
 
 # sources
-@query("io1_explode_frames", "scan_points", sql="""SELECT scene_id, frame_id, CAST(dense_rank() OVER (PARTITION BY scene_id, frame_id ORDER BY block_pos) - 1 AS INT) AS block_pos,
+@query("io1_explode_frames", "scan_points", sql="""SELECT scene_id, frame_id, CAST(dense_rank() OVER (PARTITION BY scene_id, frame_id ORDER BY block_pos) AS INT) AS block_pos,
   CAST(row_number() OVER (PARTITION BY scene_id, frame_id, block_pos ORDER BY center_pos, x, y, z) - 1 AS INT) AS center_pos, x, y, z FROM scan_points""")
 def _(points):
-    return A.explode_frames(A.nest_frames(points))
+    frames = A.nest_frames(points)
+    empty = F.array().cast(frames.schema["blocks"].dataType.elementType["centers"].dataType)
+    none = F.array(F.struct(empty.alias("centers")))
+    return A.explode_frames(frames.withColumn("blocks", F.concat(none, "blocks", none)))  # blocks without centres give no rows
 
 
 POSE_FILE = "concat_ws(',', CAST(event_id AS STRING), '1', '2.5', CAST(user_id AS STRING), '0', '0', '0', '1', 'x')"
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, for what a query writes and reads again."""
+    shared_folder(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def _pose_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A log file a user, as text; every seventh line is short."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -103,13 +119,52 @@ def _(poses):
     return rounded(P.explode_path(poses.groupBy("scene_id").agg(F.sort_array(F.collect_list(stamp)).alias("poses"))), "time")
 
 
-@query("io4_write_cloud", "scan_points", sql="SELECT scene_id, x, y, z FROM scan_points WHERE label >= 0")
-def _(points):
-    return S.drop_nan_points(points.withColumn("z", F.when(F.col("label") < 0, F.lit(float("nan"))).otherwise(F.col("z")))).select("scene_id", *XYZ)
+def _write_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = _folder(spark, "poses")
+    P.write_poses_csv(view(spark, sf_dir, "poses"), folder)
+    return P.read_poses_csv(spark, folder).select(*P.FIELDS)
+
+
+QUERIES["io3_write_poses_csv"] = _write_poses
+ORACLE_SQL["io3_write_poses_csv"] = with_views("SELECT time, x, y, z, qx, qy, qz, qw FROM poses")
+
+
+def _write_cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled points; the others lose a coordinate and are left out of the cloud."""
+    points = view(spark, sf_dir, "scan_points").withColumn("z", F.when(F.col("label") < 0, F.lit(float("nan"))).otherwise(F.col("z")))
+    folder = _folder(spark, "cloud") + ".pcd"
+    IO.write_cloud(points, folder)
+    return spark.read.parquet(folder).select(F.col("scene_id").cast("long"), *XYZ)
+
+
+QUERIES["io4_write_cloud"] = _write_cloud
+ORACLE_SQL["io4_write_cloud"] = with_views("SELECT scene_id, x, y, z FROM scan_points WHERE label >= 0")
+
+
+def _read_clouds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = _folder(spark, "pcd")
+    IO.write_cloud_pcd(view(spark, sf_dir, "scan_points"), folder)
+    scene = F.regexp_extract("path", "scene_id=([0-9]+)", 1).cast("long").alias("scene_id")
+    return IO.read_cloud_pcd(spark, folder, "*.txt").select(scene, *XYZ)
+
+
+QUERIES["io5_read_cloud_pcd"] = _read_clouds
+ORACLE_SQL["io5_read_cloud_pcd"] = with_views("SELECT scene_id, x, y, z FROM scan_points")
+
+
+def _read_meshes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = _folder(spark, "stl")
+    IO.write_mesh_stl(view(spark, sf_dir, "triangles"), folder)
+    mesh = F.regexp_extract("path", "mesh_id=([0-9]+)", 1).cast("long").alias("mesh_id")
+    return IO.read_mesh_stl(spark, folder, pattern="*.txt").select(mesh, *[f"{n}{i}" for i in range(3) for n in XYZ])
+
+
+QUERIES["io6_read_mesh_stl"] = _read_meshes
+ORACLE_SQL["io6_read_mesh_stl"] = with_views("SELECT mesh_id, x0, y0, z0, x1, y1, z1, x2, y2, z2 FROM triangles")
 
 
 QUERIES["io7_shell_output_name"] = lambda spark, sf_dir: M.shell_names(spark.read.parquet(f"{sf_dir}/part.parquet").select(F.concat(F.lit("meshes/m"), F.col("p_partkey").cast("string"), F.lit(".stl")).alias("path")), 0.25)
-ORACLE_SQL["io7_shell_output_name"] = "SELECT 'meshes/m' || p_partkey || '.stl' AS path, 'm' || p_partkey || '_outer_shell_voxels_0.3.pcd' AS name FROM part"
+ORACLE_SQL["io7_shell_output_name"] = "SELECT 'meshes/m' || p_partkey || '.stl' AS path, 'm' || p_partkey || '_outer_shell_voxels_0.2.pcd' AS name FROM part"
 
 
 # columns
@@ -182,10 +237,9 @@ def _(points):
     return V.fill_cavities(points, 2).groupBy("scene_id", "observed").agg(F.count("*").alias("n"))
 
 
-@query("p13_pack_rgb", "scan_points", sql="SELECT scene_id, frame_id, CAST((block_pos * 30) * 65536 + (center_pos % 256) * 256 + frame_id % 256 AS INT) AS rgb FROM scan_points WHERE frame_id >= 0")
+@query("p13_pack_rgb", "scan_points", sql="SELECT scene_id, frame_id, CAST((block_pos * 30) * 65536 + (center_pos % 256) * 256 + (frame_id % 256 + 256) % 256 AS INT) AS rgb FROM scan_points")
 def _(points):
-    points = points.filter("frame_id >= 0")
-    return points.select("scene_id", "frame_id", S.pack_rgb(F.col("block_pos") * 30, F.col("center_pos") % 256, F.col("frame_id") % 256).alias("rgb"))
+    return points.select("scene_id", "frame_id", S.pack_rgb(F.col("block_pos") * 30, F.col("center_pos") % 256, F.pmod("frame_id", F.lit(256))).alias("rgb"))
 
 
 @query("p14_stable_color", "triangles", sql="""WITH h AS (SELECT face_id AS id, (face_id * 0.61803398875e0) % 1 AS h, 0.98e0 - 0.08e0 * (((face_id * 97) % 5) / 4e0) AS v FROM triangles),
@@ -258,10 +312,10 @@ def _(vox):
     return V.shell_26(V.dilate(vox, 1))
 
 
-@query("v10_refine_shell", "scan_points", sql=f"""WITH {_UP.format('vox')}, {faces('s1', 'up')}, {box('e1', 's1', 1, True)}, {faces('s2', 'e1')}, {box('e3', 's2', 1, True)}
-SELECT scene_id, (ix + 0.5e0) * 0.5e0 AS x, (iy + 0.5e0) * 0.5e0 AS y, (iz + 0.5e0) * 0.5e0 AS z FROM s2 ANTI JOIN e3 USING (scene_id, ix, iy, iz)""")
+@query("v10_refine_shell", "scan_points", sql=f"""WITH {_UP.format('vox')}, {faces('s1', 'up')}, {_UP.format('s1').replace('up AS', 'up2 AS', 1)}, {box('e1', 'up2', 1, True)}, {box('d1', 'e1', 1, False)}, {box('e2', 'd1', 1, True)}, {faces('s2', 'e2')}, {box('e3', 's2', 1, True)}
+SELECT scene_id, (ix + 0.5e0) * 0.25e0 AS x, (iy + 0.5e0) * 0.25e0 AS y, (iz + 0.5e0) * 0.25e0 AS z FROM s2 ANTI JOIN e3 USING (scene_id, ix, iy, iz)""")
 def _(points):
-    return V.refine_shell(points, 1.0, 1)
+    return V.refine_shell(points, 1.0, 2)
 
 
 @query("v11_dilate_points", "vox", sql=f"WITH {box('d', 'vox', 1, False)} SELECT scene_id, ix + 0.5e0 AS x, iy + 0.5e0 AS y, iz + 0.5e0 AS z FROM d")
@@ -298,47 +352,105 @@ def _(triangles):
     return M.allocate_samples(triangles, 10_000).select("mesh_id", "face_id", "n")
 
 
-@query("m2_sample_triangles", "triangles")
+_ALLOC = f"al AS (SELECT * FROM (SELECT *, CAST(round({{0}} * area / total) AS BIGINT) AS n FROM (SELECT *, {AREA} AS area, sum({AREA}) OVER (PARTITION BY mesh_id) AS total FROM triangles) t) t WHERE n > 0)"
+_UNIT = "CAST('0x' || substr(md5(concat_ws('/', mesh_id, face_id, i, 42, {0})), 1, 13) AS BIGINT) / 4503599627370496e0"
+_SAMPLED = f"""sp AS (SELECT mesh_id, face_id, i, sqrt({_UNIT.format(1)}) AS r1, {_UNIT.format(2)} AS r2, x0, y0, z0, x1, y1, z1, x2, y2, z2 FROM (SELECT *, unnest(range(n)) AS i FROM al)),
+samples AS (SELECT mesh_id, face_id, {", ".join(f"((1 - r1) * {n}0 + (r1 * (1 - r2)) * {n}1) + (r1 * r2) * {n}2 AS {n}" for n in XYZ)} FROM sp)"""
+
+
+@query("m2_sample_triangles", "triangles", sql=f"WITH {_ALLOC.format(10000)}, {_SAMPLED} SELECT mesh_id, face_id, round(x, 6) + 0e0 AS x, round(y, 6) + 0e0 AS y, round(z, 6) + 0e0 AS z FROM samples")
 def _(triangles):
-    return M.sample_triangles(M.allocate_samples(triangles, 10_000))
+    return rounded(M.sample_triangles(M.allocate_samples(triangles, 10_000)), *XYZ)
+
+
+def _touch_sql() -> str:
+    """Whether no separating axis parts a triangle, relative to a cell's centre, from the cell."""
+    v = [[f"v{n}{i}" for n in XYZ] for i in range(3)]
+    edge = [[f"({v[(i + 1) % 3][k]} - {v[i][k]})" for k in range(3)] for i in range(3)]
+    axes = [a for e in edges_of(edge) for a in e]
+    (ax, ay, az), (bx, by, bz) = edge[0], edge[1]
+    axes.append([f"({ay} * {bz} - {az} * {by})", f"({az} * {bx} - {ax} * {bz})", f"({ax} * {by} - {ay} * {bx})"])
+    tests = []
+    for axis in axes:
+        spots = [" + ".join(f"{axis[k]} * {v[i][k]}" for k in range(3)) for i in range(3)]
+        reach = " + ".join(f"abs({axis[k]}) * 0.5e0" for k in range(3))
+        tests.append(f"least({', '.join(spots)}) <= {reach} AND greatest({', '.join(spots)}) >= -({reach})")
+    return " AND ".join(tests)
 
 
-@query("m3_voxelize_triangles", "triangles")
+def edges_of(edge: list[list[str]]) -> list[list[list[str]]]:
+    """The three cross products of each edge with the axes."""
+    return [[["0", f"-{e[2]}", e[1]], [e[2], "0", f"-{e[0]}"], [f"-{e[1]}", e[0], "0"]] for e in edge]
+
+
+@query("m3_voxelize_triangles", "triangles", sql=f"""WITH a AS (SELECT *, unnest(range(CAST(floor(least(x0, x1, x2)) AS INT), CAST(floor(greatest(x0, x1, x2)) AS INT) + 1)) AS ix FROM triangles),
+b AS (SELECT *, unnest(range(CAST(floor(least(y0, y1, y2)) AS INT), CAST(floor(greatest(y0, y1, y2)) AS INT) + 1)) AS iy FROM a), c AS (SELECT *, unnest(range(CAST(floor(least(z0, z1, z2)) AS INT), CAST(floor(greatest(z0, z1, z2)) AS INT) + 1)) AS iz FROM b),
+v AS (SELECT mesh_id, CAST(ix AS INT) AS ix, CAST(iy AS INT) AS iy, CAST(iz AS INT) AS iz, {", ".join(f"{n}{i} - ({c} + 0.5e0) AS v{n}{i}" for i in range(3) for n, c in zip(XYZ, CELL))} FROM c) SELECT DISTINCT mesh_id AS scene_id, ix, iy, iz FROM v WHERE {_touch_sql()}""")
 def _(triangles):
     return M.voxelize_triangles(triangles, 1.0)
 
 
-@query("m4_mesh_to_outer_shell", "triangles")
+@query("m4_mesh_to_outer_shell", "triangles", sql=f"""WITH RECURSIVE {_ALLOC.format(20000)}, {_SAMPLED}, og AS (SELECT mesh_id AS scene_id, min(x) AS x, min(y) AS y, min(z) AS z FROM samples GROUP BY mesh_id),
+mv AS (SELECT DISTINCT s.mesh_id AS scene_id, CAST(floor(s.x - og.x) AS INT) AS ix, CAST(floor(s.y - og.y) AS INT) AS iy, CAST(floor(s.z - og.z) AS INT) AS iz FROM samples s JOIN og ON s.mesh_id = og.scene_id),
+{_AIR.removeprefix("WITH RECURSIVE ").replace("vox", "mv")},
+sh AS (SELECT DISTINCT mv.* FROM mv, (VALUES (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)) o(a, b, c) WHERE (scene_id, ix + a, iy + b, iz + c) IN (SELECT (scene_id, ix, iy, iz) FROM air))
+SELECT scene_id, round(ix + 0.5e0 + og.x, 5) + 0e0 AS x, round(iy + 0.5e0 + og.y, 5) + 0e0 AS y, round(iz + 0.5e0 + og.z, 5) + 0e0 AS z FROM sh JOIN og USING (scene_id)""")
 def _(triangles):
-    return M.mesh_to_outer_shell(triangles, 20_000, 1.0)
+    return rounded(M.mesh_to_outer_shell(triangles, 20_000, 1.0), *XYZ, digits=5)
 
 
 # neighbours and joins
-_CAND = f"""{PTS}, q AS (SELECT *, atan2(2 * (qw * qz + qx * qy), 1 - 2 * (qy * qy + qz * qz)) AS yaw FROM poses WHERE seq < 60),
-d AS (SELECT q.scene_id, seq, point_id, p.x - q.x AS dx, p.y - q.y AS dy, p.z - q.z AS dz, yaw FROM q JOIN pts p ON q.scene_id = p.scene_id),
+_CAND = f"""{PTS}, q AS (SELECT *, atan2(2 * (qw * qz + qx * qy), 1 - 2 * (qy * qy + qz * qz)) AS yaw FROM poses),
+d AS (SELECT q.scene_id, seq, point_id, p.x - q.x AS dx, p.y - q.y AS dy, p.z - q.z AS dz, yaw, q.x AS ax, q.y AS ay, q.z AS az, p.ix AS gx, p.iy AS gy, p.iz AS gz FROM q JOIN pts p ON q.scene_id = p.scene_id),
 f AS (SELECT *, cos(-yaw) * dx - sin(-yaw) * dy AS ahead, sin(-yaw) * dx + cos(-yaw) * dy AS side FROM d WHERE dx * dx + dy * dy + dz * dz <= 625),
-cand AS (SELECT scene_id, seq, point_id FROM f WHERE ahead BETWEEN 0 AND 20 AND abs(side) <= 10 * (ahead / 20) AND abs(dz) <= 7.5e0 * (ahead / 20))"""
-
-
-def _first_poses(poses: DataFrame) -> DataFrame:
-    return poses.filter("seq < 60")
+cand AS MATERIALIZED (SELECT * FROM f WHERE ahead BETWEEN 0 AND 20 AND abs(side) <= 10 * (ahead / 20) AND abs(dz) <= 7.5e0 * (ahead / 20))"""
+
+
+def _ray_sql() -> str:
+    """Cells of the candidates' rays (``cells``), without the target's: the first one, and those that crossings of each axis enter."""
+    one = lambda a: f"""d{a} / dist AS u{a}, CAST(floor(a{a}) AS INT) AS c{a}"""
+    two = lambda a: f"""CASE WHEN u{a} > 0 THEN 1 ELSE -1 END AS s{a}, CASE WHEN abs(u{a}) < 1e-12 THEN 0 ELSE abs(g{a} - c{a}) END AS n{a},
+  CASE WHEN abs(u{a}) < 1e-12 THEN 1e300 ELSE (c{a} + CASE WHEN u{a} > 0 THEN 1 ELSE 0 END - a{a}) / u{a} END AS f{a}, CASE WHEN abs(u{a}) < 1e-12 THEN 1e300 ELSE 1 / abs(u{a}) END AS e{a}"""
+    ray = f"""ray AS MATERIALIZED (SELECT scene_id, seq, point_id, gx, gy, gz, cx, cy, cz, {", ".join(map(two, "xyz"))}
+FROM (SELECT *, {", ".join(map(one, "xyz"))} FROM (SELECT *, sqrt(dx * dx + dy * dy + dz * dz) AS dist FROM cand) WHERE dist >= 1e-9) WHERE cx <> gx OR cy <> gy OR cz <> gz)"""
+    parts = ["SELECT scene_id, seq, point_id, cx AS ix, cy AS iy, cz AS iz FROM ray"]
+    for i, a in enumerate("xyz"):
+        place = []
+        for j, o in enumerate("xyz"):
+            if o == a:
+                place.append(f"c{o} + s{o} * (k + 1)")
+            else:
+                passed = f"floor((t - f{o} + {R.TIE}) / e{o}) + 1" if j > i else f"ceil((t - f{o} - {R.TIE}) / e{o})"
+                place.append(f"c{o} + s{o} * CASE WHEN n{o} > 0 THEN CAST(least(n{o}, greatest(0, {passed})) AS INT) ELSE 0 END")
+        cells = ", ".join(f"CAST({p} AS INT) AS {c}" for p, c in zip(place, CELL))
+        parts.append(f"SELECT scene_id, seq, point_id, ix, iy, iz FROM (SELECT *, {cells} FROM (SELECT *, f{a} + k * e{a} AS t FROM (SELECT *, unnest(range(n{a})) AS k FROM ray))) WHERE ix <> gx OR iy <> gy OR iz <> gz")
+    return f"{ray}, cells AS NOT MATERIALIZED ({' UNION ALL '.join(parts)})"
+
+
+_SEEN = f"""{_CAND}, {_ray_sql()}, blocked AS (SELECT DISTINCT scene_id, seq, point_id FROM cells SEMI JOIN vox USING (scene_id, ix, iy, iz)),
+free AS (SELECT scene_id, seq, point_id FROM cand ANTI JOIN blocked USING (scene_id, seq, point_id)), s AS (SELECT scene_id, point_id, min(seq) AS seq FROM free GROUP BY scene_id, point_id)"""
+
+
+def _seen(poses: DataFrame, vox: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The voxels as points, and the first pose that sees each."""
+    points = numbered(vox)
+    return points, R.first_seen(R.unoccluded(poses, points, vox))
 
 
-@query("j1_visible_candidates", "poses", "vox", sql=f"WITH {_CAND} SELECT * FROM cand")
+@query("j1_visible_candidates", "poses", "vox", sql=f"WITH {_CAND} SELECT scene_id, seq, point_id FROM cand")
 def _(poses, vox):
-    return J.visible_candidates(_first_poses(poses), numbered(vox))
+    return J.visible_candidates(poses, numbered(vox))
 
 
-@query("j2_ray_voxels", "poses", "vox")
+@query("j2_ray_voxels", "poses", "vox", sql=f"""WITH {_CAND}, {_ray_sql()}, c AS (SELECT scene_id, seq, count(*) AS cells, sum(ix) AS ix, sum(iy) AS iy, sum(iz) AS iz FROM cells GROUP BY scene_id, seq)
+SELECT scene_id, seq, rays, coalesce(cells, 0) AS cells, CAST(coalesce(ix, 0) AS BIGINT) AS ix, CAST(coalesce(iy, 0) AS BIGINT) AS iy, CAST(coalesce(iz, 0) AS BIGINT) AS iz FROM (SELECT scene_id, seq, count(*) AS rays FROM cand GROUP BY scene_id, seq) r LEFT JOIN c USING (scene_id, seq)""")
 def _(poses, vox):
-    poses, points = _first_poses(poses), numbered(vox)
-    return R.ray_voxels(R.with_places(J.visible_candidates(poses, points), poses, points))
+    return R.ray_lengths(J.visible_candidates(poses, numbered(vox), keep=[]))
 
 
-@query("j3_unoccluded", "poses", "vox")
+@query("j3_unoccluded", "poses", "vox", sql=f"WITH {_SEEN} SELECT * FROM free")
 def _(poses, vox):
-    poses, points = _first_poses(poses), numbered(vox)
-    return R.unoccluded(J.visible_candidates(poses, points), poses, points, vox)
+    return R.unoccluded(poses, numbered(vox), vox)
 
 
 @query("j4_radius_neighbors", "vox", sql=f"WITH {PTS} SELECT a.scene_id, a.point_id AS src, b.point_id AS dst, round(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)), 6) AS w FROM pts a, pts b, (VALUES {', '.join(str((x, y, z)) for x in range(-1, 2) for y in range(-1, 2) for z in range(-1, 2) if 0 < x * x + y * y + z * z <= 2)}) o(i, j, k) WHERE a.scene_id = b.scene_id AND b.ix = a.ix + i AND b.iy = a.iy + j AND b.iz = a.iz + k")
@@ -347,9 +459,9 @@ def _(vox):
 
 
 @query("j5_nearest_point", "centroids", "vox", sql=f"""WITH {PTS}, n AS (SELECT c.scene_id, c.frame_id * 10 + c.label AS query_id, p.point_id, round(pow(c.x - p.x, 2) + pow(c.y - p.y, 2) + pow(c.z - p.z, 2), 9) AS d2 FROM centroids c JOIN pts p ON c.scene_id = p.scene_id)
-SELECT scene_id, query_id, round(sqrt(min(d2)), 5) AS d FROM n GROUP BY scene_id, query_id HAVING min(d2) <= 16""")
+SELECT scene_id, query_id, round(sqrt(min(d2)), 5) AS d FROM n GROUP BY scene_id, query_id""")
 def _(centroids, vox):
-    found = J.nearest_point(centroids.withColumn("query_id", F.col("frame_id") * 10 + F.col("label")), numbered(vox), 4.0)
+    found = J.nearest_point(centroids.withColumn("query_id", F.col("frame_id") * 10 + F.col("label")), numbered(vox), 0.5)  # most answers take several rounds
     return rounded(found.select("scene_id", "query_id", "d"), "d", digits=5)
 
 
@@ -401,9 +513,11 @@ QUERIES["wa_static_map"] = QUERIES["a4_count_observed"]
 ORACLE_SQL["wa_static_map"] = ORACLE_SQL["a4_count_observed"]
 
 
-@query("a5_has_points", "scan_points", sql="SELECT DISTINCT scene_id, frame_id, TRUE AS has_points FROM scan_points")
+@query("a5_has_points", "scan_points", sql="SELECT scene_id, frame_id, bool_or(x > 7.6e1) AS has_points FROM scan_points GROUP BY scene_id, frame_id")
 def _(points):
-    return A.has_points(A.nest_frames(points))
+    """Frames whose blocks keep only far centres; many then have none."""
+    far = F.transform("blocks", lambda b: F.struct(F.filter(b["centers"], lambda c: c["x"] > 76).alias("centers")))
+    return A.has_points(A.nest_frames(points).withColumn("blocks", far))
 
 
 @query("a6_supervoxel_centroid", "scan_points", sql="""SELECT scene_id, label, round(avg(x), 6) AS x, round(avg(y), 6) AS y, round(avg(z), 6) AS z FROM (
@@ -424,15 +538,21 @@ def _(points):
     return rounded(merged.withColumn("clusters", F.array_join(F.array_sort(F.col("clusters").cast("array<string>")), ",")), *XYZ)
 
 
-@query("a9_first_seen", "poses", "vox", sql=f"WITH {_CAND} SELECT scene_id, point_id, min(seq) AS first_seq FROM cand GROUP BY scene_id, point_id")
+@query("a9_first_seen", "poses", "vox", sql=f"WITH {_SEEN} SELECT scene_id, point_id, seq AS first_seq FROM s")
 def _(poses, vox):
-    return R.first_seen(J.visible_candidates(_first_poses(poses), numbered(vox)))
+    return _seen(poses, vox)[1]
 
 
-@query("a10_coverage", "poses", "vox", sql=f"WITH {_CAND}, s AS (SELECT DISTINCT scene_id, point_id FROM cand) SELECT p.scene_id, count(s.point_id) AS seen, count(*) AS total, round(1e2 * count(s.point_id) / count(*), 6) AS percent FROM pts p LEFT JOIN s ON p.scene_id = s.scene_id AND p.point_id = s.point_id GROUP BY p.scene_id")
+@query("a10_coverage", "poses", "vox", sql=f"WITH {_SEEN} SELECT p.scene_id, count(s.point_id) AS seen, count(*) AS total, round(1e2 * count(s.point_id) / count(*), 6) AS percent FROM pts p LEFT JOIN s ON p.scene_id = s.scene_id AND p.point_id = s.point_id GROUP BY p.scene_id")
 def _(poses, vox):
-    points = numbered(vox)
-    return R.coverage(points, R.first_seen(J.visible_candidates(_first_poses(poses), points)))
+    return R.coverage(*_seen(poses, vox))
+
+
+@query("a11_mixture_bic", "bics", "vox", sql="SELECT scene_id, k, round((10 * k - 1) * ln(n) - 2 * bic, 4) AS bic FROM bics JOIN (SELECT scene_id, count(*) AS n FROM vox GROUP BY scene_id) v USING (scene_id)")
+def _(bics, vox):
+    """The table's numbers stand for log likelihoods of the scene's voxels."""
+    rows = bics.join(V.occupied_count(vox), "scene_id")
+    return rounded(rows.select("scene_id", "k", T.mixture_bic(F.col("bic"), F.col("n"), F.col("k")).alias("bic")), "bic", digits=4)
 
 
 @query("a12_occupied_count", "vox", sql="SELECT scene_id, count(*) AS n FROM vox GROUP BY scene_id")
@@ -440,10 +560,9 @@ def _(vox):
     return V.occupied_count(vox)
 
 
-@query("p17_recolor_seen", "poses", "vox", sql=f"WITH {_CAND}, s AS (SELECT DISTINCT scene_id, point_id FROM cand) SELECT p.scene_id, p.point_id, CASE WHEN s.point_id IS NULL THEN 16711680 ELSE 65280 END AS rgb FROM pts p LEFT JOIN s ON p.scene_id = s.scene_id AND p.point_id = s.point_id")
+@query("p17_recolor_seen", "poses", "vox", sql=f"WITH {_SEEN} SELECT p.scene_id, p.point_id, CASE WHEN s.point_id IS NULL THEN 16711680 ELSE 65280 END AS rgb FROM pts p LEFT JOIN s ON p.scene_id = s.scene_id AND p.point_id = s.point_id")
 def _(poses, vox):
-    points = numbered(vox)
-    seen = R.first_seen(J.visible_candidates(_first_poses(poses), points))
+    points, seen = _seen(poses, vox)
     return points.join(seen, ["scene_id", "point_id"], "left").select("scene_id", "point_id", S.recolor_seen(F.col("first_seq")).alias("rgb"))
 
 
@@ -453,12 +572,12 @@ def _(poses):
     return T.stride_sample(poses, 3).select("scene_id", "seq", "time")
 
 
-@query("w2_coverage_timeline", "poses", "vox", sql=f"""WITH {_CAND}, s AS (SELECT scene_id, point_id, min(seq) AS seq FROM cand GROUP BY scene_id, point_id), n AS (SELECT scene_id, seq, count(*) AS c FROM s GROUP BY scene_id, seq), t AS (SELECT scene_id, count(*) AS total FROM pts GROUP BY scene_id),
+@query("w2_coverage_timeline", "poses", "vox", sql=f"""WITH {_SEEN}, n AS (SELECT scene_id, seq, count(*) AS c FROM s GROUP BY scene_id, seq), t AS (SELECT scene_id, count(*) AS total FROM pts GROUP BY scene_id),
 r AS (SELECT q.scene_id, q.seq, coalesce(c, 0) AS new, CAST(sum(coalesce(c, 0)) OVER (PARTITION BY q.scene_id ORDER BY q.seq) AS BIGINT) AS seen FROM q LEFT JOIN n ON q.scene_id = n.scene_id AND q.seq = n.seq)
 SELECT r.scene_id, seq, new, seen, round(1e2 * seen / total, 6) AS percent FROM r JOIN t ON r.scene_id = t.scene_id""")
 def _(poses, vox):
-    poses, points = _first_poses(poses), numbered(vox)
-    return R.coverage_timeline(poses, R.first_seen(J.visible_candidates(poses, points)), points)
+    points, seen = _seen(poses, vox)
+    return R.coverage_timeline(poses, seen, points)
 
 
 @query("w3_path_so_far", "poses", sql="SELECT scene_id, seq, seq + 1 AS n_poses FROM poses")
@@ -491,6 +610,19 @@ def _(points):
     return C.edge_points(labelled, J.supervoxel_centroid(labelled))
 
 
+@query("w9_thin_path", "poses", sql="""WITH RECURSIVE o AS (SELECT scene_id, seq AS i, x, y, z, lead(x) OVER w AS nx, lead(y) OVER w AS ny, lead(z) OVER w AS nz, lag(x) OVER w AS px, lag(y) OVER w AS py, lag(z) OVER w AS pz FROM poses WINDOW w AS (PARTITION BY scene_id ORDER BY seq)),
+u AS MATERIALIZED (SELECT *, sqrt((x - px) * (x - px) + (y - py) * (y - py) + (z - pz) * (z - pz)) * sqrt((nx - x) * (nx - x) + (ny - y) * (ny - y) + (nz - z) * (nz - z)) AS size, (x - px) * (nx - x) + (y - py) * (ny - y) + (z - pz) * (nz - z) AS dot FROM o),
+v AS MATERIALIZED (SELECT *, CASE WHEN size > 0 AND acos(least(1, greatest(-1, dot / size))) > 0.5e0 THEN 20 ELSE 40 END AS need FROM u),
+r AS (SELECT scene_id, i, x, y, z, x AS kx, y AS ky, z AS kz, 0e0 AS gone, TRUE AS kept FROM v WHERE i = 0 UNION ALL
+  SELECT scene_id, i, x, y, z, CASE WHEN g >= need THEN x ELSE kx END, CASE WHEN g >= need THEN y ELSE ky END, CASE WHEN g >= need THEN z ELSE kz END, CASE WHEN g >= need THEN 0e0 ELSE g END, g >= need
+  FROM (SELECT v.*, r.kx, r.ky, r.kz, r.gone + sqrt((v.x - kx) * (v.x - kx) + (v.y - ky) * (v.y - ky) + (v.z - kz) * (v.z - kz)) AS g FROM r JOIN v ON v.scene_id = r.scene_id AND v.i = r.i + 1 WHERE v.nx IS NOT NULL) t),
+k AS (SELECT DISTINCT scene_id, x, y, z FROM (SELECT scene_id, x, y, z FROM r WHERE kept UNION ALL SELECT scene_id, x, y, z FROM v WHERE nx IS NULL) t)
+SELECT scene_id, CAST(row_number() OVER (PARTITION BY scene_id ORDER BY x, y, z) - 1 AS BIGINT) AS ord, x, y, z FROM k""")
+def _(poses):
+    """Each scene's flight as one path, thinned for voxels of ten units."""
+    return C.thin_paths(poses.select("scene_id", F.lit(0).alias("label"), F.col("seq").alias("ord"), *XYZ), 10.0).drop("label")
+
+
 @query("w10_ring_waypoints", "poses", sql="""WITH s AS (SELECT scene_id, round(avg(x), 3) AS cx, round(avg(y), 3) AS cy FROM poses GROUP BY scene_id), r AS (SELECT scene_id, i, cx + 30 * cos(2 * pi() * i / 12) AS x, cy + 30 * sin(2 * pi() * i / 12) AS y FROM s, (SELECT unnest(range(0, 12)) AS i) k),
 f AS (SELECT *, first(i) OVER (PARTITION BY scene_id ORDER BY round(x * x + y * y + 3600, 6), i) AS f FROM r) SELECT scene_id, CAST((i - f + 12) % 12 AS BIGINT) AS ord, round(x, 5) + 0e0 AS x, round(y, 5) + 0e0 AS y, 4e1 AS z FROM f""")
 def _(poses):
@@ -532,49 +664,88 @@ def _labelled(points: DataFrame) -> DataFrame:
     return cells.select("scene_id", F.array("label").alias("clusters"), S.pack_voxel().alias("point_id"), *S.voxel_center(1.0))
 
 
-_NEAR = ", ".join(str((x, y, z)) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1) if 0 < x * x + y * y + z * z <= 2)
-_LINKS = f"""WITH RECURSIVE {PTS}, e AS MATERIALIZED (SELECT a.point_id AS a, a.scene_id, b.point_id AS b FROM pts a, pts b, (VALUES {_NEAR}) o(i, j, k) WHERE a.scene_id = b.scene_id AND b.ix = a.ix + i AND b.iy = a.iy + j AND b.iz = a.iz + k)"""
+def _linked_sql(points: str, eps: float, key: str) -> str:
+    """Components of voxels (``id``, cell, key columns) within eps of each other: CTEs to put after WITH RECURSIVE, the last one ``cc(id, comp)``."""
+    r = int(eps)
+    near = ", ".join(str((x, y, z)) for x in range(-r, r + 1) for y in range(-r, r + 1) for z in range(-r, r + 1) if 0 < x * x + y * y + z * z <= eps * eps)
+    same = " AND ".join(f"a.{k} = b.{k}" for k in key.split(", "))
+    return f"""n AS MATERIALIZED (SELECT row_number() OVER (ORDER BY {key}, point_id) AS id, * FROM {points}),
+e AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM n a, (VALUES {near}) o(i, j, k), n b WHERE {same} AND b.ix = a.ix + i AND b.iy = a.iy + j AND b.iz = a.iz + k),
+cc(id, comp) USING KEY (id) AS (SELECT id, id FROM n UNION (SELECT DISTINCT ON (e.b) e.b, c.comp FROM recurring.cc r, cc c, e WHERE e.a = c.id AND r.id = e.b AND c.comp < r.comp ORDER BY e.b, c.comp))"""
 
 
-@query("c1_radius_components", "vox")
+_CLUSTERS = """lab AS (SELECT DISTINCT scene_id, label, CAST(floor(x) AS INT) AS ix, CAST(floor(y) AS INT) AS iy, CAST(floor(z) AS INT) AS iz FROM scan_points WHERE label >= 0), labelled AS (SELECT *, """ + KEY + """ AS point_id FROM lab)"""
+_ONE = f"{PTS}, {_linked_sql('pts', 1.5, 'scene_id')}"
+
+
+@query("c1_radius_components", "vox", sql=f"WITH RECURSIVE {_ONE} SELECT n.scene_id, n.point_id, m.point_id AS component FROM cc JOIN n ON n.id = cc.id JOIN n m ON m.id = cc.comp")
 def _(vox):
     return J.radius_components(numbered(vox), 1.5).select("scene_id", "point_id", "component")
 
 
-@query("c2_filter_lonely_points", "vox")
+@query("c2_filter_lonely_points", "vox", sql=f"WITH RECURSIVE {_ONE}, g AS (SELECT comp FROM cc GROUP BY comp HAVING count(*) >= 50) SELECT n.scene_id, n.point_id, n.x, n.y, n.z FROM n JOIN cc ON n.id = cc.id SEMI JOIN g ON cc.comp = g.comp")
 def _(vox):
     return J.filter_lonely_points(numbered(vox)).select("scene_id", "point_id", *XYZ)
 
 
-@query("c4_split_clusters", "scan_points")
+@query("c4_split_clusters", "scan_points", sql=f"""WITH RECURSIVE {_CLUSTERS}, {_linked_sql('labelled', 3.0, 'scene_id, label')}, g AS (SELECT n.scene_id, n.label, m.point_id AS component, count(*) AS n FROM n JOIN cc ON n.id = cc.id JOIN n m ON m.id = cc.comp GROUP BY ALL HAVING count(*) >= 50)
+SELECT *, CAST(row_number() OVER (PARTITION BY scene_id ORDER BY label, component) - 1 AS BIGINT) AS new_label FROM g""")
 def _(points):
     labelled = J.clusters_of_point(_labelled(points))
-    return J.split_clusters(labelled, 3.0).select("scene_id", "label", "component", "n", "new_label")
+    return J.split_clusters(labelled, 3.0).select("scene_id", "label", "component", "n", F.col("new_label").cast("long").alias("new_label"))
+
+
+@query("w6_relabel_components", "scan_points", sql="""WITH g AS (SELECT scene_id, label, frame_id AS component, count(*) AS n, min(center_pos) AS first FROM scan_points GROUP BY scene_id, label, frame_id HAVING count(*) >= 50)
+SELECT scene_id, label, component, n, CAST(row_number() OVER (PARTITION BY scene_id ORDER BY label, first, component) - 1 AS BIGINT) AS new_label FROM g""")
+def _(points):
+    """Parts given beforehand: the frames of each label."""
+    found = points.select("scene_id", "label", F.col("frame_id").alias("component"), F.col("center_pos").alias("point_id"))
+    return J.relabel_components(found).select("scene_id", "label", "component", "n", F.col("new_label").cast("long").alias("new_label"))
 
 
-QUERIES["w6_relabel_components"] = QUERIES["c4_split_clusters"]
+def _ends(points: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Labelled voxels and their end points."""
+    labelled = J.clusters_of_point(_labelled(points))
+    return labelled, checkpoint(C.edge_points(labelled, J.supervoxel_centroid(labelled)))
+
+
+@query("c5_edges_and_centroids", "scan_points")
+def _(points):
+    return rounded(C.edges_and_centroids(J.clusters_of_point(_labelled(points))), *XYZ)
 
 
 @query("c6_merge_edge_points_within_cluster", "scan_points")
 def _(points):
-    labelled = J.clusters_of_point(_labelled(points))
-    ends = C.edge_points(labelled, J.supervoxel_centroid(labelled))
+    labelled, ends = _ends(points)
     return rounded(C.merge_within_clusters(ends, labelled), *XYZ)
 
 
+@query("c7_geodesic_paths", "scan_points")
+def _(points):
+    return C.geodesic_paths(*_ends(points))
+
+
+@query("c8_geodesic_tree", "scan_points")
+def _(points):
+    labelled, ends = _ends(points)
+    return rounded(C.geodesic_tree(C.geodesic_paths(labelled, ends), labelled), "dist")
+
+
 @query("c9_densify", "scan_points")
 def _(points):
-    labelled = J.clusters_of_point(_labelled(points))
-    return C.densify(labelled, C.edge_points(labelled, J.supervoxel_centroid(labelled)))
+    return C.densify(*_ends(points))
 
 
-@query("c12_skeletonize", "scan_points")
+@query("c10_merge_edges_across_clusters", "scan_points")
 def _(points):
-    labelled = J.clusters_of_point(_labelled(points))
-    ends = C.merge_within_clusters(C.edge_points(labelled, J.supervoxel_centroid(labelled)), labelled)
-    joined = C.merge_across_clusters(C.densify(labelled, ends), ends)
-    more = C.extend_endpoints(joined).select("scene_id", "label", *XYZ, F.lit(False).alias("is_edge"))
-    return rounded(joined.select("scene_id", "label", *XYZ, "is_edge").unionByName(more), *XYZ)
+    labelled, ends = _ends(points)
+    return rounded(C.merge_across_clusters(C.densify(labelled, ends), ends), *XYZ)
+
+
+@query("c12_skeletonize", "vox")
+def _(vox):
+    """From a cloud to its skeleton with lasting ids and colours, one frame a scene: the whole job, see :func:`skeletonize`."""
+    return rounded(skeletonize(numbered(vox)), *XYZ)
 
 
 # state
@@ -599,12 +770,17 @@ def _(points):
     return A.repeat_last_output(A.changed_frames(points))
 
 
-@query("t6_waypoint_arrival", "odometry", sql="""WITH RECURSIVE o AS (SELECT scene_id, sqrt((x - 25) * (x - 25) + (y - 5) * (y - 5)) AS d, row_number() OVER (PARTITION BY scene_id ORDER BY ts, sqrt((x - 25) * (x - 25) + (y - 5) * (y - 5))) AS i FROM odometry),
-r AS (SELECT scene_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS n, CAST('infinity' AS DOUBLE) AS last FROM o WHERE i = 1 UNION ALL
-  SELECT o.scene_id, o.i, r.n + CASE WHEN d > last THEN 1 ELSE 0 END, CASE WHEN d > last THEN CAST('infinity' AS DOUBLE) WHEN d < 2 THEN d ELSE last END FROM o JOIN r ON o.scene_id = r.scene_id AND o.i = r.i + 1)
-SELECT scene_id, max(n) AS arrivals FROM r GROUP BY scene_id""")
+#: Waypoints of the arrival query.
+_TOUR = [(45.0, 5.0, 0.0), (25.0, 9.0, 0.0), (5.0, 5.0, 0.0), (25.0, 1.0, 0.0)]
+
+
+@query("t6_waypoint_arrival", "odometry", sql=f"""WITH RECURSIVE w(k, wx, wy, wz) AS (VALUES {", ".join(str((k, *t)) for k, t in enumerate(_TOUR))}), o AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY ts, x, y, z) AS i FROM odometry),
+r AS (SELECT DISTINCT scene_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS n, CAST('infinity' AS DOUBLE) AS last FROM o UNION ALL
+  SELECT scene_id, i, n + CASE WHEN d > last THEN 1 ELSE 0 END, CASE WHEN d > last THEN CAST('infinity' AS DOUBLE) WHEN d < 5 THEN d ELSE last END
+  FROM (SELECT o.scene_id, o.i, r.n, r.last, sqrt((x - wx) * (x - wx) + (y - wy) * (y - wy) + (z - wz) * (z - wz)) AS d FROM o JOIN r ON o.scene_id = r.scene_id AND o.i = r.i + 1 JOIN w ON w.k = r.n % {len(_TOUR)}) t)
+SELECT scene_id, max(n) AS arrivals FROM r GROUP BY scene_id""")
 def _(odometry):
-    return T.waypoint_arrival(odometry, (25.0, 5.0, 0.0))
+    return T.waypoint_arrival(odometry, _TOUR, 5.0)
 
 
 # operators that need tables of their own, derived from the clouds
@@ -619,7 +795,11 @@ def _(points):
     return C.flag_edge_points(skeleton_points, ends).select("scene_id", "label", *XYZ, "is_edge")
 
 
-@query("c11_extend_endpoints", "scan_points")
+@query("c11_extend_endpoints", "scan_points", sql="""WITH c AS (SELECT DISTINCT scene_id, label, floor(x) + 0.5e0 AS x, floor(y) + 0.5e0 AS y, floor(z) + 0.5e0 AS z FROM scan_points WHERE label >= 0),
+t AS (SELECT DISTINCT ON (scene_id, label) * FROM c ORDER BY scene_id, label, z DESC, x DESC, y DESC),
+n AS (SELECT DISTINCT ON (t.scene_id, t.label) t.scene_id, t.label, t.x AS ex, t.y AS ey, t.z AS ez, c.x, c.y, c.z, (c.x - t.x) * (c.x - t.x) + (c.y - t.y) * (c.y - t.y) + (c.z - t.z) * (c.z - t.z) AS d2
+  FROM t JOIN c ON t.scene_id = c.scene_id AND t.label = c.label WHERE greatest(abs(c.x - t.x), abs(c.y - t.y), abs(c.z - t.z)) > 1e-8 ORDER BY t.scene_id, t.label, d2, c.x, c.y, c.z)
+SELECT scene_id, label, round(ex + k * 3 * (ex - x) / sqrt(d2), 6) + 0e0 AS x, round(ey + k * 3 * (ey - y) / sqrt(d2), 6) + 0e0 AS y, round(ez + k * 3 * (ez - z) / sqrt(d2), 6) + 0e0 AS z FROM n, (VALUES (1), (2)) v(k)""")
 def _(points):
     cells = J.clusters_of_point(_labelled(points)).select("scene_id", "label", *XYZ)
     tips = cells.groupBy("scene_id", "label").agg(F.max(F.struct("z", "x", "y")).alias("t"))
@@ -627,22 +807,42 @@ def _(points):
     return rounded(C.extend_endpoints(marked.select("scene_id", "label", *XYZ, "is_edge", F.array("label").alias("clusters"))), *XYZ)
 
 
-@query("c3_fit_mixtures", "scan_points")
-def _(points):
-    fitted, _ = C.fit_mixture(J.clusters_of_point(_labelled(points)), 2)
-    return fitted.groupBy("scene_id", "mixture").agg(F.count("*").alias("n"))
+@query("c3_fit_mixtures", "vox")
+def _(vox):
+    """Points of each part, with the number of parts by the elbow of the BIC, fitted on the dilated cloud."""
+    points = numbered(vox)
+    fits = G.fit_mixtures(V.dilate_points(points.select("scene_id", *XYZ), 1))
+    chosen = G.number_of_parts(fits)[1]
+    return G.label_points(points, fits, chosen).groupBy("scene_id", "label").agg(F.count("*").alias("n")).join(chosen, "scene_id")
 
 
-def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The running map of all frames, read as a stream, in the shared folder."""
-    source = f"{sf_dir}/lineitem.parquet"
-    lines = spark.readStream.schema(spark.read.parquet(source).schema).parquet(f"{sf_dir}/lineitem.parque*")
-    shared_folder(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
-    points = spark.sql(VIEWS["scan_points"].replace("FROM lineitem", "FROM {lineitem}"), lineitem=lines)
+def _fed(spark: SparkSession, rows: DataFrame, folder: str) -> DataFrame:
+    """A table as a stream of four micro-batches, by way of files."""
+    rows.repartition(4).write.parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def _mapped(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of the running map of all frames."""
+    folder = _folder(spark, "stream")
+    points = _fed(spark, view(spark, sf_dir, "scan_points"), f"{folder}/in")
     stream_accumulate(points, f"{folder}/map", f"{folder}/progress").awaitTermination()
-    return current_map(spark, f"{folder}/map")
+    return f"{folder}/map"
 
 
-QUERIES["t1_stream_accumulate"] = _streamed
+QUERIES["t1_stream_accumulate"] = lambda spark, sf_dir: current_map(spark, _mapped(spark, sf_dir))
 ORACLE_SQL["t1_stream_accumulate"] = ORACLE_SQL["a3_accumulate_static"]
+QUERIES["t1_stream_closing"] = lambda spark, sf_dir: current_closing(spark, _mapped(spark, sf_dir))
+ORACLE_SQL["t1_stream_closing"] = ORACLE_SQL["v4_close"]
+
+
+def _covered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = _folder(spark, "coverage")
+    vox = checkpoint(view(spark, sf_dir, "vox"))
+    poses = _fed(spark, view(spark, sf_dir, "poses"), f"{folder}/in")
+    stream_coverage(poses, numbered(vox), vox, f"{folder}/seen", f"{folder}/progress").awaitTermination()
+    return current_first_seen(spark, f"{folder}/seen")
+
+
+QUERIES["t5_stream_coverage"] = _covered
+ORACLE_SQL["t5_stream_coverage"] = ORACLE_SQL["a9_first_seen"]

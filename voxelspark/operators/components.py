@@ -2,13 +2,14 @@
 
 Each round every node takes the least label among its own and its neighbours', then the label of
 that label's node, so a path of n nodes takes about log(n) rounds.  The only value that reaches the driver is
-the number of labels that changed.  Rounds are cut by checkpoints in the shared folder, so a lost
+whether a label changed.  Rounds are cut by tables in the shared folder, so a lost
 executor costs a task, not the loop.
 """
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,19 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder, for loops.
+
+    A checkpoint keeps the optimizer's estimate of its size, and in a loop of joins that number squares itself every round until it
+    takes longer to multiply than the data to join.  A table is as large as its files.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """``node`` and ``component`` (the least node in it) for every node of an undirected edge table.
 
@@ -33,14 +47,14 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     """
     a, b = F.col(src).alias("src"), F.col(dst).alias("dst")
     one_way = edges.select(a, b).dropna()
-    both = checkpoint(one_way.union(one_way.select("dst", "src")).distinct())
-    labels = checkpoint(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m")).select("node", F.least("node", "m").alias("component")))
+    both = stored(one_way.union(one_way.select("dst", "src")).distinct())
+    labels = stored(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m")).select("node", F.least("node", "m").alias("component")))
     while True:
         near = both.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("near"))
         stepped = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
         far = labels.select(F.col("node").alias("at"), F.col("component").alias("far"))
         jumped = stepped.join(far, F.col("component") == F.col("at"), "left").select("node", "old", F.least("component", F.coalesce("far", "component")).alias("component"))
-        jumped = checkpoint(jumped)
+        jumped = stored(jumped)
         changed = jumped.filter("component <> old").limit(1).count()
         labels = jumped.select("node", "component")
         if not changed:

@@ -26,7 +26,8 @@ def sample_triangles(allocated: DataFrame, seed: int = 42) -> DataFrame:
     """Uniform points of triangles, the same ones on any partitioning: numbers come from hashes of face and sample."""
     chunks = allocated.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / CHUNK))))
     spread = chunks.withColumn("i", F.explode(F.sequence(F.col("chunk") * CHUNK, F.least(F.col("n"), (F.col("chunk") + 1) * CHUNK) - 1)))
-    unit = lambda k: F.pmod(F.xxhash64("mesh_id", "face_id", "i", F.lit(seed), F.lit(k)), F.lit(1 << 53)) / float(1 << 53)
+    draw = lambda k: F.md5(F.concat_ws("/", F.col("mesh_id").cast("string"), F.col("face_id").cast("string"), F.col("i").cast("string"), F.lit(f"{seed}/{k}")))
+    unit = lambda k: F.conv(F.substring(draw(k), 1, 13), 16, 10).cast("long") / float(1 << 52)
     drawn = spread.withColumns({"r1": F.sqrt(unit(1)), "r2": unit(2)})
     a, b, c = 1 - F.col("r1"), F.col("r1") * (1 - F.col("r2")), F.col("r1") * F.col("r2")
     return drawn.select("mesh_id", "face_id", *[(a * F.col(f"{n}0") + b * F.col(f"{n}1") + c * F.col(f"{n}2")).alias(n) for n in XYZ])
@@ -77,6 +78,6 @@ def shell_output_name(stem: str, size: float, one_digit: bool = True) -> str:
 
 
 def shell_names(paths: DataFrame, size: float) -> DataFrame:
+    """Names for many meshes; the size is one number, so it is written once, halves to even as in C."""
     stem = F.regexp_replace(F.regexp_extract("path", "([^/]+)$", 1), "[.][^.]*$", "")
-    return paths.select("path", F.concat(stem, F.lit("_outer_shell_voxels_"), F.format_string("%.1f", F.lit(size)), F.lit(".pcd")).alias("name"))
-
+    return paths.select("path", F.concat(stem, F.lit(shell_output_name("", size))).alias("name"))

@@ -120,44 +120,61 @@ def bounds(table: DataFrame, names: tuple[str, ...] = XYZ) -> DataFrame:
     return table.groupBy("scene_id").agg(*[f(n).alias(f"{k}_{n}") for n in names for k, f in (("min", F.min), ("max", F.max))])
 
 
-def free_runs(vox: DataFrame) -> DataFrame:
-    """Free space of the bounding box padded by one, as runs along z: ``scene_id, ix, iy, z0, z1``.
+_SIDES = [(1, 0), (-1, 0), (0, 1), (0, -1)]
 
-    Space is never dense: a column has one run more than its gaps, and empty columns are one run.
+
+def occupied_columns(vox: DataFrame) -> DataFrame:
+    """Columns with a voxel: ``scene_id, ix, iy``, its lowest and highest voxel ``low, high`` and the ``gaps`` (z0, z1) between voxels."""
+    zs = vox.groupBy("scene_id", "ix", "iy").agg(F.sort_array(F.collect_set("iz")).alias("zs"))
+    pairs = F.zip_with(F.slice("zs", 1, F.size("zs") - 1), F.slice("zs", 2, F.size("zs") - 1), lambda a, b: F.struct((a + 1).alias("z0"), (b - 1).alias("z1")))
+    return zs.select("scene_id", "ix", "iy", F.array_min("zs").alias("low"), F.array_max("zs").alias("high"), F.filter(pairs, lambda g: g["z0"] <= g["z1"]).alias("gaps"))
+
+
+def _beside(df: DataFrame, *more: str) -> DataFrame:
+    """Each row at the four columns beside its own, ``nx, ny``."""
+    way = F.explode(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in _SIDES])).alias("way")
+    return df.select("scene_id", "ix", "iy", *more, way).select("scene_id", "ix", "iy", *more, (F.col("ix") + F.col("way.x")).alias("nx"), (F.col("iy") + F.col("way.y")).alias("ny"))
+
+
+def exterior_gaps(columns: DataFrame) -> DataFrame:
+    """Gaps between voxels of a column that are connected by faces to the outside: ``scene_id, ix, iy, z0, z1``.
+
+    All space above and below a column's voxels, and all of a column without any, is outside.  So only gaps are nodes: a gap is
+    outside if one beside it is, or if it lies beside such space.  Nothing is ever expanded to the box.
     """
-    box = bounds(vox, CELL)
-    low, high = F.col("min_iz") - 1, F.col("max_iz") + 1
-    columns = box.select("scene_id", F.explode(F.sequence(F.col("min_ix") - 1, F.col("max_ix") + 1)).alias("ix"), "min_iy", "max_iy", low.alias("low"), high.alias("high"))
-    columns = columns.select("scene_id", "ix", F.explode(F.sequence(F.col("min_iy") - 1, F.col("max_iy") + 1)).alias("iy"), "low", "high")
-    filled = vox.groupBy("scene_id", "ix", "iy").agg(F.sort_array(F.collect_set("iz")).alias("zs"))
-    edges = columns.join(filled, ["scene_id", "ix", "iy"], "left").select("scene_id", "ix", "iy", F.concat(F.array(F.col("low") - 1), F.coalesce("zs", F.array().cast("array<int>")), F.array(F.col("high") + 1)).alias("e"))
-    gaps = F.filter(F.zip_with(F.slice("e", 1, F.size("e") - 1), F.slice("e", 2, F.size("e") - 1), lambda a, b: F.struct((a + 1).alias("z0"), (b - 1).alias("z1"))), lambda g: g["z0"] <= g["z1"])
-    return edges.select("scene_id", "ix", "iy", F.explode(gaps).alias("g")).select("scene_id", "ix", "iy", F.col("g.z0").alias("z0"), F.col("g.z1").alias("z1"))
-
-
-def exterior_runs(vox: DataFrame) -> DataFrame:
-    """Runs of free space that are connected by faces to the border of the padded box."""
-    node = F.struct("scene_id", "ix", "iy", "z0")
-    runs = checkpoint(free_runs(vox).withColumn("node", node))
-    sides = []
-    for dx, dy in ((1, 0), (0, 1)):
-        other = runs.select("scene_id", (F.col("ix") - dx).alias("ix"), (F.col("iy") - dy).alias("iy"), F.col("z0").alias("o0"), F.col("z1").alias("o1"), F.col("node").alias("dst"))
-        sides.append(runs.join(other, ["scene_id", "ix", "iy"]).filter("z0 <= o1 AND o0 <= z1").select(F.col("node").alias("src"), "dst"))
-    found = components(sides[0].unionByName(sides[1]))
-    corner = runs.groupBy("scene_id").agg(F.min("node").alias("component"))
-    outside = found.join(corner.select("component"), "component", "left_semi").select("node")
-    return runs.join(outside, "node", "left_semi").drop("node")
+    gaps = columns.select("scene_id", "ix", "iy", F.explode("gaps").alias("g")).select("scene_id", "ix", "iy", "g.z0", "g.z1")
+    gaps = checkpoint(gaps.withColumn("node", F.struct("scene_id", "ix", "iy", "z0")))
+    other = columns.select("scene_id", F.col("ix").alias("nx"), F.col("iy").alias("ny"), "low", "high", "gaps")
+    met = checkpoint(_beside(gaps, "z0", "z1", "node").join(other, ["scene_id", "nx", "ny"], "left"))
+    opens = met.filter("low IS NULL OR z0 < low OR z1 > high").select("node").distinct()
+    touching = F.filter("gaps", lambda g: (g["z0"] <= F.col("z1")) & (g["z1"] >= F.col("z0")))
+    edges = met.select("node", "scene_id", "nx", "ny", F.explode(touching).alias("g")).select(F.col("node").alias("src"), F.struct("scene_id", F.col("nx").alias("ix"), F.col("ny").alias("iy"), "g.z0").alias("dst"))
+    found = components(edges)
+    named = gaps.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    outside = named.join(opens, "node", "left_semi").select("component").distinct()
+    return named.join(outside, "component", "left_semi").select("scene_id", "ix", "iy", "z0", "z1")
 
 
 def exterior_air(vox: DataFrame) -> DataFrame:
-    return exterior_runs(vox).select("scene_id", "ix", "iy", F.explode(F.sequence("z0", "z1")).alias("iz"))
+    """Free cells of the bounding box, padded by one, that are connected by faces to its border."""
+    columns = checkpoint(occupied_columns(vox))
+    box = bounds(vox, CELL)
+    every = box.select("scene_id", F.explode(F.sequence(F.col("min_ix") - 1, F.col("max_ix") + 1)).alias("ix"), "min_iy", "max_iy", (F.col("min_iz") - 1).alias("z0"), (F.col("max_iz") + 1).alias("z1"))
+    every = every.repartition("scene_id", "ix")  # so that no task expands a whole box
+    every = every.select("scene_id", "ix", F.explode(F.sequence(F.col("min_iy") - 1, F.col("max_iy") + 1)).alias("iy"), "z0", "z1")
+    ends = every.join(columns.drop("gaps"), ["scene_id", "ix", "iy"], "left")
+    ends = ends.select("scene_id", "ix", "iy", F.explode(F.when(F.col("low").isNull(), F.array(F.struct("z0", "z1"))).otherwise(F.array(F.struct("z0", (F.col("low") - 1).alias("z1")), F.struct((F.col("high") + 1).alias("z0"), "z1")))).alias("g"))
+    runs = ends.select("scene_id", "ix", "iy", "g.z0", "g.z1").unionByName(exterior_gaps(columns))
+    return runs.select("scene_id", "ix", "iy", F.explode(F.sequence("z0", "z1")).alias("iz"))
 
 
 def outer_shell(vox: DataFrame) -> DataFrame:
     """Occupied voxels with a face to the exterior; cavities inside do not count."""
-    runs = exterior_runs(vox).withColumnsRenamed({"ix": "nx", "iy": "ny"})
-    faces = F.array(*[F.struct(*[F.lit(v).alias(c) for v, c in zip(o, "abc")]) for o in FACES])
-    near = vox.select(*KEY, F.explode(faces).alias("o")).select(*KEY, (F.col("ix") + F.col("o.a")).alias("nx"), (F.col("iy") + F.col("o.b")).alias("ny"), (F.col("iz") + F.col("o.c")).alias("nz"))
-    return near.join(runs, ["scene_id", "nx", "ny"]).filter("nz BETWEEN z0 AND z1").select(*KEY).distinct()
-
-
+    columns = checkpoint(occupied_columns(vox))
+    gaps = exterior_gaps(columns).select("scene_id", F.col("ix").alias("nx"), F.col("iy").alias("ny"), F.struct("z0", "z1").alias("g")).groupBy("scene_id", "nx", "ny").agg(F.collect_list("g").alias("open"))
+    known = columns.select("scene_id", F.col("ix").alias("nx"), F.col("iy").alias("ny"), "low", "high").join(gaps, ["scene_id", "nx", "ny"], "left")
+    own = vox.select("scene_id", "ix", "iy", "iz", F.col("ix").alias("nx"), F.col("iy").alias("ny"), F.explode(F.array(F.col("iz") - 1, F.col("iz") + 1)).alias("nz"))
+    near = _beside(vox, "iz").withColumn("nz", F.col("iz")).unionByName(own)
+    free = F.exists("open", lambda g: F.col("nz").between(g["z0"], g["z1"]))
+    met = near.join(known, ["scene_id", "nx", "ny"], "left").filter(F.col("low").isNull() | (F.col("nz") < F.col("low")) | (F.col("nz") > F.col("high")) | free)
+    return met.select(*KEY).distinct()

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from voxelspark.functions.scalar import CELL, XYZ, in_frustum, in_range, quantize, yaw_from_quaternion
-from voxelspark.operators.components import components
+from voxelspark.operators.components import checkpoint, components, stored
 
+#: Points of a cell that one row of a comparison holds.
+PART = 256
 CUBE = [(x, y, z) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1)]
 
 
@@ -37,12 +39,25 @@ def radius_neighbors(points: DataFrame, r: float, within: Sequence[str] = ("scen
 
 
 def nearest_point(queries: DataFrame, points: DataFrame, reach: float) -> DataFrame:
-    """The nearest point within ``reach`` of each query, ties to the least point_id: ``query_id, point_id, d``."""
+    """The nearest point of its scene to each query, ties to the least point_id: ``query_id, point_id, d``.
+
+    Points are sought on a grid of side ``reach``; queries without one that near are asked again with twice the side, so
+    all that have a point in their scene get an answer, and only their number reaches the driver.
+    """
     left = queries.select("scene_id", "query_id", *[F.col(n).alias(f"a{n}") for n in XYZ], *XYZ)
-    right = points.select("scene_id", "point_id", *[F.col(n).alias(f"b{n}") for n in XYZ], *quantize(reach))
-    near = _spread(left, ["scene_id", "query_id", *[f"a{n}" for n in XYZ]], reach).join(right, ["scene_id", *CELL])
-    best = near.withColumn("d2", _square("a", "b")).filter(F.col("d2") <= reach * reach).groupBy("scene_id", "query_id").agg(F.min(F.struct("d2", "point_id")).alias("m"))
-    return best.select("scene_id", "query_id", F.col("m.point_id").alias("point_id"), F.sqrt("m.d2").alias("d"))
+    left = checkpoint(left.join(points.select("scene_id").distinct(), "scene_id", "left_semi"))
+    found = None
+    while True:
+        right = points.select("scene_id", "point_id", *[F.col(n).alias(f"b{n}") for n in XYZ], *quantize(reach))
+        near = _spread(left, ["scene_id", "query_id", *[f"a{n}" for n in XYZ]], reach).join(right, ["scene_id", *CELL])
+        best = near.withColumn("d2", _square("a", "b")).filter(F.col("d2") <= reach * reach).groupBy("scene_id", "query_id").agg(F.min(F.struct("d2", "point_id")).alias("m"))
+        best = checkpoint(best)
+        found = best if found is None else found.unionByName(best)
+        left = checkpoint(left.join(best, ["scene_id", "query_id"], "left_anti"))
+        if left.isEmpty():
+            break
+        reach *= 2
+    return found.select("scene_id", "query_id", F.col("m.point_id").alias("point_id"), F.sqrt("m.d2").alias("d"))
 
 
 def flag_edge_points(skeleton: DataFrame, edges: DataFrame, tol: float = 1e-3) -> DataFrame:
@@ -54,32 +69,52 @@ def flag_edge_points(skeleton: DataFrame, edges: DataFrame, tol: float = 1e-3) -
     return skeleton.join(hit, ["scene_id", "label", "ord"], "left").withColumn("is_edge", F.coalesce("is_edge", F.lit(False)))
 
 
-def visible_candidates(poses: DataFrame, points: DataFrame, reach: float = 25.0, length: float = 20.0, width: float = 20.0, height: float = 15.0) -> DataFrame:
-    """Pairs of a pose and a point in its range and its frustum: ``scene_id, seq, point_id``."""
-    left = poses.select("scene_id", "seq", *XYZ, *[F.col(n).alias(f"a{n}") for n in XYZ], yaw_from_quaternion().alias("yaw"))
+def visible_candidates(poses: DataFrame, points: DataFrame, reach: float = 25.0, length: float = 20.0, width: float = 20.0, height: float = 15.0, keep: Sequence[str] | None = None) -> DataFrame:
+    """Pairs of a pose and a point in its range and its frustum: ``scene_id, seq, point_id``.
+
+    ``keep``: columns of the poses to keep; both places are kept with them, as ``ax, ay, az`` and ``bx, by, bz``.
+    """
+    more = [] if keep is None else [*keep]
+    left = poses.select("scene_id", "seq", *more, *XYZ, *[F.col(n).alias(f"a{n}") for n in XYZ], yaw_from_quaternion().alias("yaw"))
     right = points.select("scene_id", "point_id", *[F.col(n).alias(f"b{n}") for n in XYZ], *quantize(reach))
-    near = _spread(left, ["scene_id", "seq", "yaw", *[f"a{n}" for n in XYZ]], reach).join(right, ["scene_id", *CELL])
+    near = _spread(left, ["scene_id", "seq", "yaw", *more, *[f"a{n}" for n in XYZ]], reach).join(right, ["scene_id", *CELL])
     d = [F.col(f"b{n}") - F.col(f"a{n}") for n in XYZ]
-    return near.filter(in_range(*d, reach) & in_frustum(*d, F.col("yaw"), length, width, height)).select("scene_id", "seq", "point_id")
+    places = [] if keep is None else [f"{s}{n}" for s in "ab" for n in XYZ]
+    return near.filter(in_range(*d, reach) & in_frustum(*d, F.col("yaw"), length, width, height)).select("scene_id", "seq", "point_id", *more, *places)
 
 
 def radius_components(points: DataFrame, eps: float, within: Sequence[str] = ("scene_id",)) -> DataFrame:
     """Points with ``component``: the least point_id that is linked to them by steps no longer than eps.
 
-    Points of one cell of side eps / 2 are surely linked, so cells are the nodes: a dense cell costs one node, and links
-    are sought between the first points of cells and, where these are too far apart, between all of theirs.
+    Points of one cell of side eps / 2 are surely linked, so cells are the nodes: a dense cell costs one node.  Links
+    are sought between the first points of cells; only cells near each other that these leave in different components are compared
+    point by point, each pair of cells as one row of two lists cut into parts of ``PART`` points.
     """
     side = eps / 2  # a cell's diagonal is under eps
     cell = points.select(*within, "point_id", *XYZ, *quantize(side))
-    first = cell.groupBy(*within, *CELL).agg(F.min("point_id").alias("node"))
-    placed = cell.join(first, [*within, *CELL])
+    heads = cell.groupBy(*within, *CELL).agg(F.min("point_id").alias("head")).withColumn("node", F.struct(*within, "head"))  # ids repeat in other groups
+    placed = checkpoint(cell.join(heads, [*within, *CELL]))
+    first = placed.filter("point_id = head").select(*within, "node", *XYZ, *CELL)
     reach = [(x, y, z) for x in range(-2, 3) for y in range(-2, 3) for z in range(-2, 3) if (x, y, z) > (0, 0, 0)]
-    left = placed.select(*within, F.col("node").alias("src"), *[F.col(n).alias(f"a{n}") for n in XYZ], *CELL, around(reach).alias("o"))
+    left = first.select(*within, F.col("node").alias("src"), *[F.col(n).alias(f"a{n}") for n in XYZ], *CELL, around(reach).alias("o"))
     left = left.select(*within, "src", *[f"a{n}" for n in XYZ], *[(F.col(c) + F.col(f"o.{k}")).alias(c) for c, k in zip(CELL, "abc")])
-    right = placed.select(*within, F.col("node").alias("dst"), *[F.col(n).alias(f"b{n}") for n in XYZ], *CELL)
-    edges = left.join(right, [*within, *CELL]).filter(_square("a", "b") <= eps * eps).select("src", "dst").distinct()
-    found = components(edges)
-    return placed.join(found, "node", "left").select(*within, "point_id", *XYZ, F.coalesce("component", "node").alias("component"))
+    right = first.select(*within, F.col("node").alias("dst"), *[F.col(n).alias(f"b{n}") for n in XYZ], *CELL)
+    near = checkpoint(left.join(right, [*within, *CELL]).select("src", "dst", (_square("a", "b") <= eps * eps).alias("linked")))
+    label = components(near.filter("linked").select("src", "dst"))
+    named = placed.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    of = lambda end: label.select(F.col("node").alias(end), F.col("component").alias(f"{end}_of"))
+    apart = near.filter("NOT linked").join(of("src"), "src", "left").join(of("dst"), "dst", "left")
+    apart = apart.select("src", "dst", F.coalesce("src_of", "src").alias("one"), F.coalesce("dst_of", "dst").alias("two")).filter("one <> two")
+    number = F.floor(F.row_number().over(Window.partitionBy("node").orderBy("point_id")) / PART)
+    lists = placed.select("node", number.alias("part"), F.struct(*XYZ).alias("p")).groupBy("node", "part").agg(F.collect_list("p").alias("list"))
+    a, b = (lists.select(F.col("node").alias(n), F.col("list").alias(s)) for n, s in (("src", "a"), ("dst", "b")))
+    close = lambda x, y: sum(((x[n] - y[n]) * (x[n] - y[n]) for n in XYZ), F.lit(0.0)) <= eps * eps
+    met = apart.join(a, "src").join(b, "dst").filter(F.exists("a", lambda x: F.exists("b", lambda y: close(x, y))))
+    met = stored(met.select("one", "two").distinct())
+    if met.isEmpty():
+        return named.select(*within, "point_id", *XYZ, F.col("component.head").alias("component"))
+    joined = components(met, "one", "two").select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    return named.join(joined, "component", "left").select(*within, "point_id", *XYZ, F.coalesce("whole", "component")["head"].alias("component"))
 
 
 def filter_lonely_points(points: DataFrame, min_size: int = 50, eps: float = 1.5) -> DataFrame:
@@ -95,7 +130,7 @@ def cluster_sizes(points: DataFrame, min_size: int = 50) -> DataFrame:
 def relabel_components(found: DataFrame, min_size: int = 50) -> DataFrame:
     """Parts of labels (``label, component``) with enough points, numbered by label and first point: ``new_label``."""
     parts = found.groupBy("scene_id", "label", "component").agg(F.count("*").alias("n"), F.min("point_id").alias("first")).filter(F.col("n") >= min_size)
-    return parts.withColumn("new_label", F.dense_rank().over(Window.partitionBy("scene_id").orderBy("label", "first")) - 1)
+    return parts.withColumn("new_label", F.dense_rank().over(Window.partitionBy("scene_id").orderBy("label", "first", "component")) - 1)
 
 
 def split_clusters(points: DataFrame, eps: float = 3.0, min_size: int = 50) -> DataFrame:
@@ -123,10 +158,18 @@ def clusters_of_point(edge_points: DataFrame) -> DataFrame:
     return edge_points.select("scene_id", "point_id", *XYZ, F.explode("clusters").alias("label"))
 
 
-def latest_at_tick(ticks: DataFrame, rows: DataFrame, values: Sequence[str] = XYZ) -> DataFrame:
-    """As-of join: each tick with the newest row at or before it, by one window over the union."""
+def latest_at_tick(ticks: DataFrame, rows: DataFrame, values: Sequence[str] = XYZ, bucket: str = "day") -> DataFrame:
+    """As-of join: each tick with the newest row at or before it, by one window over the union.
+
+    Windows run inside buckets of time; a bucket starts with the newest row of the buckets before it, of which there is one each.
+    """
     a = ticks.select("scene_id", "ts", F.lit(1).alias("tick"), F.lit(None).cast(rows.select(F.struct(*values)).schema[0].dataType).alias("v"))
     b = rows.groupBy("scene_id", "ts").agg(F.max(F.struct(*values)).alias("v")).select("scene_id", "ts", F.lit(0).alias("tick"), "v")
-    w = Window.partitionBy("scene_id").orderBy("ts", "tick").rowsBetween(Window.unboundedPreceding, 0)
-    out = a.unionByName(b).withColumn("v", F.last("v", ignorenulls=True).over(w)).filter("tick = 1 AND v IS NOT NULL")
+    both = a.unionByName(b).withColumn("bucket", F.date_trunc(bucket, "ts"))
+    inside = Window.partitionBy("scene_id", "bucket").orderBy("ts", "tick").rowsBetween(Window.unboundedPreceding, 0)
+    last = both.groupBy("scene_id", "bucket").agg(F.max_by("v", F.when(F.col("v").isNotNull(), F.struct("ts", "tick"))).alias("v"))
+    before = Window.partitionBy("scene_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select("scene_id", "bucket", F.last("v", ignorenulls=True).over(before).alias("carried"))
+    out = both.withColumn("v", F.last("v", ignorenulls=True).over(inside)).filter("tick = 1").join(carried, ["scene_id", "bucket"])
+    out = out.withColumn("v", F.coalesce("v", "carried")).filter("v IS NOT NULL")
     return out.select("scene_id", "ts", *[F.col(f"v.{n}").alias(n) for n in values])

@@ -1,17 +1,21 @@
 """Ordered folds by scene: hysteresis, stable ids, arrival at waypoints, the elbow of a BIC curve.
 
-Rows are one a frame or centroid, never points, so a scene's order fits in one row or task.
+A scene's rows are folded in order by a task that streams over them (see :mod:`folds`).
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from voxelspark.functions.scalar import XYZ
+from voxelspark.operators.accumulate import running
+from voxelspark.operators.folds import fold
 
 
 def bic_elbow(bics: DataFrame, gain: float = 0.01) -> DataFrame:
@@ -22,9 +26,9 @@ def bic_elbow(bics: DataFrame, gain: float = 0.01) -> DataFrame:
     return steps.groupBy("scene_id").agg(F.coalesce(flat, F.min_by("k", F.struct("bic", "k"))).alias("k"))
 
 
-def mixture_bic(log_likelihood: float, n: int, k: int) -> float:
-    """Of a k-component full-covariance mixture in three dimensions."""
-    return (6 * k + 3 * k + k - 1) * float(np.log(n)) - 2 * log_likelihood
+def mixture_bic(log_likelihood: Column, n: Column, k: Column) -> Column:
+    """Of a k-component full-covariance mixture in three dimensions: 6k + 3k + (k - 1) numbers are fitted."""
+    return (10 * k - 1) * F.log(n.cast("double")) - 2 * log_likelihood
 
 
 #: Fixed values of the hysteresis: share of epochs needed to go up and down, least and most frames.
@@ -37,25 +41,20 @@ def stable_k(detections: DataFrame) -> DataFrame:
     A new number must be seen in several frames in a row: more of them the longer the present one has held, and more
     to go down than up.
     """
-    frames = detections.groupBy("scene_id").agg(F.sort_array(F.collect_list(F.struct("frame_id", "detected_k"))).alias("f"))
-    log = "array<struct<frame_id:bigint,detected_k:bigint,stable_k:bigint>>"
-    none = F.lit(None).cast("long")
-    start = F.struct(none.alias("k"), none.alias("seen"), F.lit(0).cast("long").alias("epochs"), F.lit(0).cast("long").alias("count"), F.array().cast(log).alias("log"))
-
-    def step(s, x):
-        d = x["detected_k"]
-        count = F.when(s["seen"] == d, s["count"] + 1).otherwise(F.lit(1).cast("long"))
-        share = F.when(d > s["k"], F.lit(UP)).otherwise(F.lit(DOWN))
-        need = F.least(F.lit(MOST), F.greatest(F.lit(LEAST), F.floor(share * s["epochs"])))
-        first, same, switch = s["k"].isNull(), s["k"] == d, count >= need
-        k = F.when(first | switch, d).otherwise(s["k"])
-        epochs = F.when(first, F.lit(1)).when(same, s["epochs"] + 1).when(switch, F.lit(1)).otherwise(s["epochs"]).cast("long")
-        kept = F.when(first | same | switch, F.lit(0)).otherwise(count).cast("long")
-        entry = F.array(F.struct(x["frame_id"].alias("frame_id"), d.alias("detected_k"), k.alias("stable_k")))
-        return F.struct(k.alias("k"), d.alias("seen"), epochs.alias("epochs"), kept.alias("count"), F.concat(s["log"], entry).alias("log"))
-
-    out = frames.select("scene_id", F.explode(F.aggregate("f", start, step, lambda s: s["log"])).alias("r")).select("scene_id", "r.*")
-    return out.withColumn("skipped", F.col("stable_k") != F.col("detected_k"))
+    def step(s: dict, row) -> list[tuple]:
+        d = row.detected_k
+        s["count"] = s["count"] + 1 if s["seen"] == d else 1
+        s["seen"] = d
+        need = min(MOST, max(LEAST, int((UP if d > s["k"] else DOWN) * s["epochs"])))
+        if s["k"] == d:
+            s["epochs"], s["count"] = s["epochs"] + 1, 0
+        elif s["count"] >= need:
+            s["k"], s["epochs"], s["count"] = d, 1, 0
+        return [(row.scene_id, row.frame_id, d, s["k"], s["k"] != d)]
+
+    rows = detections.select("scene_id", "frame_id", "detected_k")
+    start = lambda row: {"k": row.detected_k, "seen": row.detected_k, "epochs": 0, "count": 0}
+    return fold(rows, ["scene_id"], ["frame_id", "detected_k"], "scene_id long, frame_id long, detected_k long, stable_k long, skipped boolean", start, step)
 
 
 def assign(cost: np.ndarray) -> list[tuple[int, int]]:
@@ -141,18 +140,25 @@ def track_ids(centroids: DataFrame, res: float = 1.0, frames: DataFrame | None =
     return kept.groupBy("scene_id").applyInPandas(fold, "scene_id long, frame_id long, label long, track_id long")
 
 
-def waypoint_arrival(rows: DataFrame, target: tuple[float, float, float], reach: float = 2.0) -> DataFrame:
-    """Number of arrivals at a target: once within reach, the first step away counts."""
-    d = F.sqrt(sum(((F.col(n) - v) * (F.col(n) - v) for n, v in zip(XYZ, target)), F.lit(0.0)))
-    path = rows.select("scene_id", "ts", d.alias("d")).groupBy("scene_id").agg(F.sort_array(F.collect_list(F.struct("ts", "d"))).alias("p"))
-    far = F.lit(float("inf"))
-    start = F.struct(F.lit(0).cast("long").alias("n"), far.alias("last"))
+def waypoint_arrival(rows: DataFrame, targets: Sequence[tuple[float, float, float]], reach: float = 2.0) -> DataFrame:
+    """Arrivals at targets in turn, round and round: ``scene_id, arrivals``.
+
+    Once within reach, the first step away counts, and the next target is the one to reach; so does any step away from
+    a place within reach.
+    """
+    far = float("inf")
 
-    def step(s, x):
-        away, close = x["d"] > s["last"], x["d"] < reach
-        return F.struct((s["n"] + F.when(away, 1).otherwise(0)).cast("long").alias("n"), F.when(away, far).when(close, x["d"]).otherwise(s["last"]).alias("last"))
+    def step(s: dict, row) -> list[tuple]:
+        x, y, z = targets[s["n"] % len(targets)]
+        d = ((row.x - x) * (row.x - x) + (row.y - y) * (row.y - y) + (row.z - z) * (row.z - z)) ** 0.5
+        if d > s["last"]:
+            s["n"], s["last"] = s["n"] + 1, far
+        elif d < reach:
+            s["last"] = d
+        return []
 
-    return path.select("scene_id", F.aggregate("p", start, step, lambda s: s["n"]).alias("arrivals"))
+    start = lambda row: {"scene_id": row.scene_id, "n": 0, "last": far}
+    return fold(rows.select("scene_id", "ts", *XYZ), ["scene_id"], ["ts", *XYZ], "scene_id long, arrivals long", start, step, lambda s: [(s["scene_id"], s["n"])])
 
 
 def stride_sample(poses: DataFrame, n: int) -> DataFrame:
@@ -160,14 +166,13 @@ def stride_sample(poses: DataFrame, n: int) -> DataFrame:
 
 
 def elapsed(poses: DataFrame, speed: float = 1.0) -> DataFrame:
-    start = F.first("time").over(Window.partitionBy("scene_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
-    return poses.withColumn("elapsed", (F.col("time") - start) / speed)
+    first = poses.groupBy("scene_id").agg(F.min_by("time", "seq").alias("_start"))
+    return poses.join(first, "scene_id").withColumn("elapsed", (F.col("time") - F.col("_start")) / speed).drop("_start")
 
 
 def path_so_far(poses: DataFrame) -> DataFrame:
     """Length of the path up to each pose: a prefix is its number of poses, not a copy of them."""
-    w = Window.partitionBy("scene_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return poses.select("scene_id", "seq", F.count("*").over(w).alias("n_poses"))
+    return running(poses.select("scene_id", "seq"), "seq", F.count("*"), "n_poses", lambda before, inside: F.coalesce(before, F.lit(0)) + inside)
 
 
 def ring_waypoints(structures: DataFrame, n: int = 12) -> DataFrame:

@@ -6,51 +6,65 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from voxelspark.functions.scalar import CELL, XYZ, pack_voxel
+from voxelspark.functions.scalar import CELL, XYZ, quantize
+from voxelspark.operators.accumulate import running
+from voxelspark.operators.neighbours import around, visible_candidates
+
+#: Crossings that are closer in distance than this count as one: z is crossed first then, and x last.
+TIE = 1e-9
+#: Poses of one grid block whose rays one task walks, and rays that are walked at a time.
+POSES, RAYS = 512, 1 << 14
 
 
 def _walk(start: np.ndarray, end: np.ndarray, res: float) -> tuple[np.ndarray, np.ndarray]:
-    """Cells of many rays in lock step, without each ray's last one: ray numbers and cells."""
+    """Cells of many rays, without each ray's last one: ray numbers and cells.
+
+    A ray enters a new cell where it crosses a grid plane.  The k-th crossing of an axis is at a known distance, and the
+    cell that it enters follows from the number of crossings of the other two axes up to there, so all
+    crossings of all rays are worked out at once, in no order.
+    """
     cell, goal = np.floor(start / res).astype(np.int64), np.floor(end / res).astype(np.int64)
     way = end - start
     dist = np.sqrt((way**2).sum(1))
+    live = (dist >= 1e-9) & (cell != goal).any(1)
     with np.errstate(divide="ignore", invalid="ignore"):
         unit = way / dist[:, None]
-        still = np.abs(unit) < 1e-12
+        still = ~(np.abs(unit) >= 1e-12)
         step = np.where(unit > 0, 1, -1)
-        edge = (cell + (step > 0)) * res
-        reach = np.where(still, np.inf, (edge - start) / unit)
-        delta = np.where(still, np.inf, res / np.abs(unit))
-    most = np.maximum(16, 3 + 3 * np.ceil(dist / res)).astype(np.int64)
-    live = np.flatnonzero((dist >= 1e-9) & (cell != goal).any(1))
-    rays, cells = [live.copy()], [cell[live].copy()]
-    n = 0
-    while len(live):
-        n += 1
-        x, y, z = reach[live].T
-        axis = np.where(x < y, np.where(x < z, 0, 2), np.where(y < z, 1, 2))
-        cell[live, axis] += step[live, axis]
-        reach[live, axis] += delta[live, axis]
-        live = live[(cell[live] != goal[live]).any(1) & (n < most[live])]
-        rays.append(live.copy())
-        cells.append(cell[live].copy())
+        first = np.where(still, np.inf, ((cell + (step > 0)) * res - start) / unit)
+        each = np.where(still, np.inf, res / np.abs(unit))
+    number = np.where(live[:, None] & ~still, np.abs(goal - cell), 0)
+    rays, cells = [np.flatnonzero(live)], [cell[live]]
+    for axis in range(3):
+        ray = np.repeat(np.arange(len(start)), number[:, axis])
+        k = np.arange(len(ray)) - np.repeat(np.cumsum(number[:, axis]) - number[:, axis], number[:, axis])
+        at = first[ray, axis] + k * each[ray, axis]
+        entered = cell[ray].copy()
+        entered[:, axis] += step[ray, axis] * (k + 1)
+        for other in range(3):
+            if other != axis:
+                with np.errstate(invalid="ignore"):
+                    gone = (at - first[ray, other] + (TIE if other > axis else -TIE)) / each[ray, other]
+                    passed = np.floor(gone) + 1 if other > axis else np.ceil(gone)
+                passed = np.where(number[ray, other] > 0, np.clip(passed, 0, number[ray, other]), 0).astype(np.int64)
+                entered[:, other] += step[ray, other] * passed
+        before = (entered != goal[ray]).any(1)
+        rays.append(ray[before])
+        cells.append(entered[before])
     return np.concatenate(rays), np.concatenate(cells)
 
 
 def ray_voxels(pairs: DataFrame, res: float = 1.0) -> DataFrame:
-    """Cells on the way from a pose (``ax, ay, az``) to a point (``bx, by, bz``): its own included, the target's not.
-
-    A batch of pairs walks together; one row a cell leaves it, so the join with the occupied cells is Spark's.
-    """
+    """Cells on the way from a pose (``ax, ay, az``) to a point (``bx, by, bz``): its own included, the target's not."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), 4096):
-                part = batch.iloc[at : at + 4096]
+            for at in range(0, len(batch), RAYS):
+                part = batch.iloc[at : at + RAYS]
                 ray, cell = _walk(part[[f"a{n}" for n in XYZ]].to_numpy(float), part[[f"b{n}" for n in XYZ]].to_numpy(float), res)
                 yield pd.DataFrame({n: part[n].to_numpy()[ray] for n in ("scene_id", "seq", "point_id")} | {c: cell[:, k].astype(np.int32) for k, c in enumerate(CELL)})
 
@@ -58,18 +72,61 @@ def ray_voxels(pairs: DataFrame, res: float = 1.0) -> DataFrame:
     return kept.mapInPandas(run, "scene_id long, seq long, point_id long, ix int, iy int, iz int")
 
 
+def ray_lengths(pairs: DataFrame, res: float = 1.0) -> DataFrame:
+    """Rays, cells and the sum of the cells' coordinates for each pose: ``scene_id, seq, rays, cells, ix, iy, iz``.  No cell is a row."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), RAYS):
+                part = batch.iloc[at : at + RAYS]
+                ray, cell = _walk(part[[f"a{n}" for n in XYZ]].to_numpy(float), part[[f"b{n}" for n in XYZ]].to_numpy(float), res)
+                count = {"rays": np.ones(len(part), np.int64), "cells": np.bincount(ray, minlength=len(part))}
+                sums = {c: np.bincount(ray, cell[:, k], len(part)).astype(np.int64) for k, c in enumerate(CELL)}
+                yield pd.DataFrame({n: part[n].to_numpy() for n in ("scene_id", "seq")} | count | sums).groupby(["scene_id", "seq"], as_index=False).sum()
+
+    names = ("rays", "cells", *CELL)
+    kept = pairs.select("scene_id", "seq", *[f"{s}{n}" for s in "ab" for n in XYZ])
+    parts = kept.mapInPandas(run, f"scene_id long, seq long, {', '.join(f'{n} long' for n in names)}")
+    return parts.groupBy("scene_id", "seq").agg(*[F.sum(n).alias(n) for n in names])
+
+
 def with_places(pairs: DataFrame, poses: DataFrame, points: DataFrame) -> DataFrame:
     a = poses.select("scene_id", "seq", *[F.col(n).alias(f"a{n}") for n in XYZ])
     b = points.select("scene_id", "point_id", *[F.col(n).alias(f"b{n}") for n in XYZ])
     return pairs.join(a, ["scene_id", "seq"]).join(b, ["scene_id", "point_id"])
 
 
-def unoccluded(pairs: DataFrame, poses: DataFrame, points: DataFrame, occupied: DataFrame, res: float = 1.0) -> DataFrame:
-    """Pairs with no occupied cell between the pose and the point's own cell."""
-    rays = ray_voxels(with_places(pairs, poses, points), res).withColumn("vkey", pack_voxel())
-    walls = occupied.select("scene_id", pack_voxel().alias("vkey"))
-    blocked = rays.join(walls, ["scene_id", "vkey"], "left_semi").select("scene_id", "seq", "point_id").distinct()
-    return pairs.join(blocked, ["scene_id", "seq", "point_id"], "left_anti")
+def unoccluded(poses: DataFrame, points: DataFrame, occupied: DataFrame, res: float = 1.0, reach: float = 25.0) -> DataFrame:
+    """Visible candidates with no occupied cell between the pose and the point's own cell: ``scene_id, seq, point_id``.
+
+    Space is cut into grid blocks of side ``reach``.  The rays of a block's poses stay inside the blocks around it, so they
+    meet a bitmap of the occupied cells there: its size depends on ``reach / res`` alone, and no cell of a ray is ever a row.  Poses are counted
+    by block, and every ``POSES`` of them make a task of their own.
+    """
+    block = poses.select("scene_id", "seq", *XYZ, *[c for c in poses.columns if c.startswith("q")], *[q.alias(f"b{c}") for q, c in zip(quantize(reach), CELL)])
+    grid = ["scene_id", *[f"b{c}" for c in CELL]]
+    parts = block.groupBy(*grid).agg(F.ceil(F.count("*") / POSES).cast("int").alias("parts"))
+    placed = block.join(parts, grid).withColumn("part", F.pmod(F.xxhash64("seq"), F.col("parts")).cast("int"))
+    pairs = visible_candidates(placed, points, reach, keep=[*grid[1:], "part"])
+    offset = around()
+    near = occupied.select("scene_id", *CELL, *[F.floor((F.col(c) + 0.5) * res / reach).cast("int").alias(f"o{c}") for c in CELL], offset.alias("o"))
+    near = near.select("scene_id", *CELL, *[(F.col(f"o{c}") + F.col(f"o.{k}")).alias(f"b{c}") for c, k in zip(CELL, "abc")])
+    walls = near.join(parts, grid).select(*grid, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *CELL)
+    side = int(np.ceil(3 * reach / res)) + 2
+
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        low = np.floor((np.array([k.as_py() for k in key[1:4]]) - 1) * reach / res).astype(np.int64) - 1
+        wall = np.zeros((side + 1,) * 3, bool)
+        wall[tuple(right.column(c).to_numpy() - low[k] for k, c in enumerate(CELL))] = True
+        start, end = (np.stack([left.column(f"{s}{n}").to_numpy() for n in XYZ], 1) for s in "ab")
+        free = np.ones(len(left), bool)
+        for at in range(0, len(left), RAYS):
+            ray, cell = _walk(start[at : at + RAYS], end[at : at + RAYS], res)
+            free[at + ray[wall[tuple((cell - low).T)]]] = False
+        return left.select(["scene_id", "seq", "point_id"]).filter(pa.array(free))
+
+    keys = [*grid, "part"]
+    return pairs.groupBy(*keys).cogroup(walls.groupBy(*keys)).applyInArrow(run, "scene_id long, seq long, point_id long")
 
 
 def first_seen(pairs: DataFrame) -> DataFrame:
@@ -86,6 +143,6 @@ def coverage_timeline(poses: DataFrame, seen: DataFrame, points: DataFrame) -> D
     """Newly seen, seen so far and share of all points at each pose."""
     new = seen.groupBy("scene_id", F.col("first_seq").alias("seq")).agg(F.count("*").alias("new"))
     total = points.groupBy("scene_id").agg(F.count("*").alias("total"))
-    w = Window.partitionBy("scene_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    out = poses.select("scene_id", "seq").join(new, ["scene_id", "seq"], "left").withColumn("new", F.coalesce("new", F.lit(0))).withColumn("seen", F.sum("new").over(w))
+    out = poses.select("scene_id", "seq").join(new, ["scene_id", "seq"], "left").withColumn("new", F.coalesce("new", F.lit(0)))
+    out = running(out, "seq", F.sum("new"), "seen", lambda before, inside: F.coalesce(before, F.lit(0)) + inside)
     return out.join(total, "scene_id").select("scene_id", "seq", "new", "seen", F.round(100.0 * F.col("seen") / F.col("total"), 6).alias("percent"))

@@ -59,14 +59,55 @@ def _decoded(files: DataFrame, decode, names: list[str]) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, f"path string, row long, {', '.join(f'{n} double' for n in names)}")
 
 
-def read_cloud_pcd(spark: SparkSession, folder: str) -> DataFrame:
-    return _decoded(spark.read.format("binaryFile").option("pathGlobFilter", "*.pcd").load(folder), decode_pcd, list(XYZ))
+def _files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder)
 
 
-def read_mesh_stl(spark: SparkSession, folder: str, any_case: bool = False) -> DataFrame:
+def read_cloud_pcd(spark: SparkSession, folder: str, pattern: str = "*.pcd") -> DataFrame:
+    return _decoded(_files(spark, folder, pattern), decode_pcd, list(XYZ))
+
+
+def read_mesh_stl(spark: SparkSession, folder: str, any_case: bool = False, pattern: str | None = None) -> DataFrame:
     """Triangles of the meshes of a folder; files without triangles give no rows."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[sS][tT][lL]" if any_case else "*.stl").load(folder)
-    return _decoded(files, decode_stl, _TRIANGLE)
+    return _decoded(_files(spark, folder, pattern or ("*.[sS][tT][lL]" if any_case else "*.stl")), decode_stl, _TRIANGLE)
+
+
+#: Rows of one text file.
+FILE_ROWS = 200_000
+
+
+def _written(rows: DataFrame, key: str, names: list[str], text, folder: str) -> None:
+    """A text file for every ``FILE_ROWS`` rows of a key, in folders by key and part."""
+    sized = rows.groupBy(key).agg(F.ceil(F.count("*") / FILE_ROWS).cast("int").alias("parts"))
+    dealt = rows.join(sized, key).withColumn("part", F.pmod(F.xxhash64(*names), F.col("parts")).cast("int"))
+
+    def run(group: tuple, table: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({key: [group[0]], "part": [group[1]], "value": [text(table[names].to_numpy(float))]})
+
+    files = dealt.select(key, "part", *names).groupBy(key, "part").applyInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, part int, value string")
+    files.write.mode("overwrite").partitionBy(key, "part").text(folder)
+
+
+def encode_pcd(points: np.ndarray) -> str:
+    n = len(points)
+    head = f"# .PCD v0.7\nVERSION 0.7\nFIELDS x y z\nSIZE 8 8 8\nTYPE F F F\nCOUNT 1 1 1\nWIDTH {n}\nHEIGHT 1\nVIEWPOINT 0 0 0 1 0 0 0\nPOINTS {n}\nDATA ascii"
+    return "\n".join([head, *(" ".join(map(repr, row)) for row in points.tolist())])
+
+
+def encode_stl(triangles: np.ndarray) -> str:
+    corner = lambda v: "vertex " + " ".join(map(repr, v))
+    faces = [f"facet normal 0 0 0\nouter loop\n{corner(t[0:3])}\n{corner(t[3:6])}\n{corner(t[6:9])}\nendloop\nendfacet" for t in triangles.tolist()]
+    return "\n".join(["solid mesh", *faces, "endsolid mesh"])
+
+
+def write_cloud_pcd(points: DataFrame, folder: str) -> None:
+    """ASCII PCD files of each scene's points that have all three coordinates."""
+    _written(drop_nan_points(points).select("scene_id", *XYZ), "scene_id", list(XYZ), encode_pcd, folder)
+
+
+def write_mesh_stl(triangles: DataFrame, folder: str) -> None:
+    """ASCII STL files of each mesh."""
+    _written(triangles, "mesh_id", _TRIANGLE, encode_stl, folder)
 
 
 def write_cloud(points: DataFrame, path: str) -> None:
@@ -74,5 +115,3 @@ def write_cloud(points: DataFrame, path: str) -> None:
     if not path.endswith(".pcd"):
         raise ValueError("a cloud's name ends with .pcd")
     drop_nan_points(points).select("scene_id", *XYZ).write.mode("overwrite").partitionBy("scene_id").parquet(path)
-
-

@@ -54,7 +54,7 @@ FROM events GROUP BY user_id % 4, dayofmonth(ts)""",
     "bics": """
 SELECT p_partkey % 4 AS scene_id, 1 + CAST(floor(p_partkey / 4e0) AS BIGINT) AS k,
        1e5 / (1 + floor(p_partkey / 4e0)) + 1e2 * (p_partkey % 4) * (1 + floor(p_partkey / 4e0)) AS bic
-FROM part WHERE p_partkey < 80""",
+FROM part""",
     "centroids": """
 SELECT scene_id, frame_id, label, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM scan_points WHERE label >= 0
 GROUP BY scene_id, frame_id, label""",

@@ -11,26 +11,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from voxelspark.functions.scalar import CELL
-from voxelspark.operators.accumulate import accumulate
+from voxelspark.operators.accumulate import first_points, placed
 from voxelspark.operators.morphology import close
 from voxelspark.operators.visibility import first_seen, unoccluded
-from voxelspark.operators.neighbours import visible_candidates
 
 
 def stream_accumulate(points: DataFrame, table: str, checkpoint: str, res: float = 1.0) -> StreamingQuery:
     """Adds each micro-batch's first points a voxel to ``table``; :func:`current_map` reads the result."""
 
     def write(batch: DataFrame, number: int) -> None:
-        accumulate(batch, res).write.mode("overwrite").parquet(f"{table}/batch={number}")
+        first_points(batch, res).write.mode("overwrite").parquet(f"{table}/batch={number}")
 
     return points.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def current_map(spark: SparkSession, table: str) -> DataFrame:
-    """One observed point a voxel: of all batches the least frame's, as in the batch job, so late frames do no harm."""
-    rows = spark.read.parquet(table)
-    best = rows.groupBy("scene_id", *CELL).agg(F.min(F.struct("frame_id", (-F.col("x")).alias("x"), (-F.col("y")).alias("y"), (-F.col("z")).alias("z"))).alias("m"))
-    return best.select("scene_id", *CELL, F.col("m.frame_id").alias("frame_id"), *[(-F.col(f"m.{n}")).alias(n) for n in "xyz"])
+    """One observed point a voxel: of all batches the first in the batch job's order, so late frames, and frames cut by batches, do no harm."""
+    return placed(spark.read.parquet(table).groupBy("scene_id", *CELL).agg(F.min("o").alias("o")))
 
 
 def current_closing(spark: SparkSession, table: str, r: int = 2) -> DataFrame:
@@ -41,8 +38,7 @@ def stream_coverage(poses: DataFrame, points: DataFrame, occupied: DataFrame, ta
     """Adds the first sight of points by each micro-batch of poses to ``table``."""
 
     def write(batch: DataFrame, number: int) -> None:
-        pairs = unoccluded(visible_candidates(batch, points), batch, points, occupied)
-        first_seen(pairs).write.mode("overwrite").parquet(f"{table}/batch={number}")
+        first_seen(unoccluded(batch, points, occupied)).write.mode("overwrite").parquet(f"{table}/batch={number}")
 
     return poses.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
