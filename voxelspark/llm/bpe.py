@@ -21,7 +21,8 @@ suffix; special tokens matched in the raw text.  It is read by each Python
 worker through a path, so its cost is one read a worker.
 
 Cases: null and empty texts give no tokens and an empty text.  Rows are kept as
-they are, repeated ids and texts too.  Other columns are dropped.
+they are, repeated ids and texts too; an empty table gives no rows.  Other columns are dropped, whatever their names.
+Memory does not grow with a word's length; a document's ids and text are one row, so they are held whole.
 """
 
 from __future__ import annotations

@@ -11,9 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelspark.operators.components import checkpoint, shared_folder
+from voxelspark.operators.components import checkpoint, shared_folder, stored
 
-__all__ = ["checkpoint", "frugal", "read", "release", "shared_folder", "spare", "text_input"]
+__all__ = ["checkpoint", "frugal", "read", "release", "shared_folder", "spare", "stored", "text_input"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

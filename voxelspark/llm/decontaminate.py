@@ -12,7 +12,8 @@ and results are those of one block.
 
 Null and empty texts have no words and no hits; empty items have no window.  Items with equal texts are
 all reported.  Item ids are reported as strings, once each.  Rows that repeat a doc_id, or have none, each keep their own
-row and hits.
+row and hits.  Empty tables of documents or items give empty results.  A text is held whole in one task with some sixty times its bytes of
+working memory, as is the longest item.  Columns of other names are not read; :func:`remove_spans` passes them through, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelspark.llm import kernels as K
-from voxelspark.llm.common import checkpoint, frugal, text_input
+from voxelspark.llm.common import checkpoint, frugal, spare, text_input
 
 N, BLOCK_BYTES = 10, 32 << 20
 _BITS = 20
@@ -130,9 +131,9 @@ def _broadcasts(benchmark: DataFrame, n: int, block_bytes: int) -> Iterator[Broa
     return map(benchmark.sparkSession.sparkContext.broadcast, _blocks(benchmark, n, block_bytes))
 
 
-def _numbered(rows: DataFrame) -> DataFrame:
-    """Rows with a number of their own, ``_row``; stored, as it would not be the same when computed again."""
-    return checkpoint(rows.withColumn("_row", F.monotonically_increasing_id()))
+def _numbered(rows: DataFrame, name: str = "_row") -> DataFrame:
+    """Rows with a number of their own; stored, as it would not be the same when computed again."""
+    return checkpoint(rows.withColumn(name, F.monotonically_increasing_id()))
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,9 +204,12 @@ def _cut(windows):
     return run
 
 
-def _cut_found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield _without(batch.drop_columns(["_spans"]), batch.column("_spans").to_pylist())
+def _cut_found(held: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _without(batch.drop_columns([held]), batch.column(held).to_pylist())
+
+    return run
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = N, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -215,10 +219,11 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = N, block_bytes:
     """
     if _number(_items(benchmark), block_bytes) == 1:
         return docs.mapInArrow(frugal(_cut(next(_broadcasts(benchmark, n, block_bytes)))), docs.schema)
-    rows = _numbered(docs)
-    spans = scan(rows, benchmark, n, block_bytes, "_row").filter(F.size("spans") > 0).select(F.col("doc_id").alias("_of"), F.col("spans").alias("_spans"))
-    joined = rows.join(spans, F.col("_row") == F.col("_of"), "left").select(*docs.columns, "_spans")
-    return joined.mapInArrow(frugal(_cut_found), docs.schema)
+    row, of, held = (spare(name, docs) for name in ("_row", "_of", "_spans"))
+    rows = _numbered(docs, row)
+    spans = scan(rows, benchmark, n, block_bytes, row).filter(F.size("spans") > 0).select(F.col("doc_id").alias(of), F.col("spans").alias(held))
+    joined = rows.join(spans, F.col(row) == F.col(of), "left").select(*[F.col(f"`{c}`") for c in docs.columns], held)
+    return joined.mapInArrow(frugal(_cut_found(held)), docs.schema)
 
 
 #: DuckDB's SQL for the query's columns.

@@ -18,7 +18,8 @@ the components' changed-label flag reaches the driver.  Counting links of a grou
 its nature; it is spread over tasks of two blocks each.
 
 Null texts and texts without words are classes of their own without links.  Rows that repeat a doc_id count
-as one more copy.  An empty table gives an empty result.
+as one more copy.  An empty table gives an empty result.  A text is held whole in one task with some sixty times its bytes of working memory, and
+its set of shingles is one row.  Columns of other names than doc_id and text are not read; :func:`keep_one` passes them through, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelspark.llm import kernels as K
-from voxelspark.llm.common import checkpoint, frugal, release, text_input
+from voxelspark.llm.common import checkpoint, frugal, release, spare, text_input
 from voxelspark.operators.components import components
 
 N, THRESHOLD, RECALL, MAX_HASHES, BLOCK = 5, 0.8, 0.99999, 128, 256
@@ -69,7 +70,7 @@ def _fingerprints(whole: np.ndarray, count: np.ndarray) -> pa.Array:
         return pa.array(K.mix(whole + count.astype(np.uint64)).view(np.int64), mask=count == 0)
 
 
-def _fingerprinted(n: int):
+def _fingerprinted(n: int, name: str):
     """Rows as they are, with the fingerprint of their text's words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,7 +78,7 @@ def _fingerprinted(n: int):
             for s in K.slices(batch.column("text")):
                 _, _, whole, count = _shingles(s, n)
                 part = batch.slice(s.first, s.rows)
-                yield pa.RecordBatch.from_arrays([*part.columns, _fingerprints(whole, count)], [*part.schema.names, "_fp"])
+                yield pa.RecordBatch.from_arrays([*part.columns, _fingerprints(whole, count)], [*part.schema.names, name])
 
     return run
 
@@ -276,13 +277,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
     keys = signed.filter("fp IS NOT NULL").groupBy("doc_id", "fp").agg(F.count("*").alias("copies"))
     owner = _classes(signed, rows, N, THRESHOLD, False).select("fp", "class_fp", "class_id")
     stays = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("fp") == F.col("class_fp"))
-    verdicts = keys.join(owner, "fp").select(F.col("doc_id").alias("_id"), F.col("fp").alias("_of"), stays.alias("_stays"), "copies")
-    verdicts = checkpoint(verdicts.filter("NOT _stays OR copies > 1"))
+    mark, id_, of = (spare(n, docs) for n in ("_fp", "_id", "_of"))
+    verdicts = keys.join(owner, "fp").select(F.col("doc_id").alias(id_), F.col("fp").alias(of), stays.alias("stays"), "copies")
+    verdicts = checkpoint(verdicts.filter("NOT stays OR copies > 1"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    marked = docs.mapInArrow(frugal(_fingerprinted(N)), f"{fields}, _fp long")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_fp") == F.col("_of"))
-    alone = marked.join(verdicts, same, "left_anti")
-    repeated = verdicts.filter("_stays")
+    marked = docs.mapInArrow(frugal(_fingerprinted(N, mark)), f"{fields}, {mark} long")
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(mark) == F.col(of))
+    alone = marked.join(verdicts.select(id_, of), same, "left_anti")
+    repeated = verdicts.filter("stays").select(id_, of)
     if repeated.isEmpty():
         return alone.select(docs.columns)
-    return alone.unionByName(marked.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "_fp"])).select(docs.columns)
+    return alone.unionByName(marked.join(repeated, same, "left_semi").dropDuplicates(["doc_id", mark])).select(docs.columns)

@@ -6,7 +6,8 @@ code points [start, end) of the completion that are trained on, which are the as
 
 Cases: null arrays are empty conversations, null roles and texts empty strings.  Equal conversations are all
 prompt, and both completions are empty; where one conversation is a prefix of the other, its completion is empty.
-Repeated pairs stay.  Conversations with repeated turn numbers keep all turns, ordered by turn, role and text; turns without a number come first.
+Repeated pairs stay; an empty table gives no pairs.  A conversation of any length is one row.  Columns of other names are not read.
+``conv_id`` is a whole number.  Conversations with repeated turn numbers keep all turns, ordered by turn, role and text; turns without a number come first.
 """
 
 from __future__ import annotations

@@ -16,8 +16,8 @@ its words in three-word windows that occur twice or more in it.
 
 A document is one row; nothing is exploded, so a long text or a hot source costs
 only its own row and there is no shuffle.  Windows are compared by 64-bit hashes
-inside one text.  Null and empty texts have no words and are rejected.  Repeated rows are
-judged alike.
+inside one text.  Null and empty texts have no words and are rejected; an empty table gives no rows.  Repeated rows are
+judged alike.  A text of any length is judged in its row.  Columns of other names are not read; :func:`clean` passes them through.
 """
 
 from __future__ import annotations

@@ -15,7 +15,7 @@ the distinct phrases at ends of repeats.  A task streams over triggers and holds
 distinct phrases is not gathered: its windows become rows, counted before their shuffle.  So do all other counts; rows meet counts in joins,
 which Spark splits where a key is hot.
 
-Phrases are equal if their trigger, length and hash are; windows as rows are compared by two hashes, so 128 bits each.  Rows are
+Phrases are equal if their trigger's and their own hash are, windows as rows if two hashes are: 128 bits each.  Rows are
 known by doc_id and a hash of their text, as a doc_id may be missing or repeated.
 """
 
@@ -27,11 +27,11 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelspark.llm import kernels as K
-from voxelspark.llm.common import checkpoint, frugal
+from voxelspark.llm.common import frugal, release, stored
 
 
 class Unit(NamedTuple):
@@ -45,6 +45,7 @@ class Unit(NamedTuple):
 #: Distinct phrases that one trigger may have in one task; windows in a phrase; items that are resolved at a time.
 HOT, LONGEST, AT_ONCE = 4096, 1 << 14, 1 << 19
 KEY = ["doc_id", "v"]
+A_BITS = 18  # below a phrase's first window: 16 bits for its windows less one, 2 for its trigger's number
 
 
 def keyed(rows: DataFrame) -> DataFrame:
@@ -93,19 +94,26 @@ def _phrases(unit: Unit):
                 size = b - a + wide
                 same = grams[K.ranges(a, size)] == np.repeat(h, size)
                 times = np.add.reduceat(same, np.cumsum(size) - size, dtype=np.int32)
-                base, take = first[row], pa.array(s.first + row)
-                yield pa.RecordBatch.from_arrays(
-                    [_signed(h), _signed(prefix.of(a, b + unit.window)), ids.take(take), v.take(take), pa.array((a - base).astype(np.int32)), pa.array((b - base).astype(np.int32)), pa.array(times)],
-                    ["h", "phrase", "doc_id", "v", "a", "b", "times"],
-                )
+                take = pa.array(s.first + row)
+                at = (a - first[row]) << A_BITS | (b - a) << 2 | np.minimum(times, 2)
+                yield pa.RecordBatch.from_arrays([_signed(h), _signed(prefix.of(a, b + unit.window)), ids.take(take), v.take(take), pa.array(at)], ["h", "phrase", *KEY, "at"])
 
     return frugal(run)
 
 
 def phrases(rows: DataFrame, unit: Unit) -> DataFrame:
-    """The parse: ``h`` (trigger), ``phrase``, ``doc_id, v``, first and last window ``a`` and ``b``, ``times`` the trigger is in it."""
+    """The parse: ``h`` (trigger), ``phrase``, ``doc_id, v`` and ``at``: one number for its first window, its windows less one, and how
+    often the trigger is in it, two at most."""
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_phrases(unit), f"h long, phrase long, doc_id {kind}, v int, a int, b int, times int")
+    return rows.mapInArrow(_phrases(unit), f"h long, phrase long, doc_id {kind}, v int, at long")
+
+
+def _a(at: str = "at") -> Column:
+    return F.shiftright(at, A_BITS).cast("int")
+
+
+def _b(at: str = "at") -> Column:
+    return (_a(at) + F.shiftright(at, 2).bitwiseAND((1 << (A_BITS - 2)) - 1)).cast("int")
 
 
 def _contents(unit: Unit):
@@ -261,24 +269,25 @@ def _hot(windows: DataFrame, earlier: bool) -> DataFrame:
     return windows.filter("n = 1").join(classes, ["w", "w2"]).select("doc_id", "v", *here, F.col("doc_id").alias("source"), F.col("v").alias("source_v"), F.col("s").alias("source_a"))
 
 
-def repeats(rows: DataFrame, unit: Unit, earlier: bool, resolve, hot: int = HOT) -> DataFrame:
+def repeats(rows: DataFrame, unit: Unit, earlier: bool, resolve, hot: int = HOT, known: bool = False) -> DataFrame:
     """Windows that occur elsewhere too or, with ``earlier``, at an earlier place (doc_id, v, start).
 
     ``rows``: see :func:`keyed`.  ``resolve``: record batch of the distinct phrases of some triggers (``h, doc_id, v, a, b, n, content``) to
-    pieces.  Gives stretches: ``doc_id, v``, first and last window ``a`` and ``b``, and where the first one's content is from, ``source,
+    pieces.  ``known``: rows without a doc_id take no part.  Gives stretches: ``doc_id, v``, first and last window ``a`` and ``b``, and where the first one's content is from, ``source,
     source_v, source_a``.
     """
     kind = rows.schema["doc_id"].dataType.simpleString()
-    parse = phrases(rows, unit)
-    repeated = parse.groupBy("h").agg(F.sum("times").alias("all")).filter("all >= 2").select("h")
-    held = checkpoint(parse.join(repeated, "h").withColumn("size", F.col("b") - F.col("a")))
-    place = F.struct("doc_id", "v", "a", "b").alias("place")
-    dictionary = held.groupBy("h", "phrase", "size").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.max("times").alias("times"))
-    copies = held.join(dictionary.filter("n >= 2").select("h", "phrase", "size", "first"), ["h", "phrase", "size"])
-    copies = copies.filter("struct(doc_id, v, a) > struct(first.doc_id, first.v, first.a)") if earlier else copies
-    copies = copies.select("doc_id", "v", "a", "b", F.col("first.doc_id").alias("source"), F.col("first.v").alias("source_v"), F.col("first.a").alias("source_a"))
+    parse = phrases(rows.filter("doc_id IS NOT NULL") if known else rows, unit)
+    repeated = parse.groupBy("h").agg(F.sum(F.col("at").bitwiseAND(3)).alias("all")).filter("all >= 2").select("h")
+    held = stored(parse.join(repeated, "h"))
+    release(rows)
+    place = F.struct("doc_id", "v", "at")
+    dictionary = held.groupBy("h", "phrase").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.max(F.col("at").bitwiseAND(3)).alias("times"))
+    copies = held.join(dictionary.filter("n >= 2").select("h", "phrase", "first"), ["h", "phrase"])
+    copies = copies.filter("struct(doc_id, v, at) > first") if earlier else copies
+    copies = copies.select("doc_id", "v", _a().alias("a"), _b().alias("b"), F.col("first.doc_id").alias("source"), F.col("first.v").alias("source_v"), _a("first.at").alias("source_a"))
     several = dictionary.groupBy("h").agg(F.count("*").alias("different"), F.max("times").alias("times")).filter("different >= 2 OR times >= 2").select("h", (F.col("different") > hot).alias("hot"))
-    asked = dictionary.join(several, "h").select("h", "first.doc_id", "first.v", "first.a", "first.b", "n", "hot")
+    asked = dictionary.join(several, "h").select("h", "first.doc_id", "first.v", _a("first.at").alias("a"), _b("first.at").alias("b"), "n", "hot")
     lists = asked.groupBy("doc_id", "v").agg(F.collect_list(F.struct("h", "a", "b", "n", "hot")).alias("asked"))
     # rows that repeat both doc_id and text hold the same content: any one of them serves
     ends = by_id(rows, lists, "inner").mapInArrow(_contents(unit), f"h long, doc_id {kind}, v int, a int, b int, n long, hot boolean, content binary")

@@ -128,7 +128,7 @@ def dedup(docs: DataFrame, unit: Unit = UNIT, key: str = "doc_id", text: str = "
     """``doc_id, n_words, n_removed, kept_text`` and ``factors`` (start, length, source, source_start) for each row."""
     rows = keyed(text_input(docs, key, text))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    found = repeats(rows.filter("doc_id IS NOT NULL"), unit, True, _resolve(unit), hot).groupBy("doc_id", "v").agg(F.collect_list(F.struct("a", "b", "source", "source_a")).alias("_pieces"))
+    found = repeats(rows, unit, True, _resolve(unit), hot, known=True).groupBy("doc_id", "v").agg(F.collect_list(F.struct("a", "b", "source", "source_a")).alias("_pieces"))
     arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
     out = f"doc_id {kind}, n_words long, n_removed long, kept_text string, factors array<struct<start:int,length:int,source:{kind},source_start:int>>"
     return by_id(rows, found, "left").mapInArrow(_parse(unit, arrow), out)

@@ -17,7 +17,7 @@ Slots are gapless in each shard: ranks inside an arc plus the rows of the arcs
 before it, so no task sees a whole shard.  Arcs with many rows are ranked in parts.
 
 Null texts count as empty.  Repeated ids and texts keep a row each, ties in no
-set order.  An empty table gives an empty result.
+set order.  An empty table gives an empty result.  A text of any length is hashed in its row; columns of other names are not read.
 """
 
 from __future__ import annotations

@@ -16,7 +16,7 @@ only, or else splits where a host is hot.  Registered domain: the last two
 labels of a host; suffix: the last one.
 
 Null urls, and those without ``://``, have an empty host and path, no rule, and the
-verdict of the prior of all.  Repeated rows stay.  With no labels the rate of all is that of one good and one bad page.
+verdict of the prior of all.  Repeated rows stay, empty tables give no rows, urls may be of any length, and columns of other names are not read.  With no labels the rate of all is that of one good and one bad page.
 """
 
 from __future__ import annotations
