@@ -665,31 +665,36 @@ def _labelled(points: DataFrame) -> DataFrame:
 
 
 def _linked_sql(points: str, eps: float, key: str) -> str:
-    """Components of voxels (``id``, cell, key columns) within eps of each other: CTEs to put after WITH RECURSIVE, the last one ``cc(id, comp)``."""
+    """Components of voxels within eps of each other: CTEs to put after WITH RECURSIVE, the last one ``m``, the voxels with their ``component``.
+
+    Nodes are runs along z, whose voxels are linked anyway; runs of near columns are linked if they come near enough in z.
+    """
     r = int(eps)
-    near = ", ".join(str((x, y, z)) for x in range(-r, r + 1) for y in range(-r, r + 1) for z in range(-r, r + 1) if 0 < x * x + y * y + z * z <= eps * eps)
-    same = " AND ".join(f"a.{k} = b.{k}" for k in key.split(", "))
-    return f"""n AS MATERIALIZED (SELECT row_number() OVER (ORDER BY {key}, point_id) AS id, * FROM {points}),
-e AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM n a, (VALUES {near}) o(i, j, k), n b WHERE {same} AND b.ix = a.ix + i AND b.iy = a.iy + j AND b.iz = a.iz + k),
-cc(id, comp) USING KEY (id) AS (SELECT id, id FROM n UNION (SELECT DISTINCT ON (e.b) e.b, c.comp FROM recurring.cc r, cc c, e WHERE e.a = c.id AND r.id = e.b AND c.comp < r.comp ORDER BY e.b, c.comp))"""
+    near = ", ".join(str((x, y, int((eps * eps - x * x - y * y) ** 0.5))) for x in range(-r, r + 1) for y in range(-r, r + 1) if x * x + y * y <= eps * eps)
+    same = lambda a, b: " AND ".join(f"{a}.{k} = {b}.{k}" for k in key.split(", "))
+    return f"""isl AS MATERIALIZED (SELECT *, iz - row_number() OVER (PARTITION BY {key}, ix, iy ORDER BY iz) AS g FROM {points}),
+n AS MATERIALIZED (SELECT {key}, ix, iy, g, min(iz) AS z0, max(iz) AS z1, min(point_id) AS point_id, row_number() OVER (ORDER BY {key}, min(point_id)) AS id FROM isl GROUP BY {key}, ix, iy, g),
+e AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM n a, (VALUES {near}) o(i, j, k), n b WHERE {same("a", "b")} AND b.ix = a.ix + i AND b.iy = a.iy + j AND b.z0 <= a.z1 + k AND b.z1 >= a.z0 - k AND a.id <> b.id),
+cc(id, comp) USING KEY (id) AS (SELECT id, id FROM n UNION (SELECT DISTINCT ON (e.b) e.b, c.comp FROM recurring.cc r, cc c, e WHERE e.a = c.id AND r.id = e.b AND c.comp < r.comp ORDER BY e.b, c.comp)),
+m AS (SELECT isl.*, h.point_id AS component FROM isl JOIN n ON {same("isl", "n")} AND isl.ix = n.ix AND isl.iy = n.iy AND isl.g = n.g JOIN cc ON n.id = cc.id JOIN n h ON h.id = cc.comp)"""
 
 
 _CLUSTERS = """lab AS (SELECT DISTINCT scene_id, label, CAST(floor(x) AS INT) AS ix, CAST(floor(y) AS INT) AS iy, CAST(floor(z) AS INT) AS iz FROM scan_points WHERE label >= 0), labelled AS (SELECT *, """ + KEY + """ AS point_id FROM lab)"""
 _ONE = f"{PTS}, {_linked_sql('pts', 1.5, 'scene_id')}"
 
 
-@query("c1_radius_components", "vox", sql=f"WITH RECURSIVE {_ONE} SELECT n.scene_id, n.point_id, m.point_id AS component FROM cc JOIN n ON n.id = cc.id JOIN n m ON m.id = cc.comp")
+@query("c1_radius_components", "vox", sql=f"WITH RECURSIVE {_ONE} SELECT scene_id, point_id, component FROM m")
 def _(vox):
     return J.radius_components(numbered(vox), 1.5).select("scene_id", "point_id", "component")
 
 
-@query("c2_filter_lonely_points", "vox", sql=f"WITH RECURSIVE {_ONE}, g AS (SELECT comp FROM cc GROUP BY comp HAVING count(*) >= 50) SELECT n.scene_id, n.point_id, n.x, n.y, n.z FROM n JOIN cc ON n.id = cc.id SEMI JOIN g ON cc.comp = g.comp")
+@query("c2_filter_lonely_points", "vox", sql=f"WITH RECURSIVE {_ONE} SELECT scene_id, point_id, x, y, z FROM (SELECT *, count(*) OVER (PARTITION BY scene_id, component) AS size FROM m) WHERE size >= 50")
 def _(vox):
     return J.filter_lonely_points(numbered(vox)).select("scene_id", "point_id", *XYZ)
 
 
-@query("c4_split_clusters", "scan_points", sql=f"""WITH RECURSIVE {_CLUSTERS}, {_linked_sql('labelled', 3.0, 'scene_id, label')}, g AS (SELECT n.scene_id, n.label, m.point_id AS component, count(*) AS n FROM n JOIN cc ON n.id = cc.id JOIN n m ON m.id = cc.comp GROUP BY ALL HAVING count(*) >= 50)
-SELECT *, CAST(row_number() OVER (PARTITION BY scene_id ORDER BY label, component) - 1 AS BIGINT) AS new_label FROM g""")
+@query("c4_split_clusters", "scan_points", sql=f"""WITH RECURSIVE {_CLUSTERS}, {_linked_sql('labelled', 3.0, 'scene_id, label')}, g2 AS (SELECT scene_id, label, component, count(*) AS n FROM m GROUP BY ALL HAVING count(*) >= 50)
+SELECT *, CAST(row_number() OVER (PARTITION BY scene_id ORDER BY label, component) - 1 AS BIGINT) AS new_label FROM g2""")
 def _(points):
     labelled = J.clusters_of_point(_labelled(points))
     return J.split_clusters(labelled, 3.0).select("scene_id", "label", "component", "n", F.col("new_label").cast("long").alias("new_label"))

@@ -15,6 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Spark's setting that removes the shuffle files of a query at its end.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_folder(spark: SparkSession) -> None:
     """Checkpoints go to the folder that the session names; one of our own where it names none, as in tests."""
     context = spark.sparkContext
@@ -31,12 +35,17 @@ def stored(df: DataFrame) -> DataFrame:
     """The rows as a table in the shared folder, for loops.
 
     A checkpoint keeps the optimizer's estimate of its size, and in a loop of joins that number squares itself every round until it
-    takes longer to multiply than the data to join.  A table is as large as its files.
+    takes longer to multiply than the data to join.  A table is as large as its files.  Shuffle files behind it go as soon as it is written.
     """
     spark = df.sparkSession
     shared_folder(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
+    held = spark.conf.get(CLEAN, "false")
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.parquet(folder)
+    finally:
+        spark.conf.set(CLEAN, held)
     return spark.read.schema(df.schema).parquet(folder)
 
 
