@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,13 @@ N, THRESHOLD, RECALL, MAX_HASHES, BLOCK = 5, 0.8, 0.99999, 128, 256
 _SEED = 7
 
 
+class Shape(NamedTuple):
+    """What a text's set is made of: words of these bytes, ASCII letters lower-cased, in shingles of ``n``."""
+
+    n: int = N
+    word: np.ndarray = K.WORD_BYTES
+
+
 def bands_for(threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = MAX_HASHES) -> tuple[int, int]:
     """(bands, rows): the most rows a band, so the fewest false candidates, that keep the recall within the hashes."""
     best = None
@@ -52,10 +60,10 @@ def bands_for(threshold: float = THRESHOLD, recall: float = RECALL, hashes: int
     return best
 
 
-def _shingles(s: K.Slice, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def shingles(s: K.Slice, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Shingle hashes of a slice, end to end, their number by row, the rows' word hashes and number of words."""
     data = K.LOWER[s.data]
-    w = K.words(data, s.offsets, K.WORD_BYTES)
+    n, w = shape.n, K.words(data, s.offsets, shape.word)
     count = np.diff(w.first)
     prefix = K.Prefix(K.Prefix(data).of(w.start, w.end))
     number = np.where(count >= n, count - n + 1, np.minimum(count, 1))
@@ -64,26 +72,26 @@ def _shingles(s: K.Slice, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return prefix.of(start, start + width), number, prefix.of(w.first[:-1], w.first[1:]), count
 
 
-def _fingerprints(whole: np.ndarray, count: np.ndarray) -> pa.Array:
+def fingerprints(whole: np.ndarray, count: np.ndarray) -> pa.Array:
     """A number for the words of each text, null where there are none."""
     with np.errstate(over="ignore"):
         return pa.array(K.mix(whole + count.astype(np.uint64)).view(np.int64), mask=count == 0)
 
 
-def _fingerprinted(n: int, name: str):
+def _fingerprinted(shape: Shape, name: str):
     """Rows as they are, with the fingerprint of their text's words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in K.slices(batch.column("text")):
-                _, _, whole, count = _shingles(s, n)
+                _, _, whole, count = shingles(s, shape)
                 part = batch.slice(s.first, s.rows)
-                yield pa.RecordBatch.from_arrays([*part.columns, _fingerprints(whole, count)], [*part.schema.names, name])
+                yield pa.RecordBatch.from_arrays([*part.columns, fingerprints(whole, count)], [*part.schema.names, name])
 
     return run
 
 
-def _signatures(n: int, bands: int, rows: int):
+def _signatures(shape: Shape, bands: int, rows: int):
     rng = np.random.default_rng(_SEED)
     factor = rng.integers(0, 2**63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     shift = rng.integers(0, 2**63, bands * rows, dtype=np.uint64)
@@ -91,7 +99,7 @@ def _signatures(n: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in K.slices(batch.column("text")):
-                grams, number, whole, count = _shingles(s, n)
+                grams, number, whole, count = shingles(s, shape)
                 some = np.flatnonzero(number)
                 first = (np.cumsum(number) - number)[some]
                 keys = np.zeros((len(some), bands), np.uint64)
@@ -104,23 +112,23 @@ def _signatures(n: int, bands: int, rows: int):
                             keys[:, band] = key
                 offsets = np.concatenate(([0], np.cumsum(np.where(number > 0, bands, 0)))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(s.first, s.rows), _fingerprints(whole, count), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel().view(np.int64)))],
+                    [batch.column("doc_id").slice(s.first, s.rows), fingerprints(whole, count), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel().view(np.int64)))],
                     ["doc_id", "fp", "bands"],
                 )
 
     return run
 
 
-def _sets(n: int):
+def _sets(shape: Shape):
     """The sets of the classes that a row is asked for; a row may share its doc_id with other texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             asked = batch.column("asked").to_pylist()
             for s in K.slices(batch.column("text")):
-                grams, number, whole, count = _shingles(s, n)
+                grams, number, whole, count = shingles(s, shape)
                 ends = np.cumsum(number)
-                ids = _fingerprints(whole, count).to_pylist()
+                ids = fingerprints(whole, count).to_pylist()
                 at = [i for i, x in enumerate(ids) if x in asked[s.first + i]]
                 sets = [np.unique(grams[ends[i] - number[i] : ends[i]]).tobytes() for i in at]
                 yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in at], pa.int64()), pa.array(sets, pa.binary())], ["id", "grams"])
@@ -219,7 +227,7 @@ def _against_rest(members: DataFrame, sets: DataFrame) -> DataFrame:
     return every.unionByName(some).join(sets, "id")
 
 
-def _classes(signed: DataFrame, rows: DataFrame, n: int, threshold: float, links: bool) -> DataFrame:
+def classes_of(signed: DataFrame, rows: DataFrame, shape: Shape, threshold: float, links: bool) -> DataFrame:
     """``fp, first, class_fp, class_id`` for each class: its least doc_id, and the group's least one with its fingerprint; ``n_links``."""
     least = lambda at, fp: F.min(F.struct(F.col(at).isNull().alias("none"), F.col(at).alias("doc_id"), F.col(fp).alias("fp")))
     classes = signed.filter("fp IS NOT NULL").groupBy(F.col("fp").alias("id")).agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.first("bands").alias("bands"))
@@ -229,7 +237,7 @@ def _classes(signed: DataFrame, rows: DataFrame, n: int, threshold: float, links
     held = checkpoint(buckets.join(leaders.drop("members"), "g"))
     wanted = classes.join(held.select("id").distinct(), "id", "left_semi").groupBy(F.xxhash64("first").alias("at")).agg(F.collect_list("id").alias("asked"))
     texts = rows.select(F.xxhash64("doc_id").alias("at"), "text").join(wanted, "at").select("text", "asked")
-    sets = checkpoint(texts.mapInArrow(frugal(_sets(n)), "id long, grams binary").dropDuplicates(["id"]))
+    sets = checkpoint(texts.mapInArrow(frugal(_sets(shape)), "id long, grams binary").dropDuplicates(["id"]))
     release(rows)
     pairs = held.filter("id <> leader").select(F.least("id", "leader").alias("src"), F.greatest("id", "leader").alias("dst")).distinct()
     left, right = sets.select(F.col("id").alias("src"), F.col("grams").alias("left")), sets.select(F.col("id").alias("dst"), F.col("grams").alias("right"))
@@ -251,16 +259,16 @@ def _classes(signed: DataFrame, rows: DataFrame, n: int, threshold: float, links
     return owner.select(F.col("id").alias("fp"), "first", "class_fp", "class_id", *(["n_links"] if links else []))
 
 
-def _signed(rows: DataFrame, n: int, threshold: float, recall: float) -> DataFrame:
+def _signed(rows: DataFrame, shape: Shape, threshold: float, recall: float) -> DataFrame:
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return checkpoint(rows.mapInArrow(frugal(_signatures(n, *bands_for(threshold, recall))), f"doc_id {kind}, fp long, bands array<long>"))
+    return checkpoint(rows.mapInArrow(frugal(_signatures(shape, *bands_for(threshold, recall))), f"doc_id {kind}, fp long, bands array<long>"))
 
 
 def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, links: bool = True, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, class_id`` (least doc_id of its group) and, with ``links``, ``n_links``: the documents that are linked to it."""
     rows = text_input(docs, key, text)
-    signed = _signed(rows, n, threshold, recall)
-    owner = _classes(signed, rows, n, threshold, links)
+    signed = _signed(rows, Shape(n), threshold, recall)
+    owner = classes_of(signed, rows, Shape(n), threshold, links)
     extra = ["n_links"] if links else []
     out = signed.select("doc_id", "fp").join(owner.select("fp", "class_id", *extra), "fp", "left")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in extra])
@@ -273,15 +281,15 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows without words are no copies of each other and all stay.
     """
     rows = text_input(docs)
-    signed = _signed(rows, N, THRESHOLD, RECALL)
+    signed = _signed(rows, Shape(), THRESHOLD, RECALL)
     keys = signed.filter("fp IS NOT NULL").groupBy("doc_id", "fp").agg(F.count("*").alias("copies"))
-    owner = _classes(signed, rows, N, THRESHOLD, False).select("fp", "class_fp", "class_id")
+    owner = classes_of(signed, rows, Shape(), THRESHOLD, False).select("fp", "class_fp", "class_id")
     stays = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("fp") == F.col("class_fp"))
     mark, id_, of = (spare(n, docs) for n in ("_fp", "_id", "_of"))
     verdicts = keys.join(owner, "fp").select(F.col("doc_id").alias(id_), F.col("fp").alias(of), stays.alias("stays"), "copies")
     verdicts = checkpoint(verdicts.filter("NOT stays OR copies > 1"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    marked = docs.mapInArrow(frugal(_fingerprinted(N, mark)), f"{fields}, {mark} long")
+    marked = docs.mapInArrow(frugal(_fingerprinted(Shape(), mark)), f"{fields}, {mark} long")
     same = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(mark) == F.col(of))
     alone = marked.join(verdicts.select(id_, of), same, "left_anti")
     repeated = verdicts.filter("stays").select(id_, of)

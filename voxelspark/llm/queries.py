@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelspark.llm import bpe, decontaminate, html_extract, near_duplicates, preference, prefix_free, quality, rlz, sharding, url_filter
+from voxelspark.llm import bpe, decontaminate, filter_audit, html_extract, near_duplicates, preference, prefix_free, quality, rlz, sharding, sketches, url_filter, whitening
 from voxelspark.llm.common import read
 
 TOKENIZER = "word_bpe_49k.json"
@@ -76,11 +76,24 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, url_filter.labelled(pages, read(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_decontaminate, op3_html_extract, op4_ngram_jaccard, op5_quality, op6_substring_dedup, op7_suffix_array_dedup, op8_sharding, op9_preference, op10_url_filter)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings")).drop("deviation_digits")
+
+
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_decontaminate, op3_html_extract, op4_ngram_jaccard, op5_quality, op6_substring_dedup, op7_suffix_array_dedup, op8_sharding, op9_preference, op10_url_filter, op11_whitening, op12_minhash, op13_filter_audit)}
 ORACLE_SQL = {
     "op2_decontaminate": decontaminate.SCAN_SQL,
     "op5_quality": quality.MEASURE_SQL,
     "op6_substring_dedup": rlz.DEDUP_SQL,
     "op9_preference": preference.PAIRS_SQL,
+    "op13_filter_audit": filter_audit.AUDIT_SQL,
     "op10_url_filter": url_filter.SQL.format(pages="pages", outcomes=f"({url_filter.OUTCOMES_SQL})"),
 }
