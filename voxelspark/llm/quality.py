@@ -7,7 +7,7 @@ Each text is cut at ``\n``.  A line that has a word is judged by itself:
 * shouting: five or more words, and no two small letters side by side but capitals, more than letters of scripts without
   case, or over 60 in 100 of its words end in ``!!``;
 * punctuation: fewer than four words and no closing punctuation at its end;
-* boilerplate: a licence, cookie, rights or sign-up phrase;
+* boilerplate: a licence, cookie, rights or sign-up phrase in English, German, French or Spanish;
 * repetition: it equals an earlier line of the text.
 
 Lines that fail go, and with them lines without words.  A text is rejected when fewer than
@@ -54,6 +54,29 @@ PHRASES = {
     "sign up": "sign up",
     "log in": "log in",
     "read more": "read more",
+    "alle rechte vorbehalten": "vorbehalten",
+    "datenschutzerklärung": "datenschutz",
+    "cookies (zu|akzeptieren|ablehnen)": "cookies",
+    "verwendet cookies": "cookies",
+    "nutzungsbedingungen": "nutzungsbed",
+    "jetzt (abonnieren|anmelden|registrieren)": "jetzt ",
+    "hier klicken": "hier klick",
+    "weiterlesen": "weiterlesen",
+    "tous droits réservés": "tous droits",
+    "politique de confidentialité": "confidentialit",
+    "(accepter|refuser|utilise des) (les )?cookies": "cookies",
+    "conditions d.utilisation": "utilisation",
+    "(inscrivez|abonnez)-vous": "-vous",
+    "cliquez ici": "cliquez ici",
+    "lire la suite": "lire la suite",
+    "todos los derechos reservados": "derechos reserv",
+    "política de privacidad": "privacidad",
+    "(aceptar|rechazar|utiliza|usa) (las )?cookies": "cookies",
+    "(condiciones|términos) de uso": " de uso",
+    "suscríbete": "suscríb",
+    "suscríbase": "suscríb",
+    "(haz|haga) clic aquí": "clic aqu",
+    "leer más": "leer más",
 }
 BOILERPLATE, FRAGMENTS = "|".join(PHRASES), tuple(dict.fromkeys(PHRASES.values()))
 MIN_WORDS, MAX_REPEAT, MIN_LEFT = 50, 50, 50
@@ -192,7 +215,7 @@ _N = "len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+'))"
 _SEP = f"(length(x) - length(translate(x, '{SEPARATORS}', '')))"
 _LINE_FAILS = f"""(10 * (length(x) - length(translate(x, '{SYMBOLS}', ''))) > length(x)
   OR ({_SEP} >= 3 AND 3 * {_SEP} >= {_N})
-  OR ({_N} >= 5 AND (NOT regexp_matches(x, '\\p{{Ll}}\\p{{Ll}}') OR 200 * len(string_split(x, '!!')) > 120 * {_N} + 200))
+  OR ({_N} >= 5 AND ((NOT regexp_matches(x, '\\p{{Ll}}\\p{{Ll}}') AND len(regexp_extract_all(x, '\\p{{Lu}}')) > len(regexp_extract_all(x, '\\p{{Lo}}'))) OR 200 * len(string_split(x, '!!')) > 120 * {_N} + 200))
   OR ({_N} < 4 AND NOT regexp_matches(rtrim(x, ' '), '{CLOSING.replace("'", "''")}'))
   OR regexp_matches(lower(x), '{BOILERPLATE}'))"""
 MEASURE_SQL = f"""
