@@ -248,8 +248,82 @@ def test_url_filter(spark):
     assert {r.verdict for r in url_filter.judge(pages, nothing).filter("rule IS NULL").collect()} == {"allow"}
 
 
+def test_boilerplate_goes_in_four_languages_and_sql_agrees(spark):
+    duckdb = pytest.importorskip("duckdb")
+    body = "\n".join(words(14, i) + "." for i in range(8))
+    bad = ["Alle Rechte vorbehalten bei diesem Verlag.", "Wir nutzen ja, bitte alle Cookies akzeptieren.", "Tous droits réservés par la maison.", "Cliquez ici pour lire le texte.", "Todos los derechos reservados para siempre.", "Lea nuestra política de privacidad ahora."]
+    scripts = ["אבגדה וזחטי כלמנס עפצקר שתאבג דהוזח", "가나다 라마바 사아자 차카타 파하가 나다라", "ΑΒΓ ΔΕΖ ΗΘΙ ΚΛΜ ΝΞΟ ΠΡΣ"]
+    texts = [body + "\n" + line for line in bad] + ["\n".join([line] * 3 + [body]) for line in scripts] + [None, "", body, "\n".join(scripts * 4)]
+    rows = list(enumerate(texts))
+    out = quality.measure(spark.createDataFrame(rows, "doc_id long, text string")).drop("clean_text").toPandas()
+    left = dict(zip(out.doc_id, out.n_left))
+    assert all(left[i] == left[len(texts) - 2] for i in range(len(bad)))
+    con = duckdb.connect()
+    import pandas as pd
+
+    documents = pd.DataFrame(rows, columns=["doc_id", "text"])
+    con.register("documents", documents)
+    sql = con.sql(quality.MEASURE_SQL).df()[out.columns]
+    assert sorted(out.itertuples(index=False, name=None)) == sorted(sql.itertuples(index=False, name=None))
+
+
+def test_items_without_an_id_hit_too(spark):
+    w = words(40, 21).split()
+    bench = spark.createDataFrame([(None, " ".join(w[:30])), (None, "other words entirely"), (7, " ".join(w[25:40])), (8, " ".join(w[25:40]))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join(w[:30])), (2, " ".join(w)), (3, "nothing of it")], "doc_id long, text string")
+    for size in (1 << 20, 60):
+        rows = {r.doc_id: r for r in decontaminate.scan(docs, bench, block_bytes=size).select("doc_id", decontaminate.n_hit().alias("hit"), "item_ids").collect()}
+        assert [rows[i].hit for i in (1, 2, 3)] == [30, 40, 0] and [rows[i].item_ids for i in (1, 2, 3)] == [[], ["7", "8"], []]
+        assert {r.doc_id: r.text for r in decontaminate.remove_spans(docs, bench, block_bytes=size).collect()} == {1: "", 2: "", 3: "nothing of it"}
+
+
+def test_windows_equal_a_plain_search_and_stay_small():
+    import pickle
+
+    import numpy as np
+
+    from voxelspark.llm import kernels as K
+
+    rng = random.Random(2)
+    pool = [words(30, i).split() for i in range(40)]
+    items = [(str(i), " ".join(rng.choice(pool)[a : a + rng.choice([3, 10, 12, 25])])) for i, a in enumerate(rng.choices(range(15), k=200))]
+    held = decontaminate.Windows(items, 10)
+    text = " ".join(" ".join(rng.choice(pool)) for _ in range(20))
+    data = np.frombuffer(text.encode(), np.uint8)
+    w = K.words(data, np.array([0, len(data)]), K.WORD_BYTES)
+    parts, plain = text.split(), collections.defaultdict(set)
+    for name, item in items:
+        x = item.split()
+        k = min(10, len(x))
+        for i in range(len(x) - k + 1):
+            for at in range(len(parts) - k + 1):
+                if parts[at : at + k] == x[i : i + k]:
+                    plain[at, k].add(name)
+    assert {(i, k): found for i, k, found in held.hits(data, w)} == plain
+    many = decontaminate.Windows([(str(i), words(200, i)) for i in range(500)], 10)
+    assert len(pickle.dumps(many)) < 80 * 100_000 + (1 << 21)
+
+
+def test_sharding_equals_a_plain_ring(spark):
+    rng = random.Random(8)
+    rows = [(i, words(rng.randint(1, 60), rng.randint(0, 60))) for i in range(300)] + [(5, None), (5, None), (6, "")]
+    out = sharding.assign(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), 6).collect()
+    again = sharding.assign(spark.createDataFrame(rows[::-1], "doc_id long, text string").repartition(2), 6).collect()
+    assert sorted(map(str, out)) == sorted(map(str, again))  # order and tasks do not matter
+    total = sum(len((t or "").encode()) + 8 for _, t in rows)
+    load, shard_of = collections.Counter(), collections.defaultdict(set)
+    for r in out:
+        load[r.shard] += r.size
+        shard_of[r.text_crc32, r.size].add(r.shard)
+    heaviest = max(sum(len((t or "").encode()) + 8 for _, t in rows if t == x) for _, x in rows)
+    assert sum(load.values()) == total and max(load.values()) <= total / 6 * (1 + sharding.SLACK) + heaviest
+    assert all(len(s) == 1 for s in shard_of.values()) or heaviest > total / 24
+    for shard in range(6):
+        assert sorted(r.slot for r in out if r.shard == shard) == list(range(sum(r.shard == shard for r in out)))
+
+
 def test_phrases_have_their_fragments_and_groups_may_stay_whole(spark):
-    assert all(fragment in phrase for phrase, fragment in quality.PHRASES.items())
+    assert all(fragment.strip() in phrase for phrase, fragment in quality.PHRASES.items())
     rows = [(i, "same text " * 50) for i in range(40)] + [(100 + i, words(90, i)) for i in range(20)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     whole = sharding.assign(df, 4, heavy=None).filter("doc_id < 100").select("shard").distinct().count()
