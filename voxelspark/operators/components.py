@@ -20,10 +20,13 @@ CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> None:
-    """Checkpoints go to the folder that the session names; one of our own where it names none, as in tests."""
+    """Checkpoints go to the folder that the session names.  Where it names none, a local session gets one of its own; a cluster must name one."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -31,19 +34,24 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The rows as a table in the shared folder, for loops.
+def new_folder(spark: SparkSession, name: str = "table") -> str:
+    """A folder of its own in the shared one."""
+    shared_folder(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """The rows as a table in the shared folder, for loops.  A loop may name two folders in turn, so that it leaves two tables and not one a round.
 
     A checkpoint keeps the optimizer's estimate of its size, and in a loop of joins that number squares itself every round until it
     takes longer to multiply than the data to join.  A table is as large as its files.  Shuffle files behind it go as soon as it is written.
     """
     spark = df.sparkSession
-    shared_folder(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    folder = folder or new_folder(spark)
     held = spark.conf.get(CLEAN, "false")
     spark.conf.set(CLEAN, "true")
     try:
-        df.write.parquet(folder)
+        df.write.mode("overwrite").parquet(folder)
     finally:
         spark.conf.set(CLEAN, held)
     return spark.read.schema(df.schema).parquet(folder)
@@ -58,12 +66,14 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     one_way = edges.select(a, b).dropna()
     both = stored(one_way.union(one_way.select("dst", "src")).distinct())
     labels = stored(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m")).select("node", F.least("node", "m").alias("component")))
+    turn, after = (new_folder(edges.sparkSession, "labels") for _ in range(2))
     while True:
         near = both.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("near"))
         stepped = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
         far = labels.select(F.col("node").alias("at"), F.col("component").alias("far"))
         jumped = stepped.join(far, F.col("component") == F.col("at"), "left").select("node", "old", F.least("component", F.coalesce("far", "component")).alias("component"))
-        jumped = stored(jumped)
+        turn, after = after, turn  # not the table that this round reads
+        jumped = stored(jumped, turn)
         changed = jumped.filter("component <> old").limit(1).count()
         labels = jumped.select("node", "component")
         if not changed:
