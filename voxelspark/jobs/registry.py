@@ -23,6 +23,7 @@ from voxelspark.sources import clouds as IO
 from voxelspark.sources import poses as P
 from voxelspark.sources.fixtures import VIEWS, view, with_views
 from voxelspark.streaming.maps import current_closing, current_first_seen, current_map, stream_accumulate, stream_coverage
+from voxelspark.streaming import ordered as O
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -65,7 +66,8 @@ def box(name: str, source: str, r: int, erode: bool) -> str:
         to = name if k == 2 else f"{name}_{axis}"
         moved = ", ".join(f"CAST({c} + a AS INT) AS {c}" if c == axis else c for c in CELL)
         tail = f" GROUP BY ALL HAVING count(*) = {2 * r + 1}" if erode else " GROUP BY ALL"
-        steps.append(f"{to} AS (SELECT * FROM (SELECT scene_id, {moved} FROM {source}, (SELECT unnest(range({-r}, {r + 1})) AS a) q) m{tail})")
+        held = "MATERIALIZED " if to == name else ""  # read twice by some
+        steps.append(f"{to} AS {held}(SELECT * FROM (SELECT scene_id, {moved} FROM {source}, (SELECT unnest(range({-r}, {r + 1})) AS a) q) m{tail})")
         source = to
     return ", ".join(steps)
 
@@ -74,7 +76,7 @@ def faces(name: str, source: str) -> str:
     """Empty cells with two faces at least on the source, and the source."""
     offsets = ", ".join(str(o) for o in V.FACES)
     return f"""{name}_n AS (SELECT scene_id, ix + a AS ix, iy + b AS iy, iz + c AS iz FROM {source}, (VALUES {offsets}) o(a, b, c)),
-{name} AS (SELECT scene_id, ix, iy, iz FROM {source} UNION SELECT scene_id, ix, iy, iz FROM {name}_n GROUP BY ALL HAVING count(*) >= 2)"""
+{name} AS MATERIALIZED (SELECT scene_id, ix, iy, iz FROM {source} UNION SELECT scene_id, ix, iy, iz FROM {name}_n GROUP BY ALL HAVING count(*) >= 2)"""
 
 
 CLOSE = f"{box('d2', 'vox', 2, False)}, {box('e2', 'd2', 2, True)}, added AS (SELECT * FROM e2 ANTI JOIN vox USING (scene_id, ix, iy, iz))"
@@ -176,7 +178,7 @@ def _(points):
 @query("p2_quantize_from", "scan_points", sql="""SELECT p.scene_id, CAST(floor((x - mx) / 0.5e0) AS INT) AS ix, CAST(floor((y - my) / 0.5e0) AS INT) AS iy, CAST(floor((z - mz) / 0.5e0) AS INT) AS iz
 FROM scan_points p JOIN (SELECT scene_id, min(x) AS mx, min(y) AS my, min(z) AS mz FROM scan_points GROUP BY scene_id) m ON p.scene_id = m.scene_id""")
 def _(points):
-    return points.join(F.broadcast(V.bounds(points)), "scene_id").select("scene_id", *S.quantize(0.5, origin=[F.col(f"min_{n}") for n in XYZ]))
+    return points.join(V.bounds(points), "scene_id").select("scene_id", *S.quantize(0.5, origin=[F.col(f"min_{n}") for n in XYZ]))
 
 
 @query("p3_voxel_center", "vox", sql="SELECT scene_id, (ix + 0.5e0) * 2 + 1 AS x, (iy + 0.5e0) * 2 + 1 AS y, (iz + 0.5e0) * 2 + 1 AS z FROM vox")
@@ -288,7 +290,7 @@ def _(points):
     return V.fill_cavities(points, 2)
 
 
-_UP = "up AS (SELECT scene_id, CAST(2 * ix + a AS INT) AS ix, CAST(2 * iy + b AS INT) AS iy, CAST(2 * iz + c AS INT) AS iz FROM {0}, (SELECT unnest([0, 1]) AS a) q1, (SELECT unnest([0, 1]) AS b) q2, (SELECT unnest([0, 1]) AS c) q3)"
+_UP = "up AS MATERIALIZED (SELECT scene_id, CAST(2 * ix + a AS INT) AS ix, CAST(2 * iy + b AS INT) AS iy, CAST(2 * iz + c AS INT) AS iz FROM {0}, (SELECT unnest([0, 1]) AS a) q1, (SELECT unnest([0, 1]) AS b) q2, (SELECT unnest([0, 1]) AS c) q3)"
 
 
 @query("v6_upsample2", "vox", sql=f"WITH {_UP.format('vox')} SELECT * FROM up")
@@ -827,6 +829,70 @@ def _fed(spark: SparkSession, rows: DataFrame, folder: str) -> DataFrame:
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
+def _in_turn(spark: SparkSession, rows: DataFrame, place: str, folder: str, last: DataFrame, parts: int = 4) -> tuple[DataFrame, int]:
+    """A table as a stream whose parts come in the order of ``place``, and the width of a part: no row comes later than that.  ``last`` comes at the end."""
+    low, high = rows.agg(F.min(place), F.max(place)).first()
+    width = (high - low) // parts + 1
+    for k in range(parts):
+        rows.filter(F.floor((F.col(place) - low) / width) == k).drop(*[place] * (place == "_at")).write.mode("append").parquet(folder)
+    last.coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(last.schema).option("maxFilesPerTrigger", 8).parquet(folder), width
+
+
+def _last(rows: DataFrame, **values) -> DataFrame:
+    """A row a scene that says that its stream is over: ``values``, and nulls."""
+    scenes = rows.select("scene_id").distinct()
+    return scenes.select(*[values.get(f.name, F.col("scene_id") if f.name == "scene_id" else F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema])
+
+
+def _by_frame(start: Callable, name: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        folder, rows = _folder(spark, name), view(spark, sf_dir, name)
+        stream, width = _in_turn(spark, rows, "frame_id", f"{folder}/in", _last(rows))
+        start(stream, f"{folder}/out", f"{folder}/progress", hold=width).awaitTermination()
+        return spark.read.parquet(f"{folder}/out")
+
+    return run
+
+
+def _by_time(rows: DataFrame, name: str, start: Callable) -> DataFrame:
+    """What a stream of timed rows gives; ``start`` gets the stream, its folders and how late rows may come."""
+    spark = rows.sparkSession
+    folder = _folder(spark, name)
+    numbered_ = rows.withColumn("_at", F.unix_micros(F.col("ts").cast("timestamp")))
+    stream, width = _in_turn(spark, numbered_, "_at", f"{folder}/in", _last(rows, ts=F.lit("2100-01-01 00:00:00")))
+    start(stream, f"{folder}/out", f"{folder}/progress", f"{width // 1_000_000 + 1} seconds").awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
+QUERIES["t2_stream_stable_k"] = _by_frame(O.stream_stable_k, "detections")
+ORACLE_SQL["t2_stream_stable_k"] = ORACLE_SQL["t2_stable_k"]
+QUERIES["t3_stream_track_ids"] = _by_frame(O.stream_track_ids, "centroids")
+
+
+def _stream_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = view(spark, sf_dir, "odometry")
+    found = _by_time(rows, "arrivals", lambda stream, table, progress, delay: O.stream_arrivals(stream, _TOUR, table, progress, 5.0, delay))
+    counted = found.groupBy("scene_id").agg(F.count("*").alias("n"))
+    return rows.select("scene_id").distinct().join(counted, "scene_id", "left").select("scene_id", F.coalesce("n", F.lit(0)).alias("arrivals"))
+
+
+QUERIES["t6_stream_arrivals"] = _stream_arrivals
+ORACLE_SQL["t6_stream_arrivals"] = ORACLE_SQL["t6_waypoint_arrival"]
+
+
+def _stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = view(spark, sf_dir, "odometry").withColumn("is_tick", F.lit(False))
+    ticks = rows.select("scene_id", (F.col("ts") + F.expr("INTERVAL 1 MINUTE")).alias("ts")).distinct()
+    both = rows.unionByName(ticks.select("scene_id", "ts", *[F.lit(None).cast("double").alias(n) for n in XYZ], F.lit(True).alias("is_tick")))
+    found = _by_time(both, "latest", lambda stream, *more: O.stream_latest_at_tick(stream.withColumn("is_tick", F.coalesce("is_tick", F.lit(False))), *more))
+    return found.select("scene_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "x")
+
+
+QUERIES["j9_stream_latest_at_tick"] = _stream_latest
+ORACLE_SQL["j9_stream_latest_at_tick"] = ORACLE_SQL["j9_latest_at_tick"]
+
+
 def _mapped(spark: SparkSession, sf_dir: str) -> str:
     """Folder of the running map of all frames."""
     folder = _folder(spark, "stream")

@@ -1,17 +1,19 @@
-"""Morphology of voxel sets, as joins and aggregations on cells.
+"""Morphology of voxel sets.
 
-A voxel set has distinct rows ``scene_id, ix, iy, iz``.  Box operators are separable: one pass an axis with 2r+1
-rows a voxel, not one pass with (2r+1)**3.  Every shuffle is by scene and cell, never by scene alone, so a large scene is
-spread like many small ones; counts are combined before they are shuffled.  Cells outside a set count as empty.
+A voxel set has distinct rows ``scene_id, ix, iy, iz``.  Operators that look a few cells far run on tiles with a halo (:mod:`tiles`): one
+exchange for a whole chain of them.  What has no bound of its reach runs as joins and components.  Every shuffle is by scene and tile or cell, never by
+scene alone, so a large scene is spread like many small ones.  Cells outside a set count as empty.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelspark.functions.scalar import CELL, XYZ, quantize, voxel_center
 from voxelspark.operators.components import checkpoint, components
+from voxelspark.operators.tiles import counted, dilated, eroded, doubled, on_tiles
 
 KEY = ("scene_id", *CELL)
 FACES = [(1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)]
@@ -22,21 +24,12 @@ def voxelize(points: DataFrame, res: float = 1.0) -> DataFrame:
     return points.select("scene_id", *quantize(res)).distinct()
 
 
-def _slide(vox: DataFrame, axis: str, r: int) -> DataFrame:
-    step = F.explode(F.sequence(F.col(axis) - r, F.col(axis) + r)).alias(axis)
-    return vox.select("scene_id", *[step if c == axis else F.col(c) for c in CELL])
-
-
 def dilate(vox: DataFrame, r: int = 1) -> DataFrame:
-    for axis in CELL:
-        vox = _slide(vox, axis, r).distinct()
-    return vox
+    return on_tiles(vox, lambda b: dilated(b, r), r)
 
 
 def erode(vox: DataFrame, r: int = 1) -> DataFrame:
-    for axis in CELL:
-        vox = _slide(vox, axis, r).groupBy(*KEY).count().filter(F.col("count") == 2 * r + 1).drop("count")
-    return vox
+    return on_tiles(vox, lambda b: eroded(b, r), r)
 
 
 def closing_radius(cavity_fill_diameter: float, voxel_size: float) -> int:
@@ -44,8 +37,8 @@ def closing_radius(cavity_fill_diameter: float, voxel_size: float) -> int:
 
 
 def close(vox: DataFrame, r: int) -> DataFrame:
-    """Cells that closing adds to the set."""
-    return erode(dilate(vox, r), r).join(vox, list(KEY), "left_anti")
+    """Cells that closing adds to the set: one exchange, as a cell's closing depends on what is within 2r of it."""
+    return on_tiles(vox, lambda b: eroded(dilated(b, r), r) & ~b, 2 * r)
 
 
 def fill_cavities(points: DataFrame, r: int, res: float = 1.0) -> DataFrame:
@@ -63,41 +56,52 @@ def upsample2(vox: DataFrame) -> DataFrame:
     return vox
 
 
-def shifted(vox: DataFrame, offsets: list[tuple[int, int, int]]) -> DataFrame:
-    table = F.array(*[F.struct(*[F.lit(v).alias(c) for v, c in zip(o, "abc")]) for o in offsets])
-    t = vox.select(*KEY, F.explode(table).alias("o"))
-    return t.select("scene_id", *[(F.col(c) + F.col(f"o.{k}")).alias(c) for c, k in zip(CELL, "abc")])
-
-
 def erode_26(vox: DataFrame, threshold: int = 26) -> DataFrame:
     """Voxels of which at least ``threshold`` of 26 neighbours are set."""
-    if threshold == 26:
-        return erode(vox, 1)
-    enough = shifted(vox, AROUND).groupBy(*KEY).count().filter(F.col("count") >= threshold).drop("count")
-    return vox.join(enough, list(KEY), "left_semi") if threshold > 0 else vox
+    return on_tiles(vox, lambda b: b & (counted(b, AROUND) >= threshold), 1)
+
+
+def _grown(block: np.ndarray) -> np.ndarray:
+    return block | (counted(block, FACES) >= 2)
 
 
 def dilate_6_selective(vox: DataFrame) -> DataFrame:
     """Adds an empty cell if two of its faces at least touch the input."""
-    enough = shifted(vox, FACES).groupBy(*KEY).count().filter("count >= 2").drop("count")
-    return vox.select(*KEY).union(enough).distinct()
+    return on_tiles(vox, _grown, 1)
+
+
+def _shell(block: np.ndarray) -> np.ndarray:
+    return block & ~eroded(block)
 
 
 def shell_26(vox: DataFrame) -> DataFrame:
-    return vox.select(*KEY).join(erode(vox, 1), list(KEY), "left_anti")
+    return on_tiles(vox, _shell, 1)
+
+
+#: Cells a side of a finest block that one task of the refinement holds; coarser tiles are as much smaller.
+FINE = 96
 
 
 def refine_shell(points: DataFrame, res: float = 1.0, cycles: int = 2) -> DataFrame:
-    """Centres of the shell after ``cycles`` halvings of the voxel size."""
-    vox = voxelize(points, res)
-    for n in range(1, cycles + 1):
-        res /= 2
-        vox = upsample2(vox)
-        vox = dilate_6_selective(vox) if n <= 1 else dilate(erode_26(vox), 1)
-        if n == cycles:
-            vox = dilate_6_selective(erode_26(vox))
-        vox = checkpoint(vox)
-    return shell_26(vox).select("scene_id", *voxel_center(res))
+    """Centres of the shell after ``cycles`` halvings of the voxel size.
+
+    The whole chain runs inside tiles after one exchange.  The first cycle looks one of its cells far, each later one two, the last two more, and the
+    shell one: in cells of the input that is under three for any number of cycles.
+    """
+
+    def kernel(block: np.ndarray) -> np.ndarray:
+        for n in range(1, cycles + 1):
+            block = doubled(block)
+            block = _grown(block) if n <= 1 else dilated(eroded(block))
+            if n == cycles:
+                block = _grown(eroded(block))
+        return _shell(block)
+
+    scale = 2**cycles
+    # distances in the finest cells: one cell of cycle n is 2 ** (cycles - n) of them
+    far = 1 + sum(2 ** (cycles - n) * ((1 if n <= 1 else 2) + (2 if n == cycles else 0)) for n in range(1, cycles + 1))
+    shell = on_tiles(voxelize(points, res), kernel, -(-far // scale), max(1, FINE // scale), scale)
+    return shell.select("scene_id", *voxel_center(res / scale))
 
 
 def dilate_points(points: DataFrame, d: int, res: float = 1.0) -> DataFrame:

@@ -6,9 +6,9 @@ A scene's rows are folded in order by a task that streams over them (see :mod:`f
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -35,26 +35,42 @@ def mixture_bic(log_likelihood: Column, n: Column, k: Column) -> Column:
 UP, DOWN, LEAST, MOST = 0.10, 0.5, 2, 5
 
 
+@dataclass
+class Hysteresis:
+    """The state of one scene's number of clusters: the present one, the one last seen, for how long, and how often in a row another was."""
+
+    k: int
+    seen: int
+    epochs: int = 0
+    count: int = 0
+
+    @classmethod
+    def of(cls, first: int) -> Hysteresis:
+        return cls(first, first)
+
+    def detect(self, d: int) -> None:
+        self.count = self.count + 1 if self.seen == d else 1
+        self.seen = d
+        need = min(MOST, max(LEAST, int((UP if d > self.k else DOWN) * self.epochs)))
+        if self.k == d:
+            self.epochs, self.count = self.epochs + 1, 0
+        elif self.count >= need:
+            self.k, self.epochs, self.count = d, 1, 0
+
+
 def stable_k(detections: DataFrame) -> DataFrame:
     """The stable number of clusters at each frame: ``scene_id, frame_id, detected_k, stable_k, skipped``.
 
     A new number must be seen in several frames in a row: more of them the longer the present one has held, and more
     to go down than up.
     """
-    def step(s: dict, row) -> list[tuple]:
-        d = row.detected_k
-        s["count"] = s["count"] + 1 if s["seen"] == d else 1
-        s["seen"] = d
-        need = min(MOST, max(LEAST, int((UP if d > s["k"] else DOWN) * s["epochs"])))
-        if s["k"] == d:
-            s["epochs"], s["count"] = s["epochs"] + 1, 0
-        elif s["count"] >= need:
-            s["k"], s["epochs"], s["count"] = d, 1, 0
-        return [(row.scene_id, row.frame_id, d, s["k"], s["k"] != d)]
+
+    def step(s: Hysteresis, row) -> list[tuple]:
+        s.detect(row.detected_k)
+        return [(row.scene_id, row.frame_id, row.detected_k, s.k, s.k != row.detected_k)]
 
     rows = detections.select("scene_id", "frame_id", "detected_k")
-    start = lambda row: {"k": row.detected_k, "seen": row.detected_k, "epochs": 0, "count": 0}
-    return fold(rows, ["scene_id"], ["frame_id", "detected_k"], "scene_id long, frame_id long, detected_k long, stable_k long, skipped boolean", start, step)
+    return fold(rows, ["scene_id"], ["frame_id", "detected_k"], "scene_id long, frame_id long, detected_k long, stable_k long, skipped boolean", lambda row: Hysteresis.of(row.detected_k), step)
 
 
 def assign(cost: np.ndarray) -> list[tuple[int, int]]:
@@ -129,15 +145,43 @@ def track_ids(centroids: DataFrame, res: float = 1.0, frames: DataFrame | None =
         empty = frames.select("scene_id", "frame_id").join(kept, ["scene_id", "frame_id"], "left_anti").distinct()
         kept = kept.unionByName(empty.select("scene_id", "frame_id", F.lit(None).cast("long").alias("label"), *[F.lit(None).cast("double").alias(n) for n in XYZ]))
 
-    def fold(scene: pd.DataFrame) -> pd.DataFrame:
-        tracks, out = Tracks(5 * res), []
-        for _, frame in scene.sort_values(["frame_id", "label"]).groupby("frame_id", sort=True):
-            frame = frame.dropna(subset=["label"])
-            ids = tracks.step(frame[list(XYZ)].to_numpy(float))
-            out.append(pd.DataFrame({"scene_id": frame["scene_id"], "frame_id": frame["frame_id"], "label": frame["label"].astype("int64"), "track_id": np.array(ids, "int64")}))
-        return pd.concat(out) if out else pd.DataFrame({n: pd.Series(dtype="int64") for n in ("scene_id", "frame_id", "label", "track_id")})
+    def work(s: dict) -> list[tuple]:
+        """Ids of the frame that is complete."""
+        ids = s["tracks"].step(np.array([p for _, p in s["rows"]], float).reshape(len(s["rows"]), 3))
+        out = [(s["scene"], s["frame"], label, i) for (label, _), i in zip(s["rows"], ids)]
+        s["rows"] = []
+        return out
+
+    def step(s: dict, row) -> list[tuple]:
+        out = work(s) if row.frame_id != s["frame"] else []
+        s["frame"] = row.frame_id
+        if row.label == row.label and row.label is not None:
+            s["rows"].append((int(row.label), (row.x, row.y, row.z)))
+        return out
+
+    start = lambda row: {"scene": row.scene_id, "frame": row.frame_id, "rows": [], "tracks": Tracks(5 * res)}
+    return fold(kept, ["scene_id"], ["frame_id", "label", *XYZ], "scene_id long, frame_id long, label long, track_id long", start, step, work)
+
+
+@dataclass
+class Arrival:
+    """The state of one scene's way: arrivals so far, and the last distance within reach of the present target."""
+
+    targets: Sequence[tuple[float, float, float]]
+    reach: float
+    arrivals: int = 0
+    last: float = float("inf")
 
-    return kept.groupBy("scene_id").applyInPandas(fold, "scene_id long, frame_id long, label long, track_id long")
+    def move(self, x: float, y: float, z: float) -> bool:
+        """Whether this step is an arrival."""
+        a, b, c = self.targets[self.arrivals % len(self.targets)]
+        d = ((x - a) * (x - a) + (y - b) * (y - b) + (z - c) * (z - c)) ** 0.5
+        if d > self.last:
+            self.arrivals, self.last = self.arrivals + 1, float("inf")
+            return True
+        if d < self.reach:
+            self.last = d
+        return False
 
 
 def waypoint_arrival(rows: DataFrame, targets: Sequence[tuple[float, float, float]], reach: float = 2.0) -> DataFrame:
@@ -146,19 +190,13 @@ def waypoint_arrival(rows: DataFrame, targets: Sequence[tuple[float, float, floa
     Once within reach, the first step away counts, and the next target is the one to reach; so does any step away from
     a place within reach.
     """
-    far = float("inf")
 
     def step(s: dict, row) -> list[tuple]:
-        x, y, z = targets[s["n"] % len(targets)]
-        d = ((row.x - x) * (row.x - x) + (row.y - y) * (row.y - y) + (row.z - z) * (row.z - z)) ** 0.5
-        if d > s["last"]:
-            s["n"], s["last"] = s["n"] + 1, far
-        elif d < reach:
-            s["last"] = d
+        s["way"].move(row.x, row.y, row.z)
         return []
 
-    start = lambda row: {"scene_id": row.scene_id, "n": 0, "last": far}
-    return fold(rows.select("scene_id", "ts", *XYZ), ["scene_id"], ["ts", *XYZ], "scene_id long, arrivals long", start, step, lambda s: [(s["scene_id"], s["n"])])
+    start = lambda row: {"scene_id": row.scene_id, "way": Arrival(targets, reach)}
+    return fold(rows.select("scene_id", "ts", *XYZ), ["scene_id"], ["ts", *XYZ], "scene_id long, arrivals long", start, step, lambda s: [(s["scene_id"], s["way"].arrivals)])
 
 
 def stride_sample(poses: DataFrame, n: int) -> DataFrame:
