@@ -22,7 +22,7 @@ from voxelspark.operators.skeletonize import skeletonize
 from voxelspark.sources import clouds as IO
 from voxelspark.sources import poses as P
 from voxelspark.sources.fixtures import VIEWS, view, with_views
-from voxelspark.streaming.maps import current_closing, current_first_seen, current_map, stream_accumulate, stream_coverage
+from voxelspark.streaming.maps import current_closing, current_first_seen, current_map, stream_accumulate, stream_closing, stream_coverage
 from voxelspark.streaming import ordered as O
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -309,13 +309,13 @@ def _(vox):
     return V.dilate_6_selective(vox)
 
 
-@query("v9_shell_26", "vox", sql=f"WITH {box('d', 'vox', 1, False)}, {box('e', 'd', 1, True)} SELECT * FROM d ANTI JOIN e USING (scene_id, ix, iy, iz)")
+@query("v9_shell_26", "vox", sql=f"WITH {box('d', 'vox', 1, False)}, {box('e', 'd', 1, True)} SELECT * FROM d EXCEPT SELECT * FROM e")
 def _(vox):
     return V.shell_26(V.dilate(vox, 1))
 
 
 @query("v10_refine_shell", "scan_points", sql=f"""WITH {_UP.format('vox')}, {faces('s1', 'up')}, {_UP.format('s1').replace('up AS', 'up2 AS', 1)}, {box('e1', 'up2', 1, True)}, {box('d1', 'e1', 1, False)}, {box('e2', 'd1', 1, True)}, {faces('s2', 'e2')}, {box('e3', 's2', 1, True)}
-SELECT scene_id, (ix + 0.5e0) * 0.25e0 AS x, (iy + 0.5e0) * 0.25e0 AS y, (iz + 0.5e0) * 0.25e0 AS z FROM s2 ANTI JOIN e3 USING (scene_id, ix, iy, iz)""")
+SELECT scene_id, (ix + 0.5e0) * 0.25e0 AS x, (iy + 0.5e0) * 0.25e0 AS y, (iz + 0.5e0) * 0.25e0 AS z FROM (SELECT * FROM s2 EXCEPT SELECT * FROM e3) t""")
 def _(points):
     return V.refine_shell(points, 1.0, 2)
 
@@ -405,17 +405,34 @@ def _(triangles):
 _CAND = f"""{PTS}, q AS (SELECT *, atan2(2 * (qw * qz + qx * qy), 1 - 2 * (qy * qy + qz * qz)) AS yaw FROM poses),
 d AS (SELECT q.scene_id, seq, point_id, p.x - q.x AS dx, p.y - q.y AS dy, p.z - q.z AS dz, yaw, q.x AS ax, q.y AS ay, q.z AS az, p.ix AS gx, p.iy AS gy, p.iz AS gz FROM q JOIN pts p ON q.scene_id = p.scene_id),
 f AS (SELECT *, cos(-yaw) * dx - sin(-yaw) * dy AS ahead, sin(-yaw) * dx + cos(-yaw) * dy AS side FROM d WHERE dx * dx + dy * dy + dz * dz <= 625),
-cand AS MATERIALIZED (SELECT * FROM f WHERE ahead BETWEEN 0 AND 20 AND abs(side) <= 10 * (ahead / 20) AND abs(dz) <= 7.5e0 * (ahead / 20))"""
+cand AS MATERIALIZED (SELECT *, row_number() OVER () AS rid FROM f WHERE ahead BETWEEN 0 AND 20 AND abs(side) <= 10 * (ahead / 20) AND abs(dz) <= 7.5e0 * (ahead / 20))"""
 
 
-def _ray_sql() -> str:
-    """Cells of the candidates' rays (``cells``), without the target's: the first one, and those that crossings of each axis enter."""
+def _packed(scene: str, x: str, y: str, z: str) -> str:
+    """A scene's cell as one number, for cells within 4096 of the origin."""
+    return f"((CAST({scene} AS BIGINT) * 8192 + {x} + 4096) * 8192 + {y} + 4096) * 8192 + {z} + 4096"
+
+
+def _ray_sql(packed: bool = False) -> str:
+    """Cells of the candidates' rays (``cells``), without the target's: the first one, and those that crossings of each axis enter.
+
+    ``packed``: a ray is a row number ``rid`` of ``cand``, and a cell one number, ``cell``.
+    """
     one = lambda a: f"""d{a} / dist AS u{a}, CAST(floor(a{a}) AS INT) AS c{a}"""
     two = lambda a: f"""CASE WHEN u{a} > 0 THEN 1 ELSE -1 END AS s{a}, CASE WHEN abs(u{a}) < 1e-12 THEN 0 ELSE abs(g{a} - c{a}) END AS n{a},
   CASE WHEN abs(u{a}) < 1e-12 THEN 1e300 ELSE (c{a} + CASE WHEN u{a} > 0 THEN 1 ELSE 0 END - a{a}) / u{a} END AS f{a}, CASE WHEN abs(u{a}) < 1e-12 THEN 1e300 ELSE 1 / abs(u{a}) END AS e{a}"""
-    ray = f"""ray AS MATERIALIZED (SELECT scene_id, seq, point_id, gx, gy, gz, cx, cy, cz, {", ".join(map(two, "xyz"))}
+    names = "rid, scene_id" if packed else "scene_id, seq, point_id"
+    ray = f"""{'rays' if packed else 'ray'} AS {'' if packed else 'MATERIALIZED '}(SELECT {names}, gx, gy, gz, cx, cy, cz, {", ".join(map(two, "xyz"))}
 FROM (SELECT *, {", ".join(map(one, "xyz"))} FROM (SELECT *, sqrt(dx * dx + dy * dy + dz * dz) AS dist FROM cand) WHERE dist >= 1e-9) WHERE cx <> gx OR cy <> gy OR cz <> gz)"""
-    parts = ["SELECT scene_id, seq, point_id, cx AS ix, cy AS iy, cz AS iz FROM ray"]
+    if packed:
+        # most blocked rays are so by the cell before the target's; where one crossing is clearly the last, that cell is known
+        last = lambda a: f"CASE WHEN n{a} > 0 THEN f{a} + (n{a} - 1) * e{a} ELSE -1 END AS l{a}"
+        after = lambda a: " AND ".join(f"l{a} > l{o} + 1e-6" for o in "xyz" if o != a)
+        before = " ".join(f"WHEN {after(a)} THEN {_packed('scene_id', *[f'g{o} - s{o}' if o == a else f'g{o}' for o in 'xyz'])}" for a in "xyz")
+        ray += f""", rest AS MATERIALIZED (SELECT *, coalesce(before IN (SELECT {_packed('scene_id', *CELL)} FROM vox), FALSE) AS hidden FROM (SELECT *, CASE {before} END AS before FROM (SELECT *, {", ".join(map(last, "xyz"))} FROM rays))),
+ray AS NOT MATERIALIZED (SELECT * FROM rest WHERE NOT hidden)"""
+    shown = f"rid, {_packed('scene_id', *CELL)} AS cell" if packed else "scene_id, seq, point_id, ix, iy, iz"
+    parts = [f"SELECT {shown} FROM (SELECT *, cx AS ix, cy AS iy, cz AS iz FROM ray)"]
     for i, a in enumerate("xyz"):
         place = []
         for j, o in enumerate("xyz"):
@@ -425,18 +442,18 @@ FROM (SELECT *, {", ".join(map(one, "xyz"))} FROM (SELECT *, sqrt(dx * dx + dy *
                 passed = f"floor((t - f{o} + {R.TIE}) / e{o}) + 1" if j > i else f"ceil((t - f{o} - {R.TIE}) / e{o})"
                 place.append(f"c{o} + s{o} * CASE WHEN n{o} > 0 THEN CAST(least(n{o}, greatest(0, {passed})) AS INT) ELSE 0 END")
         cells = ", ".join(f"CAST({p} AS INT) AS {c}" for p, c in zip(place, CELL))
-        parts.append(f"SELECT scene_id, seq, point_id, ix, iy, iz FROM (SELECT *, {cells} FROM (SELECT *, f{a} + k * e{a} AS t FROM (SELECT *, unnest(range(n{a})) AS k FROM ray))) WHERE ix <> gx OR iy <> gy OR iz <> gz")
+        parts.append(f"SELECT {shown} FROM (SELECT *, {cells} FROM (SELECT *, f{a} + k * e{a} AS t FROM (SELECT *, unnest(range(n{a})) AS k FROM ray))) WHERE ix <> gx OR iy <> gy OR iz <> gz")
     return f"{ray}, cells AS NOT MATERIALIZED ({' UNION ALL '.join(parts)})"
 
 
-_SEEN = f"""{_CAND}, {_ray_sql()}, blocked AS (SELECT DISTINCT scene_id, seq, point_id FROM cells SEMI JOIN vox USING (scene_id, ix, iy, iz)),
-free AS (SELECT scene_id, seq, point_id FROM cand ANTI JOIN blocked USING (scene_id, seq, point_id)), s AS (SELECT scene_id, point_id, min(seq) AS seq FROM free GROUP BY scene_id, point_id)"""
+_SEEN = f"""{_CAND}, {_ray_sql(packed=True)}, blocked AS MATERIALIZED (SELECT DISTINCT rid FROM cells WHERE cell IN (SELECT {_packed('scene_id', *CELL)} FROM vox)),
+free AS (SELECT scene_id, seq, point_id FROM cand WHERE rid NOT IN (SELECT rid FROM blocked UNION ALL SELECT rid FROM rest WHERE hidden)), s AS (SELECT scene_id, point_id, min(seq) AS seq FROM free GROUP BY scene_id, point_id)"""
 
 
 def _seen(poses: DataFrame, vox: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The voxels as points, and the first pose that sees each."""
     points = numbered(vox)
-    return points, R.first_seen(R.unoccluded(poses, points, vox))
+    return points, R.first_seen_of(poses, points, vox)
 
 
 @query("j1_visible_candidates", "poses", "vox", sql=f"WITH {_CAND} SELECT scene_id, seq, point_id FROM cand")
@@ -903,7 +920,15 @@ def _mapped(spark: SparkSession, sf_dir: str) -> str:
 
 QUERIES["t1_stream_accumulate"] = lambda spark, sf_dir: current_map(spark, _mapped(spark, sf_dir))
 ORACLE_SQL["t1_stream_accumulate"] = ORACLE_SQL["a3_accumulate_static"]
-QUERIES["t1_stream_closing"] = lambda spark, sf_dir: current_closing(spark, _mapped(spark, sf_dir))
+
+
+def _closed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = _folder(spark, "closing")
+    stream_closing(_fed(spark, view(spark, sf_dir, "scan_points"), f"{folder}/in"), f"{folder}/tiles", f"{folder}/progress").awaitTermination()
+    return current_closing(spark, f"{folder}/tiles")
+
+
+QUERIES["t1_stream_closing"] = _closed
 ORACLE_SQL["t1_stream_closing"] = ORACLE_SQL["v4_close"]
 
 

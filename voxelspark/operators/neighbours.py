@@ -13,6 +13,8 @@ from voxelspark.operators.components import checkpoint, components, stored
 
 #: Points of a cell that one row of a comparison holds.
 PART = 256
+#: Least side of the grid cells in which a frustum looks for points.
+GLANCE = 4.0
 CUBE = [(x, y, z) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1)]
 
 
@@ -72,12 +74,26 @@ def flag_edge_points(skeleton: DataFrame, edges: DataFrame, tol: float = 1e-3) -
 def visible_candidates(poses: DataFrame, points: DataFrame, reach: float = 25.0, length: float = 20.0, width: float = 20.0, height: float = 15.0, keep: Sequence[str] | None = None) -> DataFrame:
     """Pairs of a pose and a point in its range and its frustum: ``scene_id, seq, point_id``.
 
-    ``keep``: columns of the poses to keep; both places are kept with them, as ``ax, ay, az`` and ``bx, by, bz``.
+    A pose meets only the grid cells that its frustum touches.  ``keep``: columns of the poses to keep; both places are kept with them, as ``ax, ay, az`` and ``bx, by, bz``.
     """
     more = [] if keep is None else [*keep]
-    left = poses.select("scene_id", "seq", *more, *XYZ, *[F.col(n).alias(f"a{n}") for n in XYZ], yaw_from_quaternion().alias("yaw"))
-    right = points.select("scene_id", "point_id", *[F.col(n).alias(f"b{n}") for n in XYZ], *quantize(reach))
-    near = _spread(left, ["scene_id", "seq", "yaw", *more, *[f"a{n}" for n in XYZ]], reach).join(right, ["scene_id", *CELL])
+    own = ["scene_id", "seq", "yaw", *more, *[f"a{n}" for n in XYZ]]
+    left = poses.select("scene_id", "seq", *more, *[F.col(n).alias(f"a{n}") for n in XYZ], yaw_from_quaternion().alias("yaw"))
+    # cells that a frustum meets: their middle is no farther from it than half a diagonal, turned by the yaw or not
+    far = min(reach, (length * length + width * width / 4) ** 0.5)
+    side = max(GLANCE, far / 6)
+    half = side * 0.75**0.5
+    span = lambda n, d: F.explode(F.sequence(F.floor((F.col(f"a{n}") - d) / side).cast("int"), F.floor((F.col(f"a{n}") + d) / side).cast("int")))
+    for n, c in zip("xy", CELL):
+        left = left.select("*", span(n, far).alias(c))
+    dx, dy, dz = ((F.col(c) + 0.5) * side - F.col(f"a{n}") for c, n in zip(CELL, XYZ))
+    ahead, aside = F.cos("yaw") * dx + F.sin("yaw") * dy, F.cos("yaw") * dy - F.sin("yaw") * dx
+    reached = F.least(ahead + half, F.lit(length)) / length
+    left = left.filter((ahead >= -half) & (ahead <= length + half) & (F.abs(aside) <= width / 2 * reached + half) & (dx * dx + dy * dy <= (reach + half) ** 2))
+    left = left.select(*own, "ix", "iy", reached.alias("reached"), span("z", height / 2).alias("iz"))
+    left = left.filter(F.abs(dz) <= height / 2 * F.col("reached") + half).select(*own, *CELL)
+    right = points.select("scene_id", "point_id", *[F.col(n).alias(f"b{n}") for n in XYZ], *quantize(side))
+    near = left.join(right, ["scene_id", *CELL])
     d = [F.col(f"b{n}") - F.col(f"a{n}") for n in XYZ]
     places = [] if keep is None else [f"{s}{n}" for s in "ab" for n in XYZ]
     return near.filter(in_range(*d, reach) & in_frustum(*d, F.col("yaw"), length, width, height)).select("scene_id", "seq", "point_id", *more, *places)

@@ -12,12 +12,15 @@ from pyspark.sql import functions as F
 
 from voxelspark.functions.scalar import CELL, XYZ, quantize
 from voxelspark.operators.accumulate import running
+from voxelspark.operators.components import stored
 from voxelspark.operators.neighbours import around, visible_candidates
 
 #: Crossings that are closer in distance than this count as one: z is crossed first then, and x last.
 TIE = 1e-9
-#: Poses of one grid block whose rays one task walks, and rays that are walked at a time.
-POSES, RAYS = 512, 1 << 14
+#: Pairs of poses and points of one grid block that one task may get at most, and rays that are walked at a time.
+PAIRS, RAYS = 1 << 22, 1 << 14
+#: Cells a side of a brick, the unit of the occupied space that a task holds.
+BRICK = 8
 
 
 def _walk(start: np.ndarray, end: np.ndarray, res: float) -> tuple[np.ndarray, np.ndarray]:
@@ -96,39 +99,93 @@ def with_places(pairs: DataFrame, poses: DataFrame, points: DataFrame) -> DataFr
     return pairs.join(a, ["scene_id", "seq"]).join(b, ["scene_id", "point_id"])
 
 
+class Bricks:
+    """Occupied cells in two levels: a grid of bricks, most of them empty, and the cells of the others.
+
+    A brick costs four bytes and an occupied one 512 more, so 0.1 m voxels around a block of 25 m, which are 752 cells a side, take 4 MB and half a
+    kilobyte for each brick with a cell; a plain bitmap would take 425 MB.
+    """
+
+    def __init__(self, cells: np.ndarray, low: np.ndarray, side: int) -> None:
+        self.low, number = low, -(-side // BRICK)
+        cells = cells - low
+        shape = (number,) * 3
+        brick = np.ravel_multi_index(tuple((cells // BRICK).T), shape)
+        used, place = np.unique(brick, return_inverse=True)
+        self.index = np.full(number**3, -1, np.int32)
+        self.index[used] = np.arange(len(used))
+        self.shape, self.cells = shape, np.zeros((len(used), BRICK**3), bool)
+        self.cells[place, self._inner(cells)] = True
+
+    @staticmethod
+    def _inner(cells: np.ndarray) -> np.ndarray:
+        return np.ravel_multi_index(tuple((cells % BRICK).T), (BRICK,) * 3)
+
+    def occupied(self, cells: np.ndarray) -> np.ndarray:
+        cells = cells - self.low
+        brick = self.index[np.ravel_multi_index(tuple((cells // BRICK).T), self.shape)]
+        out = brick >= 0
+        out[out] = self.cells[brick[out], self._inner(cells[out])]
+        return out
+
+
 def unoccluded(poses: DataFrame, points: DataFrame, occupied: DataFrame, res: float = 1.0, reach: float = 25.0) -> DataFrame:
     """Visible candidates with no occupied cell between the pose and the point's own cell: ``scene_id, seq, point_id``.
 
     Space is cut into grid blocks of side ``reach``.  The rays of a block's poses stay inside the blocks around it, so they
-    meet a bitmap of the occupied cells there: its size depends on ``reach / res`` alone, and no cell of a ray is ever a row.  Poses are counted
-    by block, and every ``POSES`` of them make a task of their own.
+    meet the occupied cells there, held in :class:`Bricks`; no cell of a ray is ever a row.  The poses of a block and the points around it are counted first,
+    and their pairs are dealt to so many tasks that none can get over ``PAIRS``, however dense they are.
     """
     block = poses.select("scene_id", "seq", *XYZ, *[c for c in poses.columns if c.startswith("q")], *[q.alias(f"b{c}") for q, c in zip(quantize(reach), CELL)])
     grid = ["scene_id", *[f"b{c}" for c in CELL]]
-    parts = block.groupBy(*grid).agg(F.ceil(F.count("*") / POSES).cast("int").alias("parts"))
-    placed = block.join(parts, grid).withColumn("part", F.pmod(F.xxhash64("seq"), F.col("parts")).cast("int"))
-    pairs = visible_candidates(placed, points, reach, keep=[*grid[1:], "part"])
-    offset = around()
-    near = occupied.select("scene_id", *CELL, *[F.floor((F.col(c) + 0.5) * res / reach).cast("int").alias(f"o{c}") for c in CELL], offset.alias("o"))
-    near = near.select("scene_id", *CELL, *[(F.col(f"o{c}") + F.col(f"o.{k}")).alias(f"b{c}") for c, k in zip(CELL, "abc")])
+    beside = lambda df: df.select("*", around().alias("o")).select("scene_id", *[(F.col(f"o{c}") + F.col(f"o.{k}")).alias(f"b{c}") for c, k in zip(CELL, "abc")], *[c for c in df.columns if c not in ("scene_id", *[f"o{c}" for c in CELL])])
+    there = points.groupBy("scene_id", *[q.alias(f"o{c}") for q, c in zip(quantize(reach), CELL)]).agg(F.count("*").alias("points"))
+    there = beside(there).groupBy(*grid).agg(F.sum("points").alias("points"))
+    here = block.groupBy(*grid).agg(F.count("*").alias("poses"))
+    parts = here.join(there, grid).select(*grid, F.ceil(F.col("poses") * F.col("points") / PAIRS).cast("int").alias("parts"))
+    pairs = visible_candidates(block.join(parts, grid), points, reach, keep=[*grid[1:], "parts"])
+    pairs = pairs.withColumn("part", F.pmod(F.xxhash64("seq", "point_id"), F.col("parts")).cast("int"))
+    near = beside(occupied.select("scene_id", *CELL, *[F.floor((F.col(c) + 0.5) * res / reach).cast("int").alias(f"o{c}") for c in CELL]))
     walls = near.join(parts, grid).select(*grid, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *CELL)
-    side = int(np.ceil(3 * reach / res)) + 2
+    side = int(np.ceil(3 * reach / res)) + 3
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         low = np.floor((np.array([k.as_py() for k in key[1:4]]) - 1) * reach / res).astype(np.int64) - 1
-        wall = np.zeros((side + 1,) * 3, bool)
-        wall[tuple(right.column(c).to_numpy() - low[k] for k, c in enumerate(CELL))] = True
+        wall = Bricks(np.stack([right.column(c).to_numpy() for c in CELL], 1).astype(np.int64), low, side)
         start, end = (np.stack([left.column(f"{s}{n}").to_numpy() for n in XYZ], 1) for s in "ab")
         free = np.ones(len(left), bool)
         for at in range(0, len(left), RAYS):
             ray, cell = _walk(start[at : at + RAYS], end[at : at + RAYS], res)
-            free[at + ray[wall[tuple((cell - low).T)]]] = False
+            free[at + ray[wall.occupied(cell)]] = False
         return left.select(["scene_id", "seq", "point_id"]).filter(pa.array(free))
 
     keys = [*grid, "part"]
     return pairs.groupBy(*keys).cogroup(walls.groupBy(*keys)).applyInArrow(run, "scene_id long, seq long, point_id long")
 
 
+def still_open(points: DataFrame, poses: DataFrame, seen: DataFrame) -> DataFrame:
+    """Points that some of these poses could be the first to see: not seen yet, or by a later pose than the first of these."""
+    first = poses.groupBy("scene_id").agg(F.min("seq").alias("_from"))
+    known = points.join(seen.select("scene_id", "point_id", "first_seq"), ["scene_id", "point_id"], "left").join(first, "scene_id")
+    return known.filter(F.col("first_seq").isNull() | (F.col("first_seq") > F.col("_from"))).select(points.columns)
+
+
+def first_seen_of(poses: DataFrame, points: DataFrame, occupied: DataFrame, first: int = 64) -> DataFrame:
+    """The first pose that sees each point: ``scene_id, point_id, first_seq``, without making all pairs.
+
+    Poses are tried in order, in chunks of each scene that double: the first 64, the next 128, and so on.  A point that a chunk sees takes no part in the next ones, so
+    there are some log2(poses) rounds, and the large ones have few points left.
+    """
+    numbered = stored(poses.join(poses.groupBy("scene_id").agg(F.min("seq").alias("_low")), "scene_id").withColumn("_round", F.floor(F.log2((F.col("seq") - F.col("_low")) / first + 1)).cast("int")).drop("_low"))
+    rounds = numbered.agg(F.max("_round")).first()[0]
+    found, left = None, points
+    for k in range(0 if rounds is None else rounds + 1):
+        new = stored(first_seen(unoccluded(numbered.filter(F.col("_round") == k).drop("_round"), left, occupied)))
+        found = new if found is None else found.unionByName(new)
+        left = points.join(found, ["scene_id", "point_id"], "left_anti")
+    return first_seen(unoccluded(poses, points, occupied)) if found is None else found
+
+
 def first_seen(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("scene_id", "point_id").agg(F.min("seq").alias("first_seq"))
 
