@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,6 +15,8 @@ from voxelspark.operators.components import checkpoint, components, stored
 
 #: Points of a cell that one row of a comparison holds.
 PART = 256
+#: Cells a side of the tiles in which components are joined first.
+TILE_CELLS = 16
 #: Least side of the grid cells in which a frustum looks for points.
 GLANCE = 4.0
 CUBE = [(x, y, z) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1)]
@@ -99,24 +103,59 @@ def visible_candidates(poses: DataFrame, points: DataFrame, reach: float = 25.0,
     return near.filter(in_range(*d, reach) & in_frustum(*d, F.col("yaw"), length, width, height)).select("scene_id", "seq", "point_id", *more, *places)
 
 
+def _components_by_tile(edges: DataFrame, within: Sequence[str]) -> DataFrame:
+    """``node, component`` of ``src, dst, tile``: first inside each tile (null: the edge leaves it), then between the tiles' parts.
+
+    A tile has a bounded number of cells, and so of edges.  Only edges between parts of different tiles go through rounds, so a long thin structure takes as many as its length in tiles asks for.
+    """
+    keys = [f"k{i}" for i in range(len(within))]
+    inside = edges.filter("tile IS NOT NULL").select(*[F.col(f"src.{k}").alias(a) for k, a in zip(within, keys)], "tile.*", F.col("src.head").alias("a"), F.col("dst.head").alias("b"))
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        ids, ends = np.unique(np.concatenate([table.column(c).to_numpy() for c in "ab"]), return_inverse=True)
+        a, b = ends[: len(table)], ends[len(table) :]
+        label = np.arange(len(ids))
+        while True:
+            least = np.minimum(label[a], label[b])
+            now = label.copy()
+            np.minimum.at(now, label[a], least)
+            np.minimum.at(now, label[b], least)
+            now = now[now]
+            if (now == label).all():
+                break
+            label = now
+        return pa.table([*[pa.repeat(k, len(ids)) for k in key[: len(keys)]], pa.array(ids), pa.array(ids[label])], names=[*keys, "head", "root"])
+
+    schema = ", ".join([*[f"{k} {inside.schema[k].dataType.simpleString()}" for k in keys], "head long", "root long"])
+    node = lambda head: F.struct(*[F.col(k).alias(w) for k, w in zip(keys, within)], F.col(head).alias("head"))
+    parts = stored(inside.groupBy(*keys, *CELL).applyInArrow(run, schema).select(node("head").alias("node"), node("root").alias("root")))
+    at = lambda end: parts.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
+    leaving = edges.filter("tile IS NULL").join(at("src"), "src", "left").join(at("dst"), "dst", "left")
+    leaving = leaving.select(F.coalesce("src_root", "src").alias("src"), F.coalesce("dst_root", "dst").alias("dst")).distinct()
+    between = components(leaving).withColumnRenamed("node", "root")
+    joined = parts.join(between, "root", "left").select("node", F.coalesce("component", "root").alias("component"))
+    alone = between.withColumnRenamed("root", "node").join(parts.select("node"), "node", "left_anti")
+    return joined.unionByName(alone.select("node", "component"))
+
+
 def radius_components(points: DataFrame, eps: float, within: Sequence[str] = ("scene_id",)) -> DataFrame:
     """Points with ``component``: the least point_id that is linked to them by steps no longer than eps.
 
     Points of one cell of side eps / 2 are surely linked, so cells are the nodes: a dense cell costs one node.  Links
-    are sought between the first points of cells; only cells near each other that these leave in different components are compared
+    are sought between the first points of cells, and joined inside tiles of cells before they go through rounds; only cells near each other that these leave in different components are compared
     point by point, each pair of cells as one row of two lists cut into parts of ``PART`` points.
     """
     side = eps / 2  # a cell's diagonal is under eps
     cell = points.select(*within, "point_id", *XYZ, *quantize(side))
     heads = cell.groupBy(*within, *CELL).agg(F.min("point_id").alias("head")).withColumn("node", F.struct(*within, "head"))  # ids repeat in other groups
     placed = checkpoint(cell.join(heads, [*within, *CELL]))
-    first = placed.filter("point_id = head").select(*within, "node", *XYZ, *CELL)
+    first = placed.filter("point_id = head").select(*within, "node", *XYZ, *CELL, F.struct(*[F.floor(F.col(c) / TILE_CELLS).alias(c) for c in CELL]).alias("tile"))
     reach = [(x, y, z) for x in range(-2, 3) for y in range(-2, 3) for z in range(-2, 3) if (x, y, z) > (0, 0, 0)]
-    left = first.select(*within, F.col("node").alias("src"), *[F.col(n).alias(f"a{n}") for n in XYZ], *CELL, around(reach).alias("o"))
-    left = left.select(*within, "src", *[f"a{n}" for n in XYZ], *[(F.col(c) + F.col(f"o.{k}")).alias(c) for c, k in zip(CELL, "abc")])
-    right = first.select(*within, F.col("node").alias("dst"), *[F.col(n).alias(f"b{n}") for n in XYZ], *CELL)
-    near = checkpoint(left.join(right, [*within, *CELL]).select("src", "dst", (_square("a", "b") <= eps * eps).alias("linked")))
-    label = components(near.filter("linked").select("src", "dst"))
+    left = first.select(*within, F.col("node").alias("src"), *[F.col(n).alias(f"a{n}") for n in XYZ], *CELL, F.col("tile").alias("own"), around(reach).alias("o"))
+    left = left.select(*within, "src", "own", *[f"a{n}" for n in XYZ], *[(F.col(c) + F.col(f"o.{k}")).alias(c) for c, k in zip(CELL, "abc")])
+    right = first.select(*within, F.col("node").alias("dst"), *[F.col(n).alias(f"b{n}") for n in XYZ], *CELL, F.col("tile").alias("other"))
+    near = checkpoint(left.join(right, [*within, *CELL]).select("src", "dst", F.when(F.col("own") == F.col("other"), F.col("own")).alias("tile"), (_square("a", "b") <= eps * eps).alias("linked")))
+    label = _components_by_tile(near.filter("linked"), within)
     named = placed.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     of = lambda end: label.select(F.col("node").alias(end), F.col("component").alias(f"{end}_of"))
     apart = near.filter("NOT linked").join(of("src"), "src", "left").join(of("dst"), "dst", "left")
@@ -133,7 +172,8 @@ def radius_components(points: DataFrame, eps: float, within: Sequence[str] = ("s
     return named.join(joined, "component", "left").select(*within, "point_id", *XYZ, F.coalesce("whole", "component")["head"].alias("component"))
 
 
-def filter_lonely_points(points: DataFrame, min_size: int = 50, eps: float = 1.5) -> DataFrame:
+def filter_lonely_points(points: DataFrame, min_size: int = 50, eps: float = 5.0) -> DataFrame:
+    """Points of components of at least ``min_size``; ``eps`` is five voxels at a voxel size of one."""
     found = radius_components(points, eps)
     large = found.groupBy("scene_id", "component").count().filter(F.col("count") >= min_size).select("scene_id", "component")
     return found.join(large, ["scene_id", "component"], "left_semi")
