@@ -9,8 +9,8 @@ from voxelspark.jobs.registry import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SOME = """io1_explode_frames io2_read_poses_csv io3_write_poses_csv io4_write_cloud io5_read_cloud_pcd io6_read_mesh_stl io7_shell_output_name p11_frustum_edges p14_stable_color v4_close v8_dilate_6_selective v9_shell_26 v12_exterior_air v13_outer_shell
-m1_allocate_samples m2_sample_triangles m3_voxelize_triangles j2_ray_voxels j3_unoccluded j4_radius_neighbors j5_nearest_point j9_latest_at_tick a3_accumulate_static a11_mixture_bic w2_coverage_timeline w9_thin_path w11_next_waypoints c4_split_clusters c11_extend_endpoints t1_stream_accumulate t2_stable_k t5_stream_coverage t6_waypoint_arrival""".split()
+SOME = """io1_explode_frames io2_read_poses_csv io3_write_poses_csv io4_write_cloud io5_read_cloud_pcd io6_read_mesh_stl io7_shell_output_name p11_frustum_edges p14_stable_color v4_close v8_dilate_6_selective v9_shell_26 v10_refine_shell v12_exterior_air v13_outer_shell
+m1_allocate_samples m2_sample_triangles m3_voxelize_triangles j2_ray_voxels j3_unoccluded j4_radius_neighbors j5_nearest_point j9_latest_at_tick a3_accumulate_static a11_mixture_bic w2_coverage_timeline w9_thin_path w11_next_waypoints c2_filter_lonely_points c4_split_clusters c11_extend_endpoints t1_stream_accumulate t1_stream_closing t2_stable_k t2_stream_stable_k t6_stream_arrivals j9_stream_latest_at_tick t5_stream_coverage t6_waypoint_arrival""".split()
 
 
 def rows(frame):

@@ -214,14 +214,31 @@ def test_mixtures_find_separate_parts(spark):
     assert all(len(v) == 1 for v in labels.values())
 
 
-def test_skeleton_of_a_cross_has_lasting_ids(spark):
+def test_skeletons_of_frames_have_lasting_ids(spark):
     from voxelspark.operators.skeletonize import skeletonize
 
-    arms = {(x, y, z) for x in range(-30, 31) for y in range(3) for z in range(3)} | {(x, y, z) for x in range(100, 103) for y in range(-30, 31) for z in range(3)}
-    rows = [(0, i, *map(float, p)) for i, p in enumerate(sorted(arms))]
-    out = skeletonize(spark.createDataFrame(rows, "scene_id long, point_id long, x double, y double, z double"), most=4).collect()
-    assert len(out) >= 8 and len({r.track_id for r in out}) == len({(r.label) for r in out}) >= 2
-    assert min(r.x for r in out) <= -24 and max(r.y for r in out) >= 24 and all(0 <= c <= 255 for r in out for c in (r.r, r.g, r.b))
+    along = [(x, y, z) for x in range(-30, 31) for y in range(3) for z in range(3)]
+    across = [(x, y, z) for x in range(100, 103) for y in range(-30, 31) for z in range(3)]
+    lonely = [(300, 300, k) for k in range(20)]
+    clouds_ = [lonely, across, along + across, along + across, along + across + lonely, across[:200]]
+    # frame 0 has lonely points alone; 3 is as large as 2; 5 detects one cluster where two have been stable
+    rows = [(7, f - 2, i, *map(float, p)) for f, cloud in enumerate(clouds_) for i, p in enumerate(cloud)]
+    out = skeletonize(spark.createDataFrame(rows, "scene_id long, frame_id long, point_id long, x double, y double, z double"), most=4).collect()
+    by = {}
+    for r in out:
+        by.setdefault(r.frame_id + 2, []).append(r)
+    shows = {f: {r.result_frame + 2 for r in rs} for f, rs in by.items()}
+    assert 0 not in by and shows[1] == {1} and shows[3] == shows[2] and all(len(s) == 1 for s in shows.values())
+    ids = lambda f, good: {r.track_id for r in by[f] if good(r)}
+    assert len({i for f in by for i in ids(f, lambda r: r.x >= 100)}) == 1  # the arm across keeps its id over all frames
+    assert all(r.x < 200 for rs in by.values() for r in rs)
+    last = max(by)
+    key = lambda r: (r.label, r.x, r.y, r.z)
+    assert sorted(map(key, by[3])) == sorted(map(key, by[2])) and shows[last] <= {0, 1, 2, 3, 4, 5}
+    for f in (4,):
+        if shows[f] == {4}:
+            assert min(r.x for r in by[f]) <= -24 and max(r.y for r in by[f]) >= 24 and ids(f, lambda r: r.x < 100).isdisjoint(ids(f, lambda r: r.x >= 100))
+    assert all(0 <= c <= 255 for r in out for c in (r.r, r.g, r.b))
 
 
 def test_samples_lie_in_their_triangles(spark):

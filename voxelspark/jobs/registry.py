@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from voxelspark.functions import scalar as S
 from voxelspark.operators import accumulate as A
@@ -774,10 +775,16 @@ def _(points):
     return rounded(C.merge_across_clusters(C.densify(labelled, ends), ends), *XYZ)
 
 
-@query("c12_skeletonize", "vox")
-def _(vox):
-    """From a cloud to its skeleton with lasting ids and colours, one frame a scene: the whole job, see :func:`skeletonize`."""
-    return rounded(skeletonize(numbered(vox)), *XYZ)
+@query("c12_skeletonize", "scan_points")
+def _(points):
+    """Clouds of four frames a scene to skeletons with lasting ids and colours: the whole job, see :func:`skeletonize`.
+
+    A frame has all voxels seen up to a quarter, a half, the whole, and again the whole of the scan; the last repeats the result of the one before.
+    """
+    first = A.first_points(points).select("scene_id", *CELL, F.ntile(4).over(Window.partitionBy("scene_id", "ix", "iy").orderBy("o")).alias("turn"))
+    upto = F.explode(F.sequence(F.when(F.col("turn") > 2, 2).otherwise(F.col("turn") - 1), F.lit(3))).cast("long").alias("frame_id")
+    cloud = first.select("scene_id", upto, S.pack_voxel().alias("point_id"), *S.voxel_center(1.0))
+    return rounded(skeletonize(cloud), *XYZ)
 
 
 # state

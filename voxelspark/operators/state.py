@@ -18,12 +18,17 @@ from voxelspark.operators.accumulate import running
 from voxelspark.operators.folds import fold
 
 
-def bic_elbow(bics: DataFrame, gain: float = 0.01) -> DataFrame:
-    """First k whose successor gains under one per cent; else the k of the least BIC (first of equals)."""
+def elbows(bics: DataFrame, gain: float = 0.01) -> DataFrame:
+    """``flat``: the first k whose successor gains under one per cent, null if none does; ``least``: the k of the least BIC, the first of equals."""
     last = F.lag("bic").over(Window.partitionBy("scene_id").orderBy("k"))
     steps = bics.withColumn("last", last)
     flat = F.min(F.when((F.col("last") - F.col("bic")) / F.abs("last") < gain, F.col("k") - 1))
-    return steps.groupBy("scene_id").agg(F.coalesce(flat, F.min_by("k", F.struct("bic", "k"))).alias("k"))
+    return steps.groupBy("scene_id").agg(flat.alias("flat"), F.min_by("k", F.struct("bic", "k")).alias("least"))
+
+
+def bic_elbow(bics: DataFrame, gain: float = 0.01) -> DataFrame:
+    """First k whose successor gains under one per cent; else the k of the least BIC (first of equals)."""
+    return elbows(bics, gain).select("scene_id", F.coalesce("flat", "least").alias("k"))
 
 
 def mixture_bic(log_likelihood: Column, n: Column, k: Column) -> Column:
