@@ -605,6 +605,15 @@ def _(poses):
     return T.path_so_far(poses)
 
 
+@query("w3_path_prefix", "poses", sql="""WITH a AS (SELECT scene_id, CAST(floor(max(seq) * q / 4e0) AS BIGINT) AS upto FROM poses, (VALUES (1), (2), (3), (4)) v(q) GROUP BY scene_id, q)
+SELECT p.scene_id, upto, seq, time, x, y, z FROM poses p JOIN (SELECT DISTINCT * FROM a) a ON p.scene_id = a.scene_id AND seq <= upto""")
+def _(poses):
+    """The path at each quarter of the flight."""
+    last = poses.groupBy("scene_id").agg(F.max("seq").alias("last"))
+    asked = last.select("scene_id", F.explode(F.array(*[F.floor(F.col("last") * q / 4) for q in range(1, 5)])).alias("seq"))
+    return T.path_prefix(poses, asked).select("scene_id", "upto", "seq", "time", *XYZ)
+
+
 @query("w4_elapsed", "poses", sql="SELECT scene_id, seq, round((time - first(time) OVER (PARTITION BY scene_id ORDER BY seq)) / 10, 6) + 0e0 AS elapsed FROM poses")
 def _(poses):
     return rounded(T.elapsed(poses, 10.0).select("scene_id", "seq", "elapsed"), "elapsed")
@@ -649,6 +658,13 @@ def _(poses):
     return rounded(T.ring_waypoints(_structures(poses)), *XYZ, digits=5)
 
 
+@query("w10_ring_with_lead_in", "poses", sql="""WITH s AS (SELECT scene_id, round(avg(x), 3) AS cx, round(avg(y), 3) AS cy FROM poses GROUP BY scene_id), r AS (SELECT scene_id, i, cx + 30 * cos(2 * pi() * i / 12) AS x, cy + 30 * sin(2 * pi() * i / 12) AS y FROM s, (SELECT unnest(range(0, 12)) AS i) k),
+f AS (SELECT *, first(i) OVER (PARTITION BY scene_id ORDER BY round(x * x + y * y + 3600, 6), i) AS f FROM r) SELECT scene_id, CAST((i - f + 12) % 12 + 2 AS BIGINT) AS ord, round(x, 5) + 0e0 AS x, round(y, 5) + 0e0 AS y, 4e1 AS z FROM f
+UNION ALL SELECT scene_id, CAST(0 AS BIGINT), 0e0, 0e0, 1e2 FROM s UNION ALL SELECT scene_id, CAST(1 AS BIGINT), 1.2e2, 0e0, 1.3e2 FROM s""")
+def _(poses):
+    return rounded(T.ring_waypoints(_structures(poses), lead_in=T.LEAD_IN), *XYZ, digits=5)
+
+
 @query("w11_next_waypoints", "poses", sql="""WITH s AS (SELECT scene_id, round(avg(x), 3) AS cx, round(avg(y), 3) AS cy FROM poses GROUP BY scene_id), r AS (SELECT scene_id, i, cx + 30 * cos(2 * pi() * i / 12) AS x, cy + 30 * sin(2 * pi() * i / 12) AS y FROM s, (SELECT unnest(range(0, 12)) AS i) k),
 f AS (SELECT *, first(i) OVER (PARTITION BY scene_id ORDER BY round(x * x + y * y + 3600, 6), i) AS f FROM r), g AS (SELECT scene_id, (i - f + 12) % 12 AS ord, x, y FROM f)
 SELECT scene_id, CAST(t AS BIGINT) AS step, CAST(ord AS BIGINT) AS ord, round(x, 5) + 0e0 AS x, round(y, 5) + 0e0 AS y, 4e1 AS z, round(atan2(-y, -x), 5) + 0e0 AS yaw FROM g JOIN (SELECT unnest(range(0, 6)) AS t) k ON ord = (t + 9) % 12""")

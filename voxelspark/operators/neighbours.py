@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -44,26 +45,58 @@ def radius_neighbors(points: DataFrame, r: float, within: Sequence[str] = ("scen
     return near.filter(F.col("src") != F.col("dst")).withColumn("d2", _square("a", "b")).filter(F.col("d2") <= r * r).select(*within, "src", "dst", F.sqrt("d2").alias("w"))
 
 
+def _bounds(front: DataFrame, side: float) -> DataFrame:
+    """``near`` and ``far``: squares of the least and greatest distance from a query to its cell."""
+    near, far = F.lit(0.0), F.lit(0.0)
+    for n, c in zip(XYZ, CELL):
+        low, high = F.col(f"a{n}") - F.col(c) * side, (F.col(c) + 1) * side - F.col(f"a{n}")
+        out, most = F.greatest(-low, -high, F.lit(0.0)), F.greatest(F.abs(low), F.abs(high))
+        near, far = near + out * out, far + most * most
+    return front.withColumns({"near": near, "far": far})
+
+
 def nearest_point(queries: DataFrame, points: DataFrame, reach: float) -> DataFrame:
     """The nearest point of its scene to each query, ties to the least point_id: ``query_id, point_id, d``.
 
-    Points are sought on a grid of side ``reach``; queries without one that near are asked again with twice the side, so
-    all that have a point in their scene get an answer, and only their number reaches the driver.
+    Occupied cells of side ``reach`` are put together by eights, level by level, like an octree.  A query climbs until a cell beside its own is occupied; what lies two levels
+    above that must hold its nearest point.  Queries then descend through occupied cells alone, and those farther than the far end of another one are left out, so a far query sees a
+    few cells of each level and no cell that holds the scene.  All queries that have a point in their scene get an answer; only flags reach the driver.
     """
-    left = queries.select("scene_id", "query_id", *[F.col(n).alias(f"a{n}") for n in XYZ], *XYZ)
-    left = checkpoint(left.join(points.select("scene_id").distinct(), "scene_id", "left_semi"))
-    found = None
-    while True:
-        right = points.select("scene_id", "point_id", *[F.col(n).alias(f"b{n}") for n in XYZ], *quantize(reach))
-        near = _spread(left, ["scene_id", "query_id", *[f"a{n}" for n in XYZ]], reach).join(right, ["scene_id", *CELL])
-        best = near.withColumn("d2", _square("a", "b")).filter(F.col("d2") <= reach * reach).groupBy("scene_id", "query_id").agg(F.min(F.struct("d2", "point_id")).alias("m"))
-        best = checkpoint(best)
-        found = best if found is None else found.unionByName(best)
-        left = checkpoint(left.join(best, ["scene_id", "query_id"], "left_anti"))
-        if left.isEmpty():
-            break
-        reach *= 2
-    return found.select("scene_id", "query_id", F.col("m.point_id").alias("point_id"), F.sqrt("m.d2").alias("d"))
+    places = [f"a{n}" for n in XYZ]
+    names = ["scene_id", "query_id", *places]
+    left = queries.select("scene_id", "query_id", *[F.col(n).alias(f"a{n}") for n in XYZ])
+    left = stored(left.join(points.select("scene_id").distinct(), "scene_id", "left_semi"))
+    if left.isEmpty():
+        return left.select("scene_id", "query_id", F.lit(None).cast(points.schema["point_id"].dataType).alias("point_id"), F.lit(None).cast("double").alias("d"))
+    levels = [stored(points.select("scene_id", *quantize(reach)).distinct())]
+    level_of = lambda k: levels[k] if k < len(levels) else levels.append(stored(level_of(k - 1).select("scene_id", *[F.floor(F.col(c) / 2).cast("int").alias(c) for c in CELL]).distinct())) or levels[k]
+
+    def beside(rows: DataFrame, k: int) -> DataFrame:
+        """Rows at the occupied cells of a level around their own."""
+        side = reach * 2**k
+        cells = rows.select(*names, *[F.floor(F.col(f"a{n}") / side).cast("int").alias(c) for n, c in zip(XYZ, CELL)], around().alias("o"))
+        return cells.select(*names, *[(F.col(c) + F.col(f"o.{x}")).alias(c) for c, x in zip(CELL, "abc")]).join(level_of(k), ["scene_id", *CELL], "left_semi")
+
+    start, k = {}, 0
+    while not left.isEmpty():
+        hit = stored(beside(left, k).select("scene_id", "query_id").distinct())
+        start[k + 2] = left.join(hit, ["scene_id", "query_id"], "left_semi")
+        left = stored(left.join(hit, ["scene_id", "query_id"], "left_anti"))
+        k += 1
+    front = None
+    for k in range(max(start), -1, -1):
+        if front is not None:
+            child = F.explode(F.array(*[F.struct(*[F.lit(v).alias(x) for v, x in zip(o, "abc")]) for o in product((0, 1), repeat=3)])).alias("o")
+            below = front.select(*names, *CELL, child).select(*names, *[(2 * F.col(c) + F.col(f"o.{x}")).alias(c) for c, x in zip(CELL, "abc")])
+            front = below.join(level_of(k), ["scene_id", *CELL], "left_semi")
+        if k in start:
+            front = beside(start[k], k) if front is None else front.unionByName(beside(start[k], k))
+        bounded = _bounds(front, reach * 2**k).withColumn("least", F.min("far").over(Window.partitionBy("scene_id", "query_id")))
+        front = stored(bounded.filter(F.col("near") <= F.col("least") * (1 + 1e-9)).select(*names, *CELL))
+    right = points.select("scene_id", "point_id", *[F.col(n).alias(f"b{n}") for n in XYZ], *quantize(reach))
+    met = front.join(right, ["scene_id", *CELL]).withColumn("d2", _square("a", "b"))
+    best = met.groupBy("scene_id", "query_id").agg(F.min(F.struct("d2", "point_id")).alias("m"))
+    return best.select("scene_id", "query_id", F.col("m.point_id").alias("point_id"), F.sqrt("m.d2").alias("d"))
 
 
 def flag_edge_points(skeleton: DataFrame, edges: DataFrame, tol: float = 1e-3) -> DataFrame:

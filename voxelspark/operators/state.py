@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from voxelspark.functions.scalar import XYZ
-from voxelspark.operators.accumulate import running
+from voxelspark.operators.accumulate import BUCKET, running
 from voxelspark.operators.folds import fold
 
 
@@ -218,13 +218,34 @@ def path_so_far(poses: DataFrame) -> DataFrame:
     return running(poses.select("scene_id", "seq"), "seq", F.count("*"), "n_poses", lambda before, inside: F.coalesce(before, F.lit(0)) + inside)
 
 
-def ring_waypoints(structures: DataFrame, n: int = 12) -> DataFrame:
-    """n points on a circle (``cx, cy, radius, height``), the nearest to (0, 0, 100) first."""
+def path_prefix(poses: DataFrame, asked: DataFrame) -> DataFrame:
+    """The path up to some poses, as its poses: a row of ``poses`` with ``upto`` for each asked ``scene_id, seq`` at or after it.
+
+    Asked poses are few and known by number, so each pose is repeated only for those: a path of n poses asked for at every pose has n * n / 2 rows, which is what it
+    holds, and :func:`path_so_far` gives its lengths instead.  A seq that no pose has gets the poses before it.  Joined by buckets of the order, whole buckets before the asked one first.
+    """
+    ends = asked.select("scene_id", F.col("seq").alias("upto")).distinct()
+    stop = F.explode(F.sequence(F.lit(0), F.floor(F.col("upto") / BUCKET))).alias("_bucket")
+    spread = ends.filter("upto >= 0").select("scene_id", "upto", stop)
+    cut = poses.withColumn("_bucket", F.floor(F.col("seq") / BUCKET))
+    return cut.join(spread, ["scene_id", "_bucket"]).filter(F.col("seq") <= F.col("upto")).select("scene_id", "upto", *[c for c in poses.columns if c != "scene_id"])
+
+
+#: The place that a ring starts nearest to, and the place between it and the ring.
+LEAD_IN = ((0.0, 0.0, 100.0), (120.0, 0.0, 130.0))
+
+
+def ring_waypoints(structures: DataFrame, n: int = 12, lead_in: Sequence[tuple[float, float, float]] = ()) -> DataFrame:
+    """n points on a circle (``cx, cy, radius, height``), the nearest to (0, 0, 100) first; ``lead_in`` places come before them."""
     angle = 2 * np.pi * F.col("i") / n
     raw = structures.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select("scene_id", "i", (F.col("cx") + F.col("radius") * F.cos(angle)).alias("x"), (F.col("cy") + F.col("radius") * F.sin(angle)).alias("y"), F.col("height").alias("z"))
-    d2 = F.round(F.col("x") * F.col("x") + F.col("y") * F.col("y") + (F.col("z") - 100) * (F.col("z") - 100), 6)
+    d2 = F.round(F.col("x") * F.col("x") + F.col("y") * F.col("y") + (F.col("z") - LEAD_IN[0][2]) * (F.col("z") - LEAD_IN[0][2]), 6)
     first = raw.groupBy("scene_id").agg(F.min(F.struct(d2.alias("d2"), "i"))["i"].alias("first"))
-    return raw.join(first, "scene_id").select("scene_id", F.pmod(F.col("i") - F.col("first"), F.lit(n)).cast("long").alias("ord"), *XYZ)
+    ring = raw.join(first, "scene_id").select("scene_id", (F.pmod(F.col("i") - F.col("first"), F.lit(n)) + len(lead_in)).cast("long").alias("ord"), *XYZ)
+    if not lead_in:
+        return ring
+    ways = F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("ord"), *[F.lit(float(v)).alias(c) for v, c in zip(p, XYZ)]) for k, p in enumerate(lead_in)])).alias("p")
+    return structures.select("scene_id", ways).select("scene_id", "p.*").unionByName(ring)
 
 
 def next_waypoints(ring: DataFrame, at: int, m: int = 6, center: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
