@@ -795,10 +795,11 @@ def _(points):
 def _(points):
     """Clouds of four frames a scene to skeletons with lasting ids and colours: the whole job, see :func:`skeletonize`.
 
-    A frame has all voxels seen up to a quarter, a half, the whole, and again the whole of the scan; the last repeats the result of the one before.
+    Frames have the first quarter, the first half, all, and again all of each column's voxels, in the order in which they were first seen; the last repeats the result of the one before.
     """
     first = A.first_points(points).select("scene_id", *CELL, F.ntile(4).over(Window.partitionBy("scene_id", "ix", "iy").orderBy("o")).alias("turn"))
-    upto = F.explode(F.sequence(F.when(F.col("turn") > 2, 2).otherwise(F.col("turn") - 1), F.lit(3))).cast("long").alias("frame_id")
+    since = F.least(F.col("turn"), F.lit(3)).cast("long") - 1
+    upto = F.explode(F.sequence(since, F.lit(3).cast("long"))).alias("frame_id")
     cloud = first.select("scene_id", upto, S.pack_voxel().alias("point_id"), *S.voxel_center(1.0))
     return rounded(skeletonize(cloud), *XYZ)
 
