@@ -100,14 +100,20 @@ def test_stable_k_needs_several_frames(spark):
     assert out == [3, 3, 4, 4, 4, 4, 4, 3]
 
 
-def test_thinning_keeps_ends_and_picks_spread():
+def test_thinning_keeps_ends():
     line = np.array([[float(i), 0, 0] for i in range(20)])
     out = skeleton.thin(line, 1.0)
     assert out[0].tolist() == [0, 0, 0] and out[-1].tolist() == [19, 0, 0] and len(out) < 20
-    star = np.array([[10.0, 0, 0], [-10.0, 0, 0], [9.5, 0.5, 0], [0, 8.0, 0], [0, 0, 0]])
-    far = np.sqrt((star**2).sum(1))
-    picks = skeleton.Picks(1.0, far.max())
-    assert [int(i) for i in np.argsort(-far, kind="stable") if picks.takes(star[i], far[i])] == [0, 1, 3]
+
+
+def test_picks_are_spread(spark):
+    star = [[10.0, 0.0, 0.0], [-10.0, 0.0, 0.0], [9.5, 0.5, 0.0], [0.0, 8.0, 0.0], [0.0, 0.0, 0.0], [8.9, 4.4, 0.0], [0.0, 1.0, 0.0]]
+    points = spark.createDataFrame([(0, 2, i, *p) for i, p in enumerate(star)] + [(0, 3, 9, 1.0, 1.0, 1.0)], "scene_id long, label int, point_id long, x double, y double, z double")
+    middle = spark.createDataFrame([(0, 2, 0.0, 0.0, 0.0), (0, 3, 1.0, 1.0, 1.0)], "scene_id long, label int, x double, y double, z double")
+    picked = lambda **more: [r.point_id for r in skeleton.edge_points(points, middle, **more).orderBy("ord").collect()]
+    assert picked() == [0, 1, 5, 3]  # 2 is near 0; 5 is as far as 0 and apart from it
+    assert picked(most=1) == [0] and picked(most=2) == [0, 1] and picked(most=3) == [0, 1, 5, 3]  # one like a picked one does not end it
+    assert skeleton.edge_points(points.filter("label = 3"), middle).count() == 0
 
 
 def test_paths_by_task_and_by_rounds_agree(spark):
