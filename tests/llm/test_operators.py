@@ -49,12 +49,35 @@ def test_bpe_stream_equals_the_whole():
     whole = bpe.encoder(tokenizer_path())
     rng = random.Random(4)
     word = "".join(rng.choice("thinger o"[:7]) for _ in range(9000))
-    data = word.encode()
-    symbols = [*[whole.inner[x] for x in data[:-1]], whole.final[data[-1]]]
+    symbols = [*whole.symbols(word)]
     assert list(whole.stream(symbols, buffer=100)) == whole._merge_long(list(symbols)) == list(whole.piece(word))
     assert "".join(bpe.decode_stream([b"\xc3", b"\xa9 \xe4\xbd", b"\xa0\xff"])) == "é 你\ufffd"
 
 
+def test_bpe_tokens_go_out_at_cuts():
+    """Where no merge joins two symbols, all before them is final: nothing behind a cut is read, and tokens equal those of the whole."""
+    found = bpe.encoder(tokenizer_path())
+    rng = random.Random(5)
+    for _ in range(300):
+        symbols = [*found.symbols("".join(rng.choice("etaoinqxzjé0你") for _ in range(rng.randint(1, 60))))]
+        out, seen = [], 0
+
+        def feed():
+            nonlocal seen
+            for seen, symbol in enumerate(symbols, 1):
+                yield symbol
+
+        length = 0
+        for token in found.stream(feed()):
+            out.append(token)
+            length += found._length[token]
+            # the last symbol read is the first behind a cut, or the word is at its end
+            assert seen == len(symbols) or symbols[seen - 2] << bpe._BITS | symbols[seen - 1] not in found.joined and length < seen
+        assert out == found._merge_long(list(symbols))
+    two = [*found.symbols("one"), *found.symbols("two")]  # the end of a word is a cut
+    assert [*found.stream(two)] == [*found.piece("one"), *found.piece("two")]
+
+
 def test_special_tokens_and_unicode_follow_the_library():
     from tokenizers import Tokenizer
 

@@ -8,7 +8,10 @@ symbol with it, so L is at most the longest stretch such a chain covers;
 :func:`sufficient_lookahead` finds it by one pass over the merges in order of
 priority.  :class:`Encoder` reads symbols into a buffer of bounded size, merges
 there, emits the tokens that end L or more symbols before the buffer's end and
-keeps the rest, so memory is constant however long a word is.  Tokens cannot cross white
+keeps the rest, so memory is constant however long a word is.  L is a bound for
+all words; between two symbols that no merge joins the lookahead is none, as no
+token can hold both, so at such a *cut* all that the buffer holds goes out at
+once.  The last symbol of a word is such a cut.  Every word takes this one way; tokens cannot cross white
 space, so texts are fed to it piece by piece; a bounded memo keeps short pieces.
 
 Decoding.  :func:`decode_stream` walks over ids with a state machine that holds
@@ -30,6 +33,7 @@ from __future__ import annotations
 import codecs
 import functools
 import heapq
+import itertools
 import json
 import unicodedata
 from array import array
@@ -111,6 +115,8 @@ class Encoder:
         ids = self.vocab
         #: A pair's key to its rank and the new token, in one number that sorts by rank.
         self.merges = {ids[a] << _BITS | ids[b]: rank << _BITS | ids[a + b] for rank, (a, b) in enumerate(pairs)}
+        #: Symbols side by side inside some token; between any two others is a cut.
+        self.joined = {ids[_symbols(a, self.suffix)[-1]] << _BITS | ids[_symbols(b, self.suffix)[0]] for a, b in pairs}
         table = byte_symbols()
         self.inner = [ids[c] for c in table]
         self.final = [ids[c + self.suffix] for c in table]
@@ -179,9 +185,13 @@ class Encoder:
     def stream(self, symbols: Iterable[int], buffer: int | None = None) -> Iterator[int]:
         """The transducer: symbol ids in, token ids out once nothing to come can change them."""
         room = self.lookahead + max(buffer or 2 * self.lookahead, 1)
-        held: list[int] = []
+        joined, held, last = self.joined, [], 0
         for symbol in symbols:
+            if held and last << _BITS | symbol not in joined:
+                yield from self._merge(held)
+                held = []
             held.append(symbol)
+            last = symbol
             if len(held) >= room:
                 end = 0
                 for token in self._merge(held[:]):
@@ -193,15 +203,10 @@ class Encoder:
                 room = max(room, len(held) + self.lookahead)
         yield from self._merge(held)
 
-    def _word(self, word: str) -> list[int]:
+    def symbols(self, word: str) -> Iterator[int]:
+        """A word's bytes as symbols, the last one with the end-of-word suffix."""
         data = word.encode("utf-8")
-        if len(data) <= self.lookahead:
-            inner = self.inner
-            ids = [inner[b] for b in data]
-            ids[-1] = self.final[data[-1]]
-            return self._merge(ids)
-        last = len(data) - 1
-        return [*self.stream(self.final[b] if i == last else self.inner[b] for i, b in enumerate(data))]
+        return itertools.chain(map(self.inner.__getitem__, data[:-1]), (self.final[data[-1]],))
 
     def _plain(self, text: str) -> bytes:
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
@@ -209,7 +214,7 @@ class Encoder:
         for word in self.pattern.findall(text):
             ids = words.get(word)
             if ids is None:
-                ids = array("i", self._word(word)).tobytes()
+                ids = array("i", self.stream(self.symbols(word))).tobytes()
                 if len(word) <= MEMO_CHARS:
                     if len(words) >= MEMO_SIZE:
                         words.clear()
