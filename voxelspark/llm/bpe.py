@@ -50,8 +50,11 @@ from voxelspark.llm.kernels import ranges
 
 #: Pieces of up to so many characters are memoised, at most so many of them.
 MEMO_CHARS, MEMO_SIZE = 48, 300_000
+#: Symbols that the transducer takes at a time.
+READ = 64
 _BITS = 20
 _MASK, _NONE = (1 << _BITS) - 1, 1 << 62
+_NEVER = itertools.repeat(_NONE)
 #: Characters of the Unicode property White_Space.
 WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _SPLIT = regex.compile(f"[{WHITE_SPACE}]+")
@@ -113,10 +116,10 @@ class Encoder:
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.lookahead = lookahead or sufficient_lookahead(pairs, self.suffix)
         ids = self.vocab
-        #: A pair's key to its rank and the new token, in one number that sorts by rank.
-        self.merges = {ids[a] << _BITS | ids[b]: rank << _BITS | ids[a + b] for rank, (a, b) in enumerate(pairs)}
+        #: A pair to its rank and the new token, in one number that sorts by rank.
+        self.merges = {(ids[a], ids[b]): rank << _BITS | ids[a + b] for rank, (a, b) in enumerate(pairs)}
         #: Symbols side by side inside some token; between any two others is a cut.
-        self.joined = {ids[_symbols(a, self.suffix)[-1]] << _BITS | ids[_symbols(b, self.suffix)[0]] for a, b in pairs}
+        self.joined = {(ids[_symbols(a, self.suffix)[-1]], ids[_symbols(b, self.suffix)[0]]) for a, b in pairs}
         table = byte_symbols()
         self.inner = [ids[c] for c in table]
         self.final = [ids[c + self.suffix] for c in table]
@@ -136,7 +139,7 @@ class Encoder:
         if len(ids) > 48:
             return self._merge_long(ids)
         get = self.merges.get
-        found = [get(a << _BITS | b, _NONE) for a, b in zip(ids, ids[1:])]
+        found = [*map(get, zip(ids, ids[1:]), _NEVER)]
         while found:
             best = min(found)
             if best == _NONE:
@@ -145,9 +148,9 @@ class Encoder:
             ids[at : at + 2] = [new] = [best & _MASK]
             del found[at]
             if at:
-                found[at - 1] = get(ids[at - 1] << _BITS | new, _NONE)
+                found[at - 1] = get((ids[at - 1], new), _NONE)
             if at < len(found):
-                found[at] = get(new << _BITS | ids[at + 1], _NONE)
+                found[at] = get((new, ids[at + 1]), _NONE)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
@@ -155,10 +158,10 @@ class Encoder:
         get, n = self.merges.get, len(ids)
         after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
         alive = [True] * n
-        queue: list[tuple[int, int, int]] = []
+        queue: list[tuple[int, int, tuple[int, int]]] = []
 
         def offer(i: int, j: int) -> None:
-            pair = ids[i] << _BITS | ids[j]
+            pair = (ids[i], ids[j])
             if (found := get(pair)) is not None:
                 heapq.heappush(queue, (found, i, pair))
 
@@ -167,7 +170,7 @@ class Encoder:
         while queue:
             found, i, pair = heapq.heappop(queue)
             j = after[i] if alive[i] else n
-            if j >= n or ids[i] << _BITS | ids[j] != pair:
+            if j >= n or (ids[i], ids[j]) != pair:
                 continue
             ids[i], alive[j], after[i] = found & _MASK, False, after[j]
             if after[i] < n:
@@ -182,16 +185,26 @@ class Encoder:
         """Symbols in each token."""
         return {i: len(_symbols(t, self.suffix)) for t, i in self.vocab.items()}
 
-    def stream(self, symbols: Iterable[int], buffer: int | None = None) -> Iterator[int]:
-        """The transducer: symbol ids in, token ids out once nothing to come can change them."""
+    def _step(self, held: list[int], seen: int) -> list[int]:
+        """One step of the transducer: tokens of the symbols before the last cut, which leave ``held``; ``seen`` of them had been looked at."""
+        joined = self.joined
+        if joined.issuperset(zip(held, held[1:]) if seen < 2 else zip(held[seen - 1 :], held[seen:])):
+            return []
+        at, final = 0, []
+        for cut in [i for i, pair in enumerate(zip(held[seen - 1 :], held[seen:]), seen) if pair not in joined]:
+            final += self._merge(held[at:cut]) if cut - at > 1 else held[at:cut]
+            at = cut
+        del held[:at]
+        return final
+
+    def stream(self, symbols: Iterable[int], buffer: int | None = None, read: int = READ) -> Iterator[int]:
+        """The transducer: symbol ids in, ``read`` at a time, and token ids out once nothing to come can change them."""
         room = self.lookahead + max(buffer or 2 * self.lookahead, 1)
-        joined, held, last = self.joined, [], 0
-        for symbol in symbols:
-            if held and last << _BITS | symbol not in joined:
-                yield from self._merge(held)
-                held = []
-            held.append(symbol)
-            last = symbol
+        source, held = iter(symbols), []
+        while block := [*itertools.islice(source, read)]:
+            seen = max(len(held), 1)
+            held += block
+            yield from self._step(held, seen)
             if len(held) >= room:
                 end = 0
                 for token in self._merge(held[:]):
@@ -199,7 +212,7 @@ class Encoder:
                         break
                     end += self._length[token]
                     yield token
-                held = held[end:]
+                del held[:end]
                 room = max(room, len(held) + self.lookahead)
         yield from self._merge(held)
 
@@ -208,13 +221,20 @@ class Encoder:
         data = word.encode("utf-8")
         return itertools.chain(map(self.inner.__getitem__, data[:-1]), (self.final[data[-1]],))
 
+    def _word(self, word: str) -> list[int]:
+        if len(word) > READ // 4:  # several blocks, as a character has up to four bytes
+            return [*self.stream(self.symbols(word))]
+        held = [*self.symbols(word)]
+        final = self._step(held, 1)  # the stream's one step, and its end
+        return final + self._merge(held)
+
     def _plain(self, text: str) -> bytes:
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        text = text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
         words, out = self._words, b""
         for word in self.pattern.findall(text):
             ids = words.get(word)
             if ids is None:
-                ids = array("i", self.stream(self.symbols(word))).tobytes()
+                ids = array("i", self._word(word)).tobytes()
                 if len(word) <= MEMO_CHARS:
                     if len(words) >= MEMO_SIZE:
                         words.clear()
