@@ -50,6 +50,30 @@ def test_groups_and_links_equal_all_pairs(spark):
     assert [out[i].class_id for i, _ in rows] == group and [out[i].n_links for i, _ in rows] == [len(x) for x in links]
 
 
+def test_a_dense_group_goes_through_the_rounds_as_few_edges(spark, monkeypatch):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("aeioulnstrm") for _ in range(6))
+    rows, handed = [], []
+    for copies, edits in ((150, 1), (60, 4)):  # one group of near copies, and one that the threshold cuts to parts
+        base = [word() for _ in range(150)]
+        for _ in range(copies):
+            copy = list(base)
+            for _ in range(edits):
+                copy[rng.randrange(len(copy))] = word()
+            rows.append((len(rows), " ".join(copy)))
+    components = near_duplicates.components
+
+    def counted(edges):
+        handed.append(edges.count())
+        return components(edges)
+
+    monkeypatch.setattr(near_duplicates, "components", counted)
+    out = {r.doc_id: r for r in near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    links, group = all_pairs(rows)
+    assert [out[i].class_id for i, _ in rows] == group and [out[i].n_links for i, _ in rows] == [len(x) for x in links]
+    assert len(set(group)) > 2 and sum(handed) < len(rows)  # some ten a row without the first step
+
+
 @pytest.mark.skipif(not os.path.exists(DATA), reason="no tables")
 def test_recall_on_the_given_documents(spark):
     docs = spark.read.parquet(DATA)

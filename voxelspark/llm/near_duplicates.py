@@ -7,9 +7,10 @@ fingerprint of its words and not by a doc_id, which other texts may share; one r
 1. MinHash signatures in bands; the number of bands and rows is chosen for ``RECALL`` at the threshold (:func:`bands_for`).
 2. Shuffle on band hashes.  In each bucket one member, different from bucket to bucket, leads; every other member makes
    a candidate pair with it, so a bucket of n gives n - 1 pairs.
-3. Pairs are verified on the full sets, and links make components.
+3. Pairs are verified on the full sets, and links make components.  A group of near copies has many times more links than members, so each member first
+   stands for its least neighbour, and the rounds of the components go over what links are left between these.
 4. In buckets that still hold several components, the members outside of the largest one are verified against all, in
-   blocks of ``BLOCK`` members: a task holds two blocks, and only links that join components leave it.  So no link
+   blocks of ``BLOCK`` members: a task holds two blocks, and only links that join components leave it, as pairs of components.  So no link
    between components that banding offers is lost.
 5. Links are counted inside each component, again by pairs of blocks; what leaves a task is a count for each member.
 
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelspark.llm import kernels as K
-from voxelspark.llm.common import checkpoint, frugal, release, spare, text_input
+from voxelspark.llm.common import checkpoint, frugal, release, spare, stored, text_input
 from voxelspark.operators.components import components
 
 N, THRESHOLD, RECALL, MAX_HASHES, BLOCK = 5, 0.8, 0.99999, 128, 256
@@ -172,7 +173,7 @@ def _linked(sets: list[np.ndarray], threshold: float, columns: int = 4096) -> np
 
 
 def _compare(threshold: float, count: bool):
-    """Links between the two blocks of a group: numbers by member, or as edges those that join components."""
+    """Links between the two blocks of a group: numbers by member, or as edges of components those that join them."""
 
     def run(table: pa.Table) -> pa.Table:
         ids, side, label = table.column("id"), table.column("side").to_numpy(), table.column("label").to_pylist()
@@ -193,12 +194,12 @@ def _compare(threshold: float, count: bool):
 
         src, dst = [], []
         for a, b in zip(*np.nonzero(np.triu(linked))):
-            x, y = top(label[a]), top(label[b])
+            x, y = sorted((top(label[a]), top(label[b])))
             if x != y:
-                parent[x] = y
-                src.append(a)
-                dst.append(b)
-        return pa.table({"src": ids.take(pa.array(src, pa.int64())), "dst": ids.take(pa.array(dst, pa.int64()))})
+                parent[y] = x  # the least, so that tasks name the same ones
+                src.append(x)
+                dst.append(y)
+        return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
 
     return run
 
@@ -227,6 +228,20 @@ def _against_rest(members: DataFrame, sets: DataFrame) -> DataFrame:
     return every.unionByName(some).join(sets, "id")
 
 
+def _grouped(edges: DataFrame) -> DataFrame:
+    """``id, label`` (the least id of its component) for every end of an edge.
+
+    Ends stand for their least neighbours first: edges between these join the same components, the least id of each is still there, and most
+    edges of a dense group become one.
+    """
+    ends = edges.select("src", "dst").union(edges.select("dst", "src"))
+    near = stored(ends.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("m")).select("id", F.least("id", "m").alias("near")))
+    src, dst = (near.select(F.col("id").alias(end), F.col("near").alias(f"{end}_near")) for end in ("src", "dst"))
+    fewer = edges.join(src, "src").join(dst, "dst").select(F.least("src_near", "dst_near").alias("src"), F.greatest("src_near", "dst_near").alias("dst"))
+    found = components(fewer.filter("src <> dst").distinct()).select(F.col("node").alias("near"), F.col("component").alias("label"))
+    return stored(near.join(found, "near", "left").select("id", F.coalesce("label", "near").alias("label")))
+
+
 def classes_of(signed: DataFrame, rows: DataFrame, shape: Shape, threshold: float, links: bool) -> DataFrame:
     """``fp, first, class_fp, class_id`` for each class: its least doc_id, and the group's least one with its fingerprint; ``n_links``."""
     least = lambda at, fp: F.min(F.struct(F.col(at).isNull().alias("none"), F.col(at).alias("doc_id"), F.col(fp).alias("fp")))
@@ -243,11 +258,13 @@ def classes_of(signed: DataFrame, rows: DataFrame, shape: Shape, threshold: floa
     left, right = sets.select(F.col("id").alias("src"), F.col("grams").alias("left")), sets.select(F.col("id").alias("dst"), F.col("grams").alias("right"))
     edges = checkpoint(pairs.join(left, "src").join(right, "dst").select("src", "dst", "left", "right").mapInArrow(frugal(_verify(threshold)), "src long, dst long"))
     release(rows)
-    found = components(edges).select(F.col("node").alias("id"), F.col("component").alias("label"))
+    found = _grouped(edges)
     marked = held.join(found, "id", "left").select("g", "id", F.coalesce("label", "id").alias("label"), "n")
     groups = _against_rest(marked, sets)
     more = groups.groupBy("g", "i", "j").applyInArrow(_compare(threshold, False), "src long, dst long")
-    found = components(edges.unionByName(more)).select(F.col("node").alias("id"), F.col("component").alias("label"))
+    again = components(more).select(F.col("node").alias("label"), F.col("component").alias("last"))
+    alone = again.join(found.select(F.col("id").alias("label")), "label", "left_anti").select(F.col("label").alias("id"), F.col("last").alias("label"))
+    found = stored(found.join(again, "label", "left").select("id", F.coalesce("last", "label").alias("label")).unionByName(alone))
     heads = classes.join(found, "id").groupBy("label").agg(least("first", "id").alias("head"))
     owner = classes.select("id", "first", "n").join(found.join(heads, "label"), "id", "left")
     owner = owner.select("id", "first", "n", F.coalesce("head.fp", "id").alias("class_fp"), F.when(F.col("head").isNull(), F.col("first")).otherwise(F.col("head.doc_id")).alias("class_id"))
