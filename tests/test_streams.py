@@ -178,3 +178,62 @@ def test_latest_at_tick_with_late_rows(spark, feed, tmp_path):
     end = [(0, at(9_000_000), False, None, None, None)]
     out = result(spark, lambda t, c: O.stream_latest_at_tick(feed([*cuts(mixed, 3, rng), end], schema), t, c, "1 second"), tmp_path, "l")
     assert sorted((s, ts.replace(tzinfo=UTC) if ts.tzinfo is None else ts, *p) for s, ts, *p in out) == sorted(expected)
+
+
+def test_rows_wait_in_blocks(spark):
+    """The state holds arrays: a value for many rows, read back only when one is ready."""
+
+    class Held:
+        def __init__(self):
+            self.value, self.reads = None, 0
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            self.reads += 1
+            return iter(self.value) if isinstance(self.value, list) else self.value
+
+        def update(self, value):
+            self.value = value
+
+        put = update
+
+        def appendList(self, more):
+            self.value = (self.value or []) + more
+
+        def clear(self):
+            self.value = None
+
+    class Handle(dict):
+        def getListState(self, name, schema):
+            return self.setdefault(name, Held())
+
+        getValueState = getListState
+
+        def registerTimer(self, ms):
+            self["timer"] = ms
+
+    class Time:
+        now = 0
+
+        def getCurrentWatermarkInMs(self):
+            return self.now
+
+    import pandas as pd
+
+    handle, time, latest = Handle(), Time(), O.Latest()
+    latest.init(handle)
+    at_, place = np.arange(100_000, dtype=np.int64) * 1000, np.arange(100_000.0)
+    rows = pd.DataFrame({"at": at_, "kind": np.arange(100_000) % 2, "x": place, "y": place, "z": np.where(place % 8 == 0, np.nan, 0.0)}).sample(frac=1.0, random_state=1)
+    assert not list(latest.handleInputRows((7,), iter([rows.iloc[:50_000]]), time)) or time.now == 0
+    list(latest.handleInputRows((7,), iter([rows.iloc[50_000:90_000], rows.iloc[90_000:]]), time))
+    assert len(handle["waiting"].value) <= 2 + 100_000 / O.BLOCK and handle["timer"] <= 1
+    reads = handle["waiting"].reads
+    time.now = -1
+    assert not list(latest._work(-1)) and handle["waiting"].reads == reads
+    out = pd.concat(latest._work(200_000))
+    assert handle["waiting"].value is None and (out["scene_id"] == 7).all()
+    assert out["x"].tolist() == [k - 1.0 for k in range(1, 100_000, 2)][-len(out) :] and len(out) >= 49_999
+    assert out["z"].isna().tolist() == [(x % 8 == 0) for x in out["x"]]
+    assert latest.now == (99_998.0, 99_998.0, 0.0)
